@@ -92,7 +92,7 @@ def _join(threshold: float):
                     uf.union(x, y)
         ties = [(x, uf.find(x)) for x in uf.up if uf.find(x) != x]
         counted = pd.DataFrame({"rep": rep[mine], "links": links, "root": pd.array([pd.NA] * len(mine), "Int64")})
-        tied = pd.DataFrame({"rep": [x for x, _ in ties], "links": 0, "root": pd.array([r for _, r in ties], "Int64")})
+        tied = pd.DataFrame({"rep": np.array([x for x, _ in ties], np.int64), "links": np.zeros(len(ties), np.int64), "root": pd.array([r for _, r in ties], "Int64")})
         return pd.concat([counted, tied])
 
     return find
