@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -141,25 +140,66 @@ def _equal_slots(batches):
         yield b.select([0, 1]).filter(ok)
 
 
+def _pairs_of(block: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """For whole groups of rows: each minor member's nearest ``most`` members of other
+    components (all for 0) as row numbers, and whether there were more."""
+    doc, comp, n, sig = block["doc"], block["comp"], block["n"], block["sig"]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    minors = np.flatnonzero(block["minor"])
+    # So many minor members at once that their pairs fit in memory.
+    room = np.cumsum(size[minors]) // 65_536 if len(minors) else minors
+    for part in np.split(minors, np.flatnonzero(np.diff(room)) + 1):
+        width = size[part]
+        i = np.repeat(part, width)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(start[part], width)
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        equal = (sig[i] == sig[j]).sum(axis=1)
+        ok = equal >= LEAST_EQUAL
+        found.append((i[ok], j[ok], equal[ok]))
+    i, j, equal = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    order = np.lexsort((doc[j], -equal, i))
+    i, j = i[order], j[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    more = bool(most) and bool((rank >= most).any())
+    return (i[rank < most], j[rank < most], more) if most else (i, j, False)
+
+
 def _nearest(most: int):
-    """In a block of a bucket: the nearest ``most`` members of other components for each minor
-    member (all for 0); a row with b null says that there were more."""
-
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        doc, comp, n = rows["doc"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy()
-        out_a, out_b, more = [], [], False
-        for i in np.flatnonzero(rows["minor"].to_numpy()):
-            equal = (sig == sig[i]).sum(axis=1)
-            ok = (equal >= LEAST_EQUAL) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i]))
-            found = np.flatnonzero(ok)
-            if most and len(found) > most:
-                more = True
-                found = found[np.argsort(-equal[found], kind="stable")[:most]]
-            out_a += [doc[i]] * len(found)
-            out_b += doc[found].tolist()
-        frame = pd.DataFrame({"a": out_a, "b": out_b}).astype("Int64")
-        return pd.concat([frame, pd.DataFrame({"a": [doc[0]], "b": [None]}).astype("Int64")]) if more else frame
+    """Over rows sorted by group (key, block, chunk): pairs of documents; a row with b null says
+    that there were more. Groups that go on in the next batch wait for it."""
+
+    def find(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: pa.Table):
+            data = {c: rows.column(c).to_numpy() for c in ("doc", "comp", "n", "minor", "key", "block", "chunk")}
+            data["sig"] = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = (data["key"][1:] != data["key"][:-1]) | (data["block"][1:] != data["block"][:-1]) | (data["chunk"][1:] != data["chunk"][:-1])
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, rows.num_rows))
+            i, j, more = _pairs_of(data, np.repeat(first, size), np.repeat(size, size), most)
+            a, b = data["doc"][i], data["doc"][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            held.append(b)
+            rows = pa.Table.from_batches(held)
+            last = [rows.column(c)[-1].as_py() for c in ("key", "block", "chunk")] if rows.num_rows else None
+            if last is None:
+                continue
+            same = np.ones(rows.num_rows, bool)
+            for c, v in zip(("key", "block", "chunk"), last, strict=True):
+                same &= rows.column(c).to_numpy() == v
+            keep = int(np.argmax(same))
+            if keep:
+                yield from flush(rows.slice(0, keep))
+                held = rows.slice(keep).to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield from flush(pa.Table.from_batches(held))
 
     return find
 
@@ -215,8 +255,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         own_block, own_chunk = F.pmod(F.xxhash64("doc"), blocks).cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), chunks).cast("int")
         as_minor = rest.where("minor").select("key", "doc", "comp", "n", "sig", F.lit(True).alias("minor"), own_block.alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
         as_other = rest.select("key", "doc", "comp", "n", "sig", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), own_chunk.alias("chunk"))
-        found = as_minor.unionByName(as_other).groupBy("key", "block", "chunk").applyInPandas(_nearest(most), "a long, b long")
-        found, found_at = materialize(found.select(F.least("a", "b").alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct(), "near")
+        # Not grouped in pandas: most groups are a few rows, and whole batches of them are compared at once.
+        grouped = as_minor.unionByName(as_other).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+        found, found_at = materialize(grouped.mapInArrow(_nearest(most), "a long, b long").distinct(), "near")
         more = bool(most) and found.where("b is null").limit(1).count() > 0
         new, new_at = materialize(_verified(found.where("b is not null"), sets), "found")
         temporary += [found_at, new_at]
