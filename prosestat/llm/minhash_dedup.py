@@ -262,14 +262,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         new, new_at = materialize(_verified(found.where("b is not null"), sets), "found")
         temporary += [found_at, new_at]
         if new.limit(1).count():
-            links = links.unionByName(new)
-            comps, at = components(links)
+            comps, at = components(comps.unionByName(new.select(F.col("a").alias("v"), F.col("b").alias("r"))))
             comp_at += at
-            if not most:
-                break
         elif more:
-            most = 0
-        else:
+            most = 0  # the nearest ones don't link: test all the rest
+            continue
+        if not more:  # every candidate of another component was tested
             break
     release(spark, *temporary, *comp_at[:-1])
 
