@@ -6,9 +6,10 @@
 2. Representatives meet in the buckets of their band keys. Every bucket member is compared
    with one pivot, the member that most others share buckets with; signatures prune, full sets
    decide. A bucket of k members yields k - 1 pairs.
-3. Where a bucket still holds several components, its members outside the largest component
-   are compared with the others by signature, in blocks, nearest candidates first; later
-   rounds run until no candidate is left untested, so nothing is lost to the first limit.
+3. Where a bucket still holds several components, members outside its largest component are
+   compared with the others by signature, in blocks; what is near enough to be tested forms
+   clusters, and a cluster's members are compared by full sets, in blocks, through postings of
+   their shingles. Tasks return spanning links, never all pairs, and no candidate is left out.
 4. Components come from union-find per partition and star contraction across partitions.
 
 Defined cases: a null or empty text, or one of white space only, has an empty set and links
@@ -26,15 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fields, materialize, release, splitmix, text_bytes, tune
+from .common import UnionFind, components, fields, materialize, release, splitmix, text_bytes, tune
 
 WORDS = 5
 SIMILAR = 75  # per cent
-SLOTS = 128
-BAND_ROWS = 4  # 32 bands: a pair at 0.75 shares none with probability 5e-6
-#: Equal slots below which a pair can't reach the threshold: five standard deviations under it.
-LEAST_EQUAL = int(0.55 * SLOTS)
-NEAREST = 8
+SLOTS = 256
+BAND_SLOTS, BAND_ROWS = 128, 4  # 32 bands: a pair at 0.75 shares none with probability 5e-6
+#: Equal slots below which a pair is not tested: almost five standard deviations under the threshold.
+LEAST_EQUAL = int(0.62 * SLOTS)
 MINOR_ROWS, MAJOR_ROWS = 256, 2048
 
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -76,8 +76,9 @@ def superminhash(values: np.ndarray, doc: np.ndarray, docs: int, slots: int = SL
             at = perm[rows, k].astype(np.int64)
             perm[rows, k] = perm[rows, j]
         np.minimum.at(flat, base + at, rank | np.uint32(j << 24))
-        more = (sig >= np.uint32((j + 1) << 24)).any(axis=1) if j < 127 else (sig == 0xFFFFFFFF).any(axis=1)
-        go = more[base // slots]
+        if j == slots - 1:
+            break
+        go = (sig >= np.uint32((j + 1) << 24)).any(axis=1)[base // slots]
         if not go.any():
             break
         if perm is None:
@@ -113,7 +114,7 @@ def _features(batches):
                 end += 1
             lens = np.array([len(s) for s in sets])
             sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), lens), len(sets))
-            keys, short = band_keys(sig), splitmix(sig.astype(np.uint64)).astype(np.uint8)
+            keys, short = band_keys(sig[:, :BAND_SLOTS]), splitmix(sig.astype(np.uint64)).astype(np.uint8)
             some = [n > 0 for n in lens]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -140,68 +141,100 @@ def _equal_slots(batches):
         yield b.select([0, 1]).filter(ok)
 
 
-def _pairs_of(block: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """For whole groups of rows: each minor member's nearest ``most`` members of other
-    components (all for 0) as row numbers, and whether there were more."""
-    doc, comp, n, sig = block["doc"], block["comp"], block["n"], block["sig"]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    minors = np.flatnonzero(block["minor"])
-    # So many minor members at once that their pairs fit in memory.
-    room = np.cumsum(size[minors]) // 65_536 if len(minors) else minors
-    for part in np.split(minors, np.flatnonzero(np.diff(room)) + 1):
-        width = size[part]
-        i = np.repeat(part, width)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(start[part], width)
-        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
-        i, j = i[ok], j[ok]
-        equal = (sig[i] == sig[j]).sum(axis=1)
-        ok = equal >= LEAST_EQUAL
-        found.append((i[ok], j[ok], equal[ok]))
-    i, j, equal = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-    order = np.lexsort((doc[j], -equal, i))
-    i, j = i[order], j[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    more = bool(most) and bool((rank >= most).any())
-    return (i[rank < most], j[rank < most], more) if most else (i, j, False)
-
-
-def _nearest(most: int):
-    """Over rows sorted by group (key, block, chunk): pairs of documents; a row with b null says
-    that there were more. Groups that go on in the next batch wait for it."""
-
-    def find(batches):
+def _groups(work):
+    """Feed ``work`` whole groups of rows sorted by (key, block, chunk): a table and the row
+    where each group starts. A group that goes on in the next batch waits for it."""
+
+    def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table):
-            data = {c: rows.column(c).to_numpy() for c in ("doc", "comp", "n", "minor", "key", "block", "chunk")}
-            data["sig"] = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            of = [rows.column(c).to_numpy() for c in ("key", "block", "chunk")]
             new = np.ones(rows.num_rows, bool)
-            new[1:] = (data["key"][1:] != data["key"][:-1]) | (data["block"][1:] != data["block"][:-1]) | (data["chunk"][1:] != data["chunk"][:-1])
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, rows.num_rows))
-            i, j, more = _pairs_of(data, np.repeat(first, size), np.repeat(size, size), most)
-            a, b = data["doc"][i], data["doc"][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
+            new[1:] = np.any([x[1:] != x[:-1] for x in of], axis=0)
+            yield from work(rows, np.flatnonzero(new))
 
         for b in batches:
+            if not b.num_rows:
+                continue
             held.append(b)
             rows = pa.Table.from_batches(held)
-            last = [rows.column(c)[-1].as_py() for c in ("key", "block", "chunk")] if rows.num_rows else None
-            if last is None:
-                continue
-            same = np.ones(rows.num_rows, bool)
-            for c, v in zip(("key", "block", "chunk"), last, strict=True):
-                same &= rows.column(c).to_numpy() == v
+            same = np.all([rows.column(c).to_numpy() == rows.column(c)[-1].as_py() for c in ("key", "block", "chunk")], axis=0)
             keep = int(np.argmax(same))
             if keep:
                 yield from flush(rows.slice(0, keep))
                 held = rows.slice(keep).to_batches()
-        if held and sum(b.num_rows for b in held):
+        if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return find
+    return run
+
+
+def _spanning(a: list[int], b: list[int]) -> pa.RecordBatch:
+    uf = UnionFind()
+    for x, y in zip(a, b, strict=True):
+        uf.union(x, y)
+    ties = [(x, uf.find(x)) for x in uf.up if uf.find(x) != x]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ties], pa.int64()), pa.array([r for _, r in ties], pa.int64())], names=["a", "b"])
+
+
+def _near(rows: pa.Table, first: np.ndarray):
+    """Spanning links of the pairs of a minor member and a member of another component whose
+    signatures are near enough to be tested."""
+    doc, comp, n, minor = (rows.column(c).to_numpy() for c in ("doc", "comp", "n", "minor"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    size = np.diff(np.append(first, rows.num_rows))
+    start, size = np.repeat(first, size), np.repeat(size, size)
+    minors = np.flatnonzero(minor)
+    # So many minor members at once that their pairs fit in memory.
+    room = np.cumsum(size[minors]) // 65_536 if len(minors) else minors
+    for part in np.split(minors, np.flatnonzero(np.diff(room)) + 1):
+        width = size[part]
+        i = np.repeat(part, width)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(start[part], width)
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        ok = (sig[i] == sig[j]).sum(axis=1) >= LEAST_EQUAL
+        yield _spanning(doc[i[ok]].tolist(), doc[j[ok]].tolist())
+
+
+def _exact(rows: pa.Table, first: np.ndarray):
+    """Spanning links of a cluster's pairs of different components that reach the threshold by
+    their full sets. Postings of the shingles give a member's overlaps with all others at once."""
+    doc, comp, minor = (rows.column(c).to_numpy() for c in ("doc", "comp", "minor"))
+    sets = rows.column("set").combine_chunks()
+    offset, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+    for s, e in zip(first, np.append(first[1:], len(doc)), strict=True):
+        at = offset[s : e + 1] - offset[s]
+        _, term = np.unique(values[offset[s] : offset[e]], return_inverse=True)
+        owner = np.repeat(np.arange(e - s), np.diff(at))
+        order = np.argsort(term, kind="stable")
+        holders, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
+        n, own = np.diff(at), comp[s:e]
+        a, b = [], []
+        for i in np.flatnonzero(minor[s:e]):
+            mine = term[at[i] : at[i + 1]]
+            width = begin[mine + 1] - begin[mine]
+            where = np.arange(width.sum()) + np.repeat(begin[mine] - (np.cumsum(width) - width), width)
+            shared = np.bincount(holders[where], minlength=e - s)
+            hit = np.flatnonzero((100 * shared >= SIMILAR * (n[i] + n - shared)) & (own != own[i]))
+            a += [int(doc[s + i])] * len(hit)
+            b += doc[s + hit].tolist()
+        yield _spanning(a, b)
+
+
+def _blocks(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """rows (key, doc, comp, ...) of keys that hold several components, dealt so that every
+    member outside the key's largest component meets every member, in groups of bounded size."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    major = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("size")).where("comps > 1")
+    major = major.select("key", F.col("m.comp").alias("main"), F.ceil((F.col("size") - F.col("m.k")) / MINOR_ROWS).cast("int").alias("blocks"), F.ceil(F.col("size") / MAJOR_ROWS).cast("int").alias("chunks"))
+    rest = rows.join(major, "key")
+    place = lambda n, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = rest.where("comp <> main").select("key", "doc", "comp", *keep, F.lit(True).alias("minor"), place("blocks", 0).alias("block"), every("chunks").alias("chunk"))
+    other = rest.select("key", "doc", "comp", *keep, F.lit(False).alias("minor"), every("blocks").alias("block"), place("chunks", 1).alias("chunk"))
+    return minor.unionByName(other).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,35 +274,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps, comp_at = components(links)
     temporary = [reps_at, buckets_at, pairs_at, sets_at, links_at]
 
-    active = buckets.join(sets.select("doc"), "doc", "left_semi")
-    most = NEAREST
-    while True:
-        labelled = active.join(comps.select(F.col("v").alias("doc"), "r"), "doc", "left").withColumn("comp", F.coalesce("r", "doc"))
-        per = labelled.groupBy("key", "comp").agg(F.count("*").alias("k"))
-        major = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("size")).where("comps > 1")
-        major = major.select("key", F.col("m.comp").alias("main"), (F.col("size") - F.col("m.k")).alias("minors"), "size")
-        rest = labelled.join(major, "key").join(rep_feats.select("doc", "n", "sig"), "doc").withColumn("minor", F.col("comp") != F.col("main"))
-        # Every member meets every block of minor members; blocks and chunks bound what a task holds.
-        blocks = F.ceil(F.col("minors") / MINOR_ROWS).cast("int")
-        chunks = F.ceil(F.col("size") / MAJOR_ROWS).cast("int")
-        own_block, own_chunk = F.pmod(F.xxhash64("doc"), blocks).cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), chunks).cast("int")
-        as_minor = rest.where("minor").select("key", "doc", "comp", "n", "sig", F.lit(True).alias("minor"), own_block.alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-        as_other = rest.select("key", "doc", "comp", "n", "sig", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), own_chunk.alias("chunk"))
-        # Not grouped in pandas: most groups are a few rows, and whole batches of them are compared at once.
-        grouped = as_minor.unionByName(as_other).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
-        found, found_at = materialize(grouped.mapInArrow(_nearest(most), "a long, b long").distinct(), "near")
-        more = bool(most) and found.where("b is null").limit(1).count() > 0
-        new, new_at = materialize(_verified(found.where("b is not null"), sets), "found")
-        temporary += [found_at, new_at]
-        if new.limit(1).count():
-            comps, at = components(comps.unionByName(new.select(F.col("a").alias("v"), F.col("b").alias("r"))))
-            comp_at += at
-        elif more:
-            most = 0  # the nearest ones don't link: test all the rest
-            continue
-        if not more:  # every candidate of another component was tested
-            break
-    release(spark, *temporary, *comp_at[:-1])
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(comps.select(F.col("v").alias("doc"), "r"), "doc", "left").withColumn("comp", F.coalesce("r", "doc")).drop("r")
+
+    active = labelled(buckets.select("key", "doc").join(sets.select("doc"), "doc", "left_semi")).join(rep_feats.select("doc", "n", "sig"), "doc")
+    near, near_at = materialize(_blocks(active, ["n", "sig"]).mapInArrow(_groups(_near), "a long, b long"), "near")
+    clusters, cluster_at = components(near)
+    members = clusters.select(F.col("v").alias("doc"), F.col("r").alias("key")).union(clusters.select("r", "r").distinct())
+    tested = _blocks(labelled(members).join(sets, "doc"), ["set"]).mapInArrow(_groups(_exact), "v long, r long")
+    comps, _ = components(comps.unionByName(tested))
+    temporary += [near_at, *cluster_at, *comp_at]
+    release(spark, *temporary)
 
     rooted = reps.join(comps.select(F.col("v").alias("rep"), "r"), "rep", "left").select("digest", F.coalesce("r", "rep").alias("root"))
     out = feats.select("doc_id", "n_shingles", "digest").join(rooted, "digest", "left")

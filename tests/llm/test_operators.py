@@ -96,7 +96,8 @@ def test_minhash(spark, sf, odd, which):
 
 def test_minhash_chains_and_blocks(spark, monkeypatch):
     """A chain whose ends differ, and copies too far from the pivot but near one another."""
-    monkeypatch.setattr(minhash_dedup, "NEAREST", 1)
+    monkeypatch.setattr(minhash_dedup, "MINOR_ROWS", 7)
+    monkeypatch.setattr(minhash_dedup, "MAJOR_ROWS", 20)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(300)]
     rows, n = [], 0
