@@ -1,11 +1,788 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and their SQL.
+
+Names begin with the operator they show. Texts come from ``documents`` and the literal
+fixtures; drafts and chains from ``conversations``; recipients, pages and dates from the tables
+that hold their like.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as lex
+from ..functions import text as tx
+from ..operators import delta, extract, guard, lint, qual, records as rec, select, stats
+from . import fixtures, sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rows(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").unionByName(fixtures.frame(spark))
+    return rec.records(docs, table(spark, sf, "labels"))
+
+
+def templated(spark: SparkSession, sf: str) -> DataFrame:
+    return rec.templates(rows(spark, sf))
+
+
+def usable(spark: SparkSession, sf: str) -> DataFrame:
+    return rec.usable(templated(spark, sf))
+
+
+def measured(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.per_record(usable(spark, sf))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n) + stats.EPS, 4) for n in names})
+
+
+R = sql.records()
+M = f"{R}, {sql.prepared('usable')}, {sql.measured('prep')}"
+ROLL = "(SELECT *, unnest([recipient_class, '_global']) AS register FROM {0})"
+
+
+def select_sql(ctes: str, body: str) -> str:
+    return f"{ctes} {body}"
+
+
+# --- records, filters, deduplication ---------------------------------------------------------
+
+
+@query(f"{R} SELECT record_id, source, eligible, recipient_class, thread_position, year, word_count, confidence, sensitive, template FROM tpl")
+def d02_templates(spark, sf):
+    return templated(spark, sf).select("record_id", "source", "eligible", "recipient_class", "thread_position", "year", "word_count", "confidence", "sensitive", "template")
+
+
+@query(f"{R} SELECT record_id, recipient_class FROM usable")
+def d04_usable(spark, sf):
+    return usable(spark, sf).select("record_id", "recipient_class")
+
+
+@query("SELECT * FROM (SELECT substr(sha256(user_id::VARCHAR), 1, 16) AS record_id, event_id, count(*) OVER (PARTITION BY user_id) AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def d01_first_wins(spark, sf):
+    events = table(spark, sf, "events").withColumn("record_id", rec.record_id(F.col("user_id").cast("string")))
+    return rec.unique(events, "ts", "event_id").select("record_id", "event_id", "seen", F.lit(1).cast("long").alias("k"))
+
+
+@query(f"{R}, parts AS (SELECT *, doc_id % 2 AS rank FROM rec UNION ALL SELECT *, 2 AS rank FROM rec WHERE doc_id % 3 = 0), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY rank, doc_id) AS rn FROM parts) WHERE rn = 1), keyed AS (SELECT *, count(*) OVER (PARTITION BY lower(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'))) >= 3 AS template FROM one) SELECT count(*)::BIGINT AS records, count(*) FILTER (template)::BIGINT AS templates, (SELECT count(*) FROM parts)::BIGINT AS seen, (SELECT count(*) FROM parts) - count(*) AS duplicates FROM keyed")
+def d03_merge(spark, sf):
+    r = rows(spark, sf)
+    parts = [r.where("doc_id % 2 = 0"), r.where("doc_id % 2 = 1"), r.where("doc_id % 3 = 0")]
+    merged = rec.merge(parts, "doc_id")
+    seen = sum(F.col(c) for c in ("a", "b", "c"))
+    sizes = r.agg(F.count_if(F.col("doc_id") % 2 == 0).alias("a"), F.count_if(F.col("doc_id") % 2 == 1).alias("b"), F.count_if(F.col("doc_id") % 3 == 0).alias("c"))
+    out = merged.agg(F.count("*").alias("records"), F.count_if("template").alias("templates")).crossJoin(sizes)  # one row each
+    return out.select("records", "templates", seen.alias("seen"), (seen - F.col("records")).alias("duplicates"))
+
+
+@query(f"{R} SELECT (SELECT count(*) FROM tpl)::BIGINT AS seen, (SELECT count(*) FROM usable)::BIGINT AS kept, (SELECT count(*) FROM tpl WHERE record_id NOT IN (SELECT record_id FROM usable))::BIGINT AS rejected, true AS conserved")
+def d05_conservation(spark, sf):
+    seen, kept = templated(spark, sf), usable(spark, sf)
+    return rec.conserved(seen, kept, seen.join(kept.select("record_id"), "record_id", "left_anti"))
+
+
+@query(f"{R} SELECT count(*) FILTER (year < 2020)::BIGINT AS kept, count(*) FILTER (year >= 2020)::BIGINT AS later, count(*) FILTER (year IS NULL)::BIGINT AS undated, count(*) FILTER (year BETWEEN 2016 AND 2018)::BIGINT AS in_era FROM rec")
+def f05_cutoff_and_era(spark, sf):
+    r = rows(spark, sf)
+    return r.agg(F.count_if(F.col("year") < F.year(F.lit("2020-06-01").cast("date"))).alias("kept"), F.count_if(F.col("year") >= 2020).alias("later"), F.count_if(F.col("year").isNull()).alias("undated"), F.count_if(F.col("year").between(2016, 2018)).alias("in_era"))
+
+
+@query(f"{R} SELECT record_id FROM usable WHERE eligible AND NOT sensitive")
+def f08_phrase_safe(spark, sf):
+    return rec.phrase_safe(usable(spark, sf)).select("record_id")
+
+
+@query(f"{R} SELECT record_id FROM tpl WHERE eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND word_count BETWEEN 8 AND 80")
+def f09_exemplar_eligible(spark, sf):
+    return templated(spark, sf).where(rec.exemplar_eligible()).select("record_id")
+
+
+@query(f"{R} SELECT record_id FROM tpl WHERE eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND word_count <= 2000")
+def f10_sample_eligible(spark, sf):
+    return templated(spark, sf).where("eligible and confidence = 'high' and not template and not sensitive and word_count <= 2000").select("record_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role IN ('user', 'assistant') AND NOT (role = 'assistant' AND turn > 5)")
+def f01_label_and_owner(spark, sf):
+    """Rows of an owner's role whose labels hold no excluded one."""
+    c = table(spark, sf, "conversations").withColumn("labels", F.when((F.col("role") == "assistant") & (F.col("turn") > 5), F.array(F.lit("Drafts"))).otherwise(F.array(F.lit("Sent"))))
+    return c.where(F.col("role").isin("user", "assistant") & ~F.arrays_overlap("labels", F.lit(lex.EXCLUDED_LABELS))).select("conv_id", "turn")
+
+
+# --- classification ---------------------------------------------------------------------------
+
+
+def _recipients(spark, sf):
+    """Customers as recipients of their nation's messages."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    address = F.when(k % 5 == 0, F.concat(F.lit("/o=Org"), (k % 3).cast("string"), F.lit("/cn=x"))).when(k % 5 == 1, F.lit("")).otherwise(F.concat(F.lit("U"), k.cast("string"), F.lit("@mail.dept"), (k % 4).cast("string"), F.lit(".example.com")))
+    return c.select((k % 97).alias("message_id"), address.alias("address"), F.concat(F.lit("Name "), (k % 11).cast("string")).alias("display_name"), "c_custkey")
+
+
+_MAPS = {
+    "addresses": [("u2@mail.dept2.example.com", "personal"), ("u3@mail.dept3.example.com", "cold")],
+    "domains": [("example.com", "vendor"), ("dept1.example.com", "client"), ("mail.dept2.example.com", "colleague")],
+    "orgs": [("org1", "colleague")],
+    "names": [("name 4", "professional-warm"), ("name 5", "personal")],
+}
+
+
+@query(
+    "WITH r AS (SELECT c_custkey % 97 AS message_id, lower(CASE WHEN c_custkey % 5 = 0 THEN '/o=Org' || c_custkey % 3 || '/cn=x' WHEN c_custkey % 5 = 1 THEN '' ELSE 'U' || c_custkey || '@mail.dept' || c_custkey % 4 || '.example.com' END) AS a, lower('Name ' || c_custkey % 11) AS n FROM customer),"
+    + ", ".join(f" {k}(key, class) AS (VALUES {', '.join(f'({sql.q(a)}, {sql.q(b)})' for a, b in v)})" for k, v in _MAPS.items())
+    + ", s AS (SELECT message_id, CASE WHEN smtp IS NOT NULL THEN 'smtp' WHEN org IS NOT NULL THEN 'x500' WHEN nm IS NOT NULL THEN 'names' ELSE 'unknown' END AS stage, coalesce(smtp, org, nm, 'unknown') AS class FROM (SELECT message_id, coalesce((SELECT class FROM addresses WHERE key = a AND a LIKE '%@%'), (SELECT arg_max(class, length(key)) FROM domains WHERE a LIKE '%@' || key OR (a LIKE '%@%' AND a LIKE '%.' || key))) AS smtp, (SELECT class FROM orgs WHERE a LIKE '/o=' || key || '/%') AS org, (SELECT class FROM names WHERE key = n) AS nm FROM r)),"
+    + f" p AS (SELECT message_id, count(*) AS c, min(list_position({sql.array(lex.PRECEDENCE)}, class)) AS k, count(*) FILTER (stage = 'smtp') AS smtp, count(*) FILTER (stage = 'x500') AS x500, count(*) FILTER (stage = 'names') AS names, count(*) FILTER (stage = 'unknown') AS unknown FROM s GROUP BY 1)"
+    + f" SELECT message_id, CASE WHEN c >= 4 THEN 'group' ELSE ({sql.array(lex.PRECEDENCE)})[k] END AS recipient_class, CASE WHEN c >= 4 THEN '4+' WHEN c >= 2 THEN '2-3' ELSE '1' END AS count_bucket, smtp, x500, names, unknown FROM p"
+)
+def j05_recipient_cascade(spark, sf):
+    maps = {k: spark.createDataFrame(v, "key string, class string") for k, v in _MAPS.items()}
+    return rec.resolve_recipients(_recipients(spark, sf), **maps)
+
+
+@query("SELECT event_id, year(t)::INT AS year, ((dayofweek(t) + 6) % 7)::INT AS weekday, (['night', 'morning', 'afternoon', 'evening'])[(hour(t) // 6 + 1)::INT] AS hour_bucket FROM (SELECT event_id, timezone('America/New_York', timezone('UTC', ts::TIMESTAMP)) AS t FROM events)")
+def x25_date_fields(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", *(c.cast("string" if k == "hour_bucket" else "int").alias(k) for k, c in rec.date_fields(F.col("ts").cast("timestamp"), "America/New_York").items()))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'forward' WHEN event_id % 3 = 0 OR event_id % 5 = 0 OR event_id % 11 = 0 THEN 'reply' ELSE 'new' END AS thread_position FROM events")
+def x26_thread_position(spark, sf):
+    i = F.col("event_id")
+    subject = F.when(i % 7 == 0, "FW: x").when(i % 3 == 0, "Re: y").otherwise("z")
+    rules = F.when(i % 5 == 0, F.array(F.lit("T4"))).otherwise(F.array(F.lit("mobile-footer")))
+    return table(spark, sf, "events").select("event_id", rec.thread_position(subject, i % 11 == 0, rules).alias("thread_position"))
+
+
+# --- metrics ----------------------------------------------------------------------------------
+
+_METRIC_COLUMNS = ", ".join(f"round({m} + 1e-9, 4) AS {m}" for m in tx.METRICS)
+
+
+@query(f"{M} SELECT record_id, recipient_class, gated, greeting, signoff, {_METRIC_COLUMNS} FROM met")
+def m01_m20_metrics(spark, sf):
+    return rounded(measured(spark, sf), *tx.METRICS).select("record_id", "recipient_class", "gated", "greeting", "signoff", *tx.METRICS)
+
+
+T = f"{R}, {sql.prepared('usable')}, {sql.told('prep')}"
+_TELL_COLUMNS = ", ".join(f"round({m} + 1e-9, 4) AS {m}" for m in (*sql.SIMPLE_TELLS, "paragraph_mean", "single_share"))
+
+
+@query(f"{T} SELECT record_id, {_TELL_COLUMNS} FROM tel")
+def t01_t18_tells(spark, sf):
+    v = tx.told(tx.prepared(usable(spark, sf)))
+    return rounded(v, *sql.SIMPLE_TELLS, "paragraph_mean", "single_share").select("record_id", *sql.SIMPLE_TELLS, "paragraph_mean", "single_share")
+
+
+@query()
+def t07_t09_runs(spark, sf):
+    v = tx.told(tx.prepared(usable(spark, sf)))
+    return rounded(v, "staccato_runs", "anaphora_runs", "aphorism_ratio").select("record_id", "staccato_runs", "anaphora_runs", "aphorism_ratio")
+
+
+@query(f"{R} SELECT record_id, {sql.n_words(chr(34) + 'text' + chr(34))}::BIGINT AS tokens, len({sql.sentences('text')})::BIGINT AS sentences, array_to_string({sql.words('text')}, ' ') AS words, array_to_string({sql.sentences('text')}, '|') AS parts FROM rec")
+def k02_k04_tokens_and_sentences(spark, sf):
+    t = F.col("text")
+    return rows(spark, sf).select("record_id", F.size(tx.words(t)).cast("long").alias("tokens"), F.size(tx.sentences(t)).cast("long").alias("sentences"), F.array_join(tx.words(t), " ").alias("words"), F.array_join(tx.sentences(t), "|").alias("parts"))
+
+
+# --- aggregates -------------------------------------------------------------------------------
+
+
+def _dist_sql(source: str, by: str = "") -> str:
+    comma = f"{by}, " if by else ""
+    pairs = ", ".join(f"{{'metric': '{m}', 'value': {m}}}" for m in tx.METRICS)
+    at = lambda p, f="": f"round(coalesce(quantile_cont(value, {p}){f}, 0) + 1e-9, 4)"
+    gated = " FILTER (gated)"
+    points = "".join(f", {at(p)} AS p{round(100 * p)}" for p in stats.POINTS)
+    bands = "".join(f", round(coalesce(CASE WHEN ng < 30 THEN g.b{p} ELSE s.b{p} END, 0) + 1e-9, 4) AS band_p{p}" for p in (10, 25, 75, 90))
+    band = lambda: "".join(f", quantile_cont(value, {p / 100}){gated} AS b{p}" for p in (10, 25, 75, 90))
+    return f"""long AS (SELECT recipient_class, gated, {comma}v.metric AS metric, v.value AS value FROM (SELECT recipient_class, gated, {comma}unnest([{pairs}]) AS v FROM {source})),
+g AS (SELECT metric, count(*){gated} AS gn{band()} FROM long GROUP BY metric),
+s AS (SELECT register, {comma}metric, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, round(avg((value <> 0)::INT) + 1e-9, 4) AS nonzero_share{points}{band()}, count(*){gated} AS ng FROM {ROLL.format("long")} GROUP BY ALL),
+dist AS (SELECT register, {comma}s.metric, n, mean, nonzero_share, p10, p25, p50, p75, p90{bands}, CASE WHEN ng < 30 THEN gn ELSE ng END AS n_gated, ng < 30 AS fallback_global FROM s JOIN g USING (metric))"""
+
+
+@query(f"{M}, {_dist_sql('met')} SELECT * FROM dist")
+def register_distribution(spark, sf):
+    """A01-A03, A06: the flagship."""
+    return stats.distribution(measured(spark, sf))
+
+
+@query(f"{M}, {_dist_sql('met', 'thread_position')} SELECT * FROM dist")
+def a04_by_thread_position(spark, sf):
+    return stats.distribution(measured(spark, sf), "thread_position")
+
+
+S = f"{R}, pre AS (SELECT * FROM tpl WHERE confidence <> 'low'), {sql.prepared('pre')}, {sql.measured('prep')}"
+
+
+def _by_source(spark, sf):
+    return stats.distribution(stats.per_record(templated(spark, sf).where("confidence <> 'low'")), "source")
+
+
+@query(f"{S}, {_dist_sql('met', 'source')} SELECT register, source, metric, n, p50 FROM dist")
+def a05_by_source(spark, sf):
+    return _by_source(spark, sf).select("register", "source", "metric", "n", "p50")
+
+
+@query(f"{T}, long AS (SELECT recipient_class, v.metric AS metric, v.value AS value FROM (SELECT recipient_class, unnest([{', '.join(f'{{{chr(39)}metric{chr(39)}: {chr(39)}{m}{chr(39)}, {chr(39)}value{chr(39)}: {m}}}' for m in sql.SIMPLE_TELLS)}]) AS v FROM tel)), per AS (SELECT register, metric, count(value) AS n, round(coalesce(quantile_cont(value, 0.5), 0) + 1e-9, 4) AS p50, CASE WHEN count(value) >= 30 THEN CASE WHEN metric = 'sentence_cv' THEN quantile_cont(value, 0.1) ELSE greatest(quantile_cont(value, 0.9), CASE WHEN metric = 'service_phrases' THEN 1 ELSE 0 END) END END AS own FROM {ROLL.format('long')} GROUP BY register, metric) SELECT p.register, p.metric, CASE WHEN p.metric = 'sentence_cv' THEN 'min' ELSE 'max' END AS direction, round(coalesce(p.own, g.own) + 1e-9, 4) AS threshold, p.p50, p.n, CASE WHEN p.own IS NULL AND g.own IS NOT NULL AND p.register <> '_global' THEN '_global' ELSE 'register' END AS basis FROM per p JOIN (SELECT metric, own FROM per WHERE register = '_global') g USING (metric)")
+def a07_tell_thresholds(spark, sf):
+    return stats.tell_thresholds(tx.told(tx.prepared(usable(spark, sf)))).where(F.col("metric").isin(sql.SIMPLE_TELLS))
+
+
+@query(f"{R} SELECT register, token, count(*) AS n FROM (SELECT register, lower(unnest({sql.words('text')})) AS token FROM {ROLL.format('usable')}) GROUP BY ALL")
+def a08_token_frequency(spark, sf):
+    return stats.token_counts(usable(spark, sf))
+
+
+_REGISTERS = "(SELECT unnest(" + sql.array([*lex.CLASSES, "_global"]) + ") AS register)"
+
+
+@query(f"{R}, tok AS (SELECT register, lower(unnest({sql.words('text')})) AS token FROM {ROLL.format('usable')}), tot AS (SELECT register, count(*) AS total FROM tok GROUP BY 1) SELECT register, word, round(CASE WHEN total > 0 THEN coalesce(n, 0) * 1000.0 / total ELSE 0 END, 4) AS rate FROM {_REGISTERS} CROSS JOIN (SELECT unnest({sql.array(lex.FUNCTION_WORDS)}) AS word) LEFT JOIN (SELECT register, token AS word, count(*) AS n FROM tok GROUP BY ALL) USING (register, word) LEFT JOIN tot USING (register)")
+def a09_function_words(spark, sf):
+    return stats.function_word_rates(usable(spark, sf))
+
+
+def _phrases_sql(terms: list[str], where: str = "true") -> str:
+    pairs = ", ".join(f"{{'term': {sql.q(t)}, 'c': {sql.phrase_count('text', t)}}}" for t in terms)
+    return f"{R}, hit AS (SELECT register, v.term AS term, v.c AS c FROM (SELECT register, unnest([{pairs}]) AS v FROM {ROLL.format('usable')} WHERE {where})), tot AS (SELECT register, sum({sql.n_words('text')})::BIGINT AS total FROM {ROLL.format('usable')} WHERE {where} GROUP BY 1) SELECT register, coalesce(total, 0)::BIGINT AS total, term, coalesce(sum(c), 0)::BIGINT AS hits, round(CASE WHEN coalesce(total, 0) > 0 THEN coalesce(sum(c), 0) * 1000.0 / total ELSE 0 END, 4) AS rate FROM {_REGISTERS} CROSS JOIN (SELECT unnest({sql.array(terms)}) AS term) LEFT JOIN hit USING (register, term) LEFT JOIN tot USING (register) GROUP BY register, total, term"
+
+
+@query(_phrases_sql([*lex.DISCOURSE, *lex.HEDGES], "eligible AND NOT sensitive"))
+def a10_discourse_and_hedges(spark, sf):
+    return _long_hits(stats.phrase_hits(rec.phrase_safe(usable(spark, sf)), [*lex.DISCOURSE, *lex.HEDGES]))
+
+
+def _long_hits(df):
+    return df.select("register", F.col("total").cast("long").alias("total"), "term", F.col("hits").cast("long").alias("hits"), "rate")
+
+
+@query(_phrases_sql(lex.LLM_ISMS))
+def a13_llm_isms(spark, sf):
+    return _long_hits(stats.phrase_hits(usable(spark, sf), lex.LLM_ISMS))
+
+
+P = f"{R}, safe AS (SELECT * FROM usable WHERE eligible AND NOT sensitive), {sql.prepared('safe')}"
+
+
+def _forms_sql(c: str) -> str:
+    return f"{P} SELECT register, {c} AS form, count(*) AS n, round(count(*)::DOUBLE / any_value(t), 4) AS share FROM {ROLL.format('prep')} JOIN (SELECT register, count(*) AS t FROM {ROLL.format('prep')} GROUP BY 1) USING (register) WHERE {c} IS NOT NULL GROUP BY ALL"
+
+
+@query(_forms_sql("greeting"))
+def a11_greetings(spark, sf):
+    return stats.forms(tx.prepared(rec.phrase_safe(usable(spark, sf))), "greeting")
+
+
+@query(_forms_sql("signoff"))
+def a11_signoffs(spark, sf):
+    return stats.forms(tx.prepared(rec.phrase_safe(usable(spark, sf))), "signoff")
+
+
+_PAIRS = ", ".join(f"('{g}', '{b}')" for g, b, _ in lex.VARIANTS) + ", " + ", ".join(f"('{ {'ise': 'ize', 'our': 'or'}[g]}', '{a}')" for g, _, a in lex.VARIANTS)
+
+
+@query(f"{R}, pair(grp, token) AS (VALUES {_PAIRS}), hit AS (SELECT register, grp, count(*) AS n FROM (SELECT register, lower(unnest({sql.words('text')})) AS token FROM {ROLL.format('usable')}) JOIN pair USING (token) GROUP BY ALL) SELECT register, grp, coalesce(n, 0) AS n FROM {_REGISTERS} CROSS JOIN (SELECT DISTINCT grp FROM pair) LEFT JOIN hit USING (register, grp)")
+def a12_spelling(spark, sf):
+    return stats.spelling(usable(spark, sf))
+
+
+def _per_thousand(sign: str) -> str:
+    return f"round(sum(len(regexp_extract_all(text, '{sign}'))) * 1000.0 / sum({sql.n_words('text')}), 4)"
+
+
+@query(f"{R} SELECT register, {_per_thousand('—')} AS em, {_per_thousand('–')} AS en FROM {ROLL.format('usable')} GROUP BY 1")
+def a14_dashes(spark, sf):
+    return stats.dashes(usable(spark, sf))
+
+
+def _ngrams_sql(size: int) -> str:
+    known, function = sql.array(sorted(set(lex.common_words()))), sql.array(lex.FUNCTION_WORDS)
+    return f"""{R}, safe AS (SELECT * FROM usable WHERE eligible AND NOT sensitive), tk AS (SELECT recipient_class, {sql.words("text")} AS t FROM safe),
+sp AS (SELECT recipient_class, unnest(list_transform(range(1, len(t) - {size} + 2), lambda i: t[i:i + {size - 1}])) AS span FROM tk),
+g AS (SELECT recipient_class, lower(array_to_string(span, ' ')) AS phrase, count(*) AS n FROM sp WHERE len(list_filter(span, lambda w: regexp_matches(w, '^[A-Z]') AND NOT list_contains({known}, lower(w)))) = 0 AND len(list_filter(span, lambda w: NOT (list_contains({function}, lower(w)) OR starts_with(w, '[')))) > 0 GROUP BY ALL)"""
+
+
+def _ranked_sql(size: int) -> str:
+    g2 = lambda o, e: f"CASE WHEN {o} > 0 AND {e} > 0 THEN {o} * ln({o} / ({e})) ELSE 0 END"
+    terms = " + ".join((g2("a", "(a + b) * ta / (ta + tb)"), g2("(ta - a)", "(ta + tb - a - b) * ta / (ta + tb)"), g2("b", "(a + b) * tb / (ta + tb)"), g2("(tb - b)", "(ta + tb - a - b) * tb / (ta + tb)")))
+    return f"""{_ngrams_sql(size)}, al AS (SELECT phrase, sum(n) AS al FROM g GROUP BY 1), su AS (SELECT recipient_class, sum(n) AS ta FROM g GROUP BY 1), gr AS (SELECT sum(n) AS gr FROM g),
+sc AS (SELECT recipient_class AS register, phrase, n::BIGINT AS n, CASE WHEN ta > 0 AND tb > 0 THEN 2 * ({terms}) ELSE 0 END AS k FROM (SELECT recipient_class, phrase, n, n::DOUBLE AS a, al::DOUBLE - n AS b, ta::DOUBLE AS ta, gr::DOUBLE - ta AS tb FROM g JOIN al USING (phrase) JOIN su USING (recipient_class) CROSS JOIN gr WHERE n >= 5) UNION ALL SELECT '_global', phrase, al::BIGINT, 0 FROM al WHERE al >= 5)
+SELECT register, phrase, n, round(k, 4) AS keyness, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY register ORDER BY round(k, 6) DESC, n DESC, phrase) AS rank FROM sc) WHERE rank <= 40"""
+
+
+@query(f"{_ngrams_sql(2)} SELECT recipient_class, phrase, n FROM g")
+def a15_bigrams(spark, sf):
+    return stats.ngrams(rec.phrase_safe(usable(spark, sf)), 2)
+
+
+@query(_ranked_sql(2))
+def a17_ranked_bigrams(spark, sf):
+    return stats.ranked_ngrams(rec.phrase_safe(usable(spark, sf)), 2)
+
+
+@query(_ranked_sql(3))
+def a17_ranked_trigrams(spark, sf):
+    return stats.ranked_ngrams(rec.phrase_safe(usable(spark, sf)), 3)
+
+
+def _contrast_sql() -> str:
+    return f"""{M}, {_dist_sql("met")}, merged AS (SELECT register, metric, round(p75 - p25, 4) AS iqr FROM dist),
+pre AS (SELECT * FROM tpl WHERE confidence <> 'low'), {sql.prepared("pre", "prep2")}, {sql.measured("prep2", "met2")}, {_dist_sql("met2", "source").replace("long AS", "long2 AS").replace("FROM long ", "FROM long2 ").replace("AS register FROM long)", "AS register FROM long2)").replace("g AS (", "g2 AS (").replace(", s AS", ", s2 AS").replace("dist AS", "dist2 AS").replace(chr(10) + "s AS", chr(10) + "s2 AS").replace("FROM s JOIN g USING", "FROM s2 s JOIN g2 g USING")}
+SELECT o.register, o.metric, o.source, o.p50, c.p50 AS p50_current, iqr, CASE WHEN least(o.n, c.n) < 30 THEN 'insufficient_data' WHEN abs(round(c.p50 - o.p50, 4)) > iqr THEN 'diverging' ELSE 'same' END AS status FROM dist2 o JOIN (SELECT * FROM dist2 WHERE source = 'src2') c USING (register, metric) JOIN merged USING (register, metric) WHERE o.source <> 'src2'"""
+
+
+@query(_contrast_sql())
+def a18_contrast(spark, sf):
+    return stats.contrast(stats.distribution(measured(spark, sf)), _by_source(spark, sf), "src2")
+
+
+@query(f"{R}, h AS (SELECT unnest([{{'field': 'year', 'value': year::VARCHAR}}, {{'field': 'recipient_class', 'value': recipient_class}}, {{'field': 'thread_position', 'value': thread_position}}]) AS v FROM usable) SELECT v.field AS field, v.value AS value, count(*) AS n FROM h WHERE v.value IS NOT NULL GROUP BY ALL")
+def a19_histograms(spark, sf):
+    return stats.histogram(usable(spark, sf), "year", "recipient_class", "thread_position")
+
+
+@query(f"{R} SELECT source, count(*) AS records, count(*) FILTER (confidence = 'low') AS low, sum(word_count)::BIGINT AS words, min(year)::INT AS first_year, max(year)::INT AS last_year FROM rec GROUP BY 1")
+def a20_summary(spark, sf):
+    return stats.corpus_summary(rows(spark, sf))
+
+
+@query(f"{R} SELECT record_id, word_count FROM usable WHERE word_count > (SELECT quantile_cont(word_count, 2.0 / 3) FROM usable)")
+def a21_long_texts(spark, sf):
+    return stats.long_texts(usable(spark, sf)).select("record_id", "word_count")
+
+
+@query()
+def a22_anchored_article(spark, sf):
+    long = stats.distribution(stats.per_record(stats.long_texts(usable(spark, sf))))
+    article = stats.distribution(stats.per_record(usable(spark, sf).where("recipient_class = 'personal'")))
+    return stats.anchor_article(article, long)
+
+
+@query(f"{R} SELECT source, recipient_class, count(*) AS n, count(*) FILTER (thread_position = 'new') AS new, count(*) FILTER (thread_position = 'reply') AS reply, count(*) FILTER (thread_position = 'forward') AS forward, count(*) FILTER (confidence = 'low') AS low FROM rec GROUP BY ALL")
+def a24_report(spark, sf):
+    count = lambda c, v: F.count_if(F.col(c) == v)
+    return rows(spark, sf).groupBy("source", "recipient_class").agg(F.count("*").alias("n"), *(count("thread_position", v).alias(v) for v in ("new", "reply", "forward")), count("confidence", "low").alias("low"))
+
+
+@query("SELECT domain, count(*) AS n FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS domain FROM pages) GROUP BY 1 ORDER BY n DESC, domain LIMIT 50")
+def a25_top_unmapped(spark, sf):
+    return table(spark, sf, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("domain")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "domain").limit(50)
+
+
+# --- selection --------------------------------------------------------------------------------
+
+
+@query(f"{R}, c AS (SELECT recipient_class, quantile_cont(word_count, 1.0 / 3) AS a, quantile_cont(word_count, 2.0 / 3) AS b FROM tpl GROUP BY 1) SELECT recipient_class, ((word_count > a)::INT + (word_count > b)::INT) AS stratum, count(*) AS n, count(*) FILTER (eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND word_count BETWEEN 8 AND 80) AS eligible FROM tpl JOIN c USING (recipient_class) GROUP BY ALL")
+def p02_strata(spark, sf):
+    return select.strata_counts(templated(spark, sf))
+
+
+@query()
+def p02_exemplars(spark, sf):
+    return select.exemplars(templated(spark, sf))
+
+
+@query(f"{R}, ok AS (SELECT source, recipient_class, record_id, word_count, row_number() OVER (PARTITION BY source, recipient_class ORDER BY sha256(record_id), record_id) AS k FROM tpl WHERE eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND word_count <= 2000), walk AS (WITH RECURSIVE w AS (SELECT source, recipient_class, record_id, word_count, k, word_count <= 5000 AS took, CASE WHEN word_count <= 5000 THEN word_count ELSE 0 END AS used FROM ok WHERE k = 1 UNION ALL SELECT o.source, o.recipient_class, o.record_id, o.word_count, o.k, w.used + o.word_count <= 5000, w.used + CASE WHEN w.used + o.word_count <= 5000 THEN o.word_count ELSE 0 END FROM w JOIN ok o ON o.source = w.source AND o.recipient_class = w.recipient_class AND o.k = w.k + 1) SELECT * FROM w) SELECT source, recipient_class, record_id, word_count FROM walk WHERE took")
+def p05_sample(spark, sf):
+    return select.sample(templated(spark, sf))
+
+
+@query(rf"{R} SELECT substr(sha256(record_id || i::VARCHAR), 1, 16) AS record_id, record_id AS parent_id, source, i::INT AS index, p AS text, {sql.n_words('p')}::BIGINT AS word_count FROM (SELECT record_id, source, i - 1 AS i, {sql.strip('ps[i]')} AS p FROM (SELECT record_id, source, string_split(regexp_replace({sql.strip('text')}, '\n\s*\n', chr(3), 'g'), chr(3)) AS ps FROM rec), unnest(range(1, len(ps) + 1)) AS u(i)) WHERE {sql.has_word('p')}")
+def p03_paragraphs(spark, sf):
+    return select.paragraph_rows(rows(spark, sf))
+
+
+@query()
+def p06_truncated(spark, sf):
+    return select.truncated(rows(spark, sf), 200).select("record_id", "truncated", "word_count")
+
+
+@query(f"{R} SELECT source, recipient_class, count(*) AS records, sum(word_count)::BIGINT AS words, sha256(string_agg(record_id, ',' ORDER BY record_id)) AS chunk_id FROM rec GROUP BY ALL")
+def p07_chunks_by_run(spark, sf):
+    return select.chunks_by_run(rows(spark, sf))
+
+
+@query()
+def p08_chunks_by_budget(spark, sf):
+    return select.chunks_by_budget(rows(spark, sf))
+
+
+@query(rf"{R} SELECT record_id, ceil(word_count * 1.8)::BIGINT + ceil((length(record_id) + 12) / 3.5)::BIGINT AS tokens FROM rec")
+def p10_token_estimate(spark, sf):
+    return rows(spark, sf).select("record_id", select.token_estimate(F.col("word_count"), F.char_length("record_id") + 12).alias("tokens"))
+
+
+@query(f"WITH base AS ({_SQL['a09_function_words']}) SELECT register, word, rate, rank FROM (SELECT o.register, o.word, o.rate, row_number() OVER (PARTITION BY o.register ORDER BY CASE WHEN o.rate > 0 AND g.rate > 0 THEN round(abs(ln(o.rate / g.rate)), 6) WHEN g.rate > 0 THEN 1e9 ELSE 0 END DESC, o.word)::INT AS rank FROM base o JOIN (SELECT word, rate FROM base WHERE register = '_global') g USING (word) WHERE o.register <> '_global') WHERE rank <= 10")
+def p12_projected_words(spark, sf):
+    return stats.projected_function_words(stats.function_word_rates(usable(spark, sf)))
+
+
+@query(f"{M}, {_dist_sql('met')} SELECT register, metric, n, p25, p50, p75 FROM dist")
+def p12_projected_metrics(spark, sf):
+    return stats.projected_metrics(stats.distribution(measured(spark, sf)))
+
+
+_SHINGLE = "list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')))"
+
+
+@query(f"{R}, tk AS (SELECT record_id, list_transform({sql.words('text')}, lambda x: lower(x)) AS t FROM rec) SELECT record_id, len({_SHINGLE})::BIGINT AS shingles FROM tk")
+def c16_shingles(spark, sf):
+    return rows(spark, sf).select("record_id", F.size(select.shingles(F.col("text"))).cast("long").alias("shingles"))
+
+
+@query(f"SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN len(list_distinct(a.s || b.s)) > 0 THEN len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(a.s || b.s)) ELSE 0 END, 4) AS jaccard FROM (SELECT item_id, {_SHINGLE} AS s FROM (SELECT item_id, list_transform({sql.words('text')}, lambda x: lower(x)) AS t FROM benchmark)) a JOIN (SELECT item_id, {_SHINGLE} AS s FROM (SELECT item_id, list_transform({sql.words('text')}, lambda x: lower(x)) AS t FROM benchmark)) b ON b.item_id = a.item_id + 1")
+def j13_jaccard(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", select.shingles(F.col("text")).alias("s"))
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("o"))
+    return b.join(nxt, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), F.round(select.jaccard(F.col("s"), F.col("o")), 4).alias("jaccard"))
+
+
+# --- lint -------------------------------------------------------------------------------------
+
+
+def _drafts(spark, sf):
+    """Assistant turns and the fixtures as drafts, half of them articles."""
+    c = table(spark, sf, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("draft_id"), "text")
+    both = c.unionByName(fixtures.frame(spark).select(F.col("doc_id").alias("draft_id"), "text"))
+    return both.withColumn("medium", F.when(F.col("draft_id") % 2 == 0, "email").otherwise("article")).withColumn("register", F.get(F.lit(lex.CLASSES), (F.col("draft_id") % 8).cast("int")))
+
+
+D = f"WITH drafts AS (SELECT *, CASE WHEN draft_id % 2 = 0 THEN 'email' ELSE 'article' END AS medium, ({sql.array(lex.CLASSES)})[(draft_id % 8 + 1)::INT] AS register FROM (SELECT conv_id * 100 + turn AS draft_id, text FROM conversations WHERE role = 'assistant' UNION ALL SELECT doc_id, text FROM {fixtures.sql_values()}))"
+
+
+def _counted(pattern: str, kind: str) -> str:
+    if kind in ("word", "phrase"):
+        return sql.phrase_count("text", pattern)
+    return sql.count("text", sql.q("(?i)" + pattern)) if kind == "regex" else f"len(regexp_extract_all(text, '\\{pattern}'))"
+
+
+_BAN_ROWS = " UNION ALL ".join(f"SELECT draft_id, 'rules.{b.id}' AS rule_id, '{b.severity}' AS severity, {_counted(b.pattern, b.kind)}::VARCHAR AS observed, '0' AS expected FROM drafts WHERE medium IN ({', '.join(map(sql.q, b.media))}) AND {_counted(b.pattern, b.kind)} > 0" for b in lint.BANS)
+
+
+@query(f"{D} {_BAN_ROWS}")
+def l02_bans(spark, sf):
+    return lint.bans(_drafts(spark, sf))
+
+
+@query()
+def l02_locations(spark, sf):
+    return lint.locations(_drafts(spark, sf))
+
+
+_SEEN = {"exclamations_max": sql.count("text", "'!'"), "emoji_max": f"{sql.count('text', sql.q(lex.emoji_class()))} + {sql.count('text', sql.q(':\\)|;\\)|:-\\)|:D'))}", "em_dashes_max": sql.count("text", "'—'")}
+_LIMIT_ROWS = " UNION ALL ".join(f"SELECT draft_id, 'rules.{k}' AS rule_id, 'error' AS severity, ({_SEEN[k]})::VARCHAR AS observed, '{v}' AS expected FROM drafts WHERE medium = '{m}' AND ({_SEEN[k]}) > {v}" for m, ks in lint.LIMITS.items() for k, v in ks.items() if k in _SEEN)
+
+
+@query(f"{D} {_LIMIT_ROWS}")
+def l03_limits(spark, sf):
+    return lint.limits(_drafts(spark, sf)).where("rule_id <> 'rules.headings_allowed'")
+
+
+_SPELL_ROWS = " UNION ALL ".join(f"SELECT draft_id, 'rules.spelling' AS rule_id, 'error' AS severity, '{a}' AS observed, '{b}' AS expected FROM drafts WHERE {sql.phrase_count('text', a)} > 0" for _, b, a in lex.VARIANTS)
+
+
+@query(f"{D} {_SPELL_ROWS}")
+def l04_spelling(spark, sf):
+    return lint.spelling(_drafts(spark, sf))
+
+
+_TIERS = {"email": ["failed"], "article": ["ring"], "never": ["cheap"]}
+
+
+@query(f"{D} " + " UNION ALL ".join(f"SELECT draft_id, 'rules.swearing' AS rule_id, 'error' AS severity, '{w}' AS observed, 'allowed tier' AS expected FROM drafts WHERE {'true' if w == 'cheap' else f'medium <> {chr(39)}{m}{chr(39)}'} AND {sql.phrase_count('text', w)} > 0" for m, ws in _TIERS.items() for w in ws))
+def l05_swearing(spark, sf):
+    return lint.swearing(_drafts(spark, sf), _TIERS)
+
+
+DM = f"{D}, {sql.prepared('drafts')}, {sql.measured('prep')}"
+
+
+@query(f"{DM} SELECT draft_id, 'stats.short_draft' AS rule_id, 'info' AS severity, round(words, 1)::DOUBLE AS observed, '80' AS expected FROM met WHERE NOT gated")
+def l06_short_drafts(spark, sf):
+    return lint.short(lint.measured(_drafts(spark, sf))).withColumn("observed", F.col("observed").cast("double"))
+
+
+_BAND_PAIRS = ", ".join(f"{{'metric': '{m}', 'value': {m}}}" for m in tx.METRICS)
+
+
+@query(f"WITH prof AS ({_SQL['register_distribution']}), dm AS ({DM} SELECT * FROM met), v AS (SELECT draft_id, register, x.metric AS metric, round(x.value, 4) AS value FROM (SELECT draft_id, register, unnest([{_BAND_PAIRS}]) AS x FROM dm WHERE gated)) SELECT draft_id, 'stats.' || metric AS rule_id, 'warn' AS severity, value AS observed FROM v JOIN prof USING (register, metric) WHERE n_gated >= 30 AND NOT value BETWEEN band_p10 AND band_p90")
+def l07_bands(spark, sf):
+    return lint.bands(lint.measured(_drafts(spark, sf)), stats.distribution(measured(spark, sf))).select("draft_id", "rule_id", "severity", F.col("observed").cast("double").alias("observed"))
+
+
+@query(f"{R}, basis AS (SELECT sum({sql.n_words('text')}) AS total FROM usable), " + D.removeprefix("WITH ") + " " + " UNION ALL ".join(f"SELECT draft_id, 'lexicon.llm_ism' AS rule_id, CASE WHEN (SELECT sum({sql.phrase_count('text', t)}) FROM usable) = 0 AND (SELECT total FROM basis) >= 50000 THEN 'error' ELSE 'warn' END AS severity, '{t}' AS observed, 'owner wording' AS expected FROM drafts WHERE {sql.phrase_count('text', t)} > 0" for t in lex.LLM_ISMS))
+def l08_llm_isms(spark, sf):
+    return lint.llm_isms(_drafts(spark, sf), stats.phrase_hits(usable(spark, sf), lex.LLM_ISMS))
+
+
+@query()
+def l09_tells(spark, sf):
+    limits = stats.tell_thresholds(tx.told(tx.prepared(usable(spark, sf))))
+    return lint.tells(lint.measured(_drafts(spark, sf)), limits)
+
+
+@query()
+def l10_fragmentation(spark, sf):
+    return lint.fragmentation(lint.measured(_drafts(spark, sf)))
+
+
+@query()
+def l11_structure(spark, sf):
+    return lint.structure(lint.measured(_drafts(spark, sf)), stats.distribution(measured(spark, sf)), expected=0.0)
+
+
+@query(f"WITH f AS ({D} {_BAN_ROWS}) SELECT draft_id, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (severity = 'info') AS info FROM f GROUP BY 1")
+def a30_lint_summary(spark, sf):
+    return lint.summary(lint.bans(_drafts(spark, sf)))
+
+
+# --- edits ------------------------------------------------------------------------------------
+
+
+def _chains(spark, sf):
+    """Conversations as chains: each turn is a version."""
+    c = table(spark, sf, "conversations")
+    return c.select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("version"), "text", F.when(F.col("conv_id") % 2 == 0, "llm").otherwise("owner").alias("origin"))
+
+
+_MD = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '!\[([^\]]*)\]\([^)]*\)', '[image: \1]', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^[ \t]*(?:[-*+] |\d+\. )', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+
+
+@query(f"SELECT chain_id, version, length(before)::BIGINT AS n_before, length(after)::BIGINT AS n_after FROM (SELECT conv_id AS chain_id, turn AS version, lag(x) OVER (PARTITION BY conv_id ORDER BY turn) AS before, x AS after FROM (SELECT conv_id, turn, {sql.strip('coalesce(text, chr(32))')} AS x FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[*_`#<\\[\\]]|^---|(?m)^\\s*[-+] |(?m)^\\s*\\d+\\. '))) WHERE before IS NOT NULL")
+def j12_version_pairs(spark, sf):
+    plain = _chains(spark, sf).where(~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[*_`#<\[\]]|^---|(?m)^\s*[-+] |(?m)^\s*\d+\. ")))
+    return delta.version_pairs(plain).select("chain_id", "version", F.char_length("before").cast("long").alias("n_before"), F.char_length("after").cast("long").alias("n_after"))
+
+
+@query()
+def a26_metric_change(spark, sf):
+    return delta.metric_change(_chains(spark, sf))
+
+
+def _edits(spark, sf):
+    return delta.edits(delta.version_pairs(_chains(spark, sf)))
+
+
+@query()
+def a27_operation_counts(spark, sf):
+    return delta.operation_counts(_edits(spark, sf))
+
+
+@query()
+def e02_e06_edits(spark, sf):
+    return _edits(spark, sf).select("chain_id", "version", "index", "op", F.array_join("tags", ",").alias("tags"), F.size("swaps").alias("swaps"))
+
+
+@query()
+def a28_substitutions(spark, sf):
+    return delta.substitutions(_edits(spark, sf))
+
+
+@query()
+def e07_examples(spark, sf):
+    return delta.examples(_edits(spark, sf))
+
+
+@query()
+def e08_blind_comparison(spark, sf):
+    c = _chains(spark, sf).groupBy(F.col("chain_id").alias("id")).agg(F.min_by("text", "version").alias("old_draft"), F.max_by("text", "version").alias("old_final"))
+    return delta.blind_comparison(c.select("id", "old_draft", "old_final", F.col("old_final").alias("new_draft"), F.col("old_final").alias("new_final")))
+
+
+# --- findings ---------------------------------------------------------------------------------
+
+
+def _findings(spark, sf):
+    """Benchmark passages as quotes that a reader took from documents."""
+    b = table(spark, sf, "benchmark").where("text is not null")
+    i = F.col("item_id")
+    return b.select(i.alias("finding_no"), F.get(F.lit(qual.DIMENSIONS), (i % 3).cast("int")).alias("dimension"), F.get(F.lit(lex.CLASSES), (i % 4).cast("int")).alias("register"), F.concat(F.lit("Often says "), F.array_join(F.slice(F.split("text", " "), 1, 4), " ")).alias("observation"), F.array_join(F.slice(F.split("text", " "), 2, 6), " ").alias("quote"), F.substring(F.sha2((i % 50).cast("string"), 256), 1, 16).alias("record_id"), F.get(F.lit(["high", "medium", "low"]), (i % 3).cast("int")).alias("confidence"))
+
+
+_FIND = f"WITH f AS (SELECT item_id AS finding_no, ({sql.array(qual.DIMENSIONS)})[(item_id % 3 + 1)::INT] AS dimension, ({sql.array(lex.CLASSES)})[(item_id % 4 + 1)::INT] AS register, 'Often says ' || array_to_string(string_split(text, ' ')[1:4], ' ') AS observation, array_to_string(string_split(text, ' ')[2:7], ' ') AS quote, substr(sha256((item_id % 50)::VARCHAR), 1, 16) AS record_id, (['high', 'medium', 'low'])[(item_id % 3 + 1)::INT] AS confidence FROM benchmark WHERE text IS NOT NULL)"
+_NORM = r"lower(regexp_replace(regexp_replace(observation, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
+
+
+@query(f"{_FIND}, r AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 16) AS record_id, text FROM documents) SELECT finding_no, record_id FROM f JOIN r USING (record_id) WHERE contains(r.text, quote)")
+def j09_grounded_exact(spark, sf):
+    return qual.grounded_exact(_findings(spark, sf), rows(spark, sf)).select("finding_no", "record_id")
+
+
+@query()
+def q01_grounded(spark, sf):
+    few = _findings(spark, sf).withColumn("record_id", F.when(F.col("finding_no") % 2 == 0, F.lit("none")).otherwise(F.col("record_id")))
+    return qual.ground(few, rows(spark, sf)).select("finding_no", "ratio", "dropped")
+
+
+@query()
+def q02_reconciled(spark, sf):
+    f = _findings(spark, sf)
+    prior = qual.merge(f.where("finding_no % 2 = 0"))
+    return qual.reconcile(f, prior).select("finding_no", "status", "finding_id")
+
+
+@query(f"{_FIND}, k AS (SELECT *, sha256(dimension || chr(0) || register || chr(0) || {_NORM}) AS finding_id FROM f) SELECT finding_id, dimension, register, count(DISTINCT record_id) AS support, count(DISTINCT (record_id, quote)) AS evidence FROM k GROUP BY ALL")
+def q03_merged(spark, sf):
+    return qual.merge(_findings(spark, sf)).select("finding_id", "dimension", "register", "support", "evidence")
+
+
+@query(f"{_FIND}, k AS (SELECT *, sha256(dimension || chr(0) || register || chr(0) || {_NORM}) AS finding_id FROM f), m AS (SELECT finding_id, count(DISTINCT record_id) AS support, arg_min(confidence, (record_id, quote)) AS c FROM k GROUP BY ALL) SELECT finding_id, support FROM m ORDER BY support DESC, list_position(['high', 'medium', 'low'], c), finding_id LIMIT 80")
+def q06_top_findings(spark, sf):
+    return qual.top_findings(qual.merge(_findings(spark, sf)))
+
+
+@query()
+def q04_cross_register(spark, sf):
+    f = _findings(spark, sf)
+    return qual.cross_register(qual.merge(f), f)
+
+
+@query(f"{_FIND} SELECT finding_no FROM f WHERE {sql.n_words('quote')} <= 25 AND finding_no % 5 <> 0")
+def q09_parsed(spark, sf):
+    f = _findings(spark, sf)
+    good = F.to_json(F.struct("dimension", "register", "observation", "quote", "record_id", "confidence"))
+    line = F.when(F.col("finding_no") % 5 == 0, F.lit("no json here")).otherwise(good)
+    read = qual.parsed(f.select(line.alias("value")))
+    return read.join(f, ["dimension", "register", "observation", "quote", "record_id", "confidence"]).select("finding_no").distinct()
+
+
+@query()
+def q11_absent_quotes(spark, sf):
+    drafts = _findings(spark, sf).select(F.col("finding_no").alias("draft_id"), F.concat(F.lit('He said "'), "quote", F.lit('" and `'), "observation", F.lit("`.")).alias("text"))
+    return qual.absent_quotes(drafts, rows(spark, sf))
+
+
+@query("SELECT count(*) FILTER (item_id % 3 = 0) AS pending, count(*) FILTER (item_id % 3 = 1) AS done, count(*) FILTER (item_id % 3 = 2) AS failed FROM benchmark")
+def a29_chunk_status(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return qual.chunk_status(b.select(F.get(F.lit(["pending", "done", "failed"]), (F.col("item_id") % 3).cast("int")).alias("status")))
+
+
+# --- guard and extraction -----------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\\w.!#$%&''*+/=?^`{{|}}~-]+@([\\w-]+(?:\\.[\\w-]+)+)', 1), lambda d: NOT list_contains({sql.array(guard.RESERVED)}, lower(d)) AND NOT ends_with(lower(d), '.example'))) > 0 AS real_address FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+def g03_real_addresses(spark, sf):
+    ascii_ = table(spark, sf, "documents").where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z")))
+    return ascii_.select("doc_id", guard.real_address(F.col("text")).alias("real_address"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^\w.]((?:\d{1,3}\.){3}\d{1,3})[^\w.]', 1), lambda x: len(list_filter(string_split(x, '.'), lambda p: p::INT > 255 OR (length(p) > 1 AND starts_with(p, '0')))) = 0 AND (starts_with(x, '10.') OR starts_with(x, '192.168.') OR regexp_matches(x, '^172\.(1[6-9]|2\d|3[01])\.')))) > 0 AS private_address FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')")
+def g05_private_addresses(spark, sf):
+    ascii_ = table(spark, sf, "documents").where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z")))
+    return ascii_.select("doc_id", guard.private_address(F.col("text")).alias("private_address"))
+
+
+@query("SELECT page_id, regexp_matches(path, '^raw/.*\\.jsonl$') OR regexp_matches(path, '\\.eml$') AS artifact FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'raw/a.jsonl' WHEN page_id % 4 = 1 THEN 'in/b.eml' WHEN page_id % 4 = 2 THEN 'tests/fixtures/raw/a.jsonl' ELSE 'src/x.py' END AS path FROM pages)")
+def g01_artifacts(spark, sf):
+    i = F.col("page_id")
+    path = F.when(i % 4 == 0, "raw/a.jsonl").when(i % 4 == 1, "in/b.eml").when(i % 4 == 2, "tests/fixtures/raw/a.jsonl").otherwise("src/x.py")
+    return table(spark, sf, "pages").select("page_id", guard.artifact(path).alias("artifact"))
+
+
+@query()
+def g04_name_hits(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return guard.name_hits(docs, ["Erthin", "The", "Ou", "Onthe"])
+
+
+@query()
+def g06_scan(spark, sf):
+    files = table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".eml")).alias("path"), "text")
+    return guard.scan(files, release=True)
+
+
+@query()
+def x05_x06_page_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", extract.page_text("html").alias("c")).select("page_id", F.char_length("c.text").alias("n_chars"), F.array_join("c.rules", ",").alias("rules"), F.col("c.inline").alias("inline"))
+
+
+@query()
+def x07_x10_own_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", extract.own_text("text").alias("c")).select("doc_id", F.char_length("c.text").alias("n_chars"), F.array_join("c.rules", ",").alias("rules"), F.array_join("c.flags", ",").alias("flags"))
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?'))::BIGINT AS words, CASE WHEN len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) > 3000 OR regexp_matches(text, '(?im)wrote:|^From:|^>|^Subject:') THEN 'low' ELSE 'high' END AS confidence FROM documents")
+def x12_x13_flags(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", tx.word_count(t).cast("long").alias("words"), extract.confidence(extract.text_flags(t)).alias("confidence"))
+
+
+@query("SELECT conv_id, turn, (least(h, p) > 10 AND abs(h - p)::DOUBLE / greatest(h, p) > 0.5) AS mismatch FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS p, coalesce(len(regexp_extract_all(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '[A-Za-z]+(?:''[A-Za-z]+)?')), 0) AS h FROM conversations)")
+def x11_mismatch(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    n = table(spark, sf, "conversations").select("conv_id", "turn", tx.word_count(F.col("text")).alias("p"), F.coalesce(F.lag(tx.word_count(F.col("text"))).over(w), F.lit(0)).alias("h"))
+    return n.select("conv_id", "turn", extract.mismatch(F.col("h"), F.col("p")).alias("mismatch"))
+
+
+_SENSITIVE = "|".join(lex.SENSITIVE)
+
+
+@query(f"{R} SELECT record_id, regexp_matches(text, '(?i)(?:^|[^\\w])(?:{_SENSITIVE})(?:[^\\w]|$)') AS sensitive FROM rec WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+def x22_sensitive(spark, sf):
+    return rows(spark, sf).where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z"))).select("record_id", extract.sensitive(F.col("text")).alias("sensitive"))
+
+
+@query()
+def x20_scrubbed(spark, sf):
+    out = extract.scrubbed(rows(spark, sf).select("record_id", "text"), ["Erthin", "Anna", "Sam"])
+    return out.select("record_id", F.sha2("text", 256).alias("digest"), "greeting_names", "lexicon_names", "emails", "phones", "urls", "numbers", F.size("residual").alias("residual"))
+
+
+@query(f"{R} SELECT record_id, CASE WHEN starts_with(text, 'Hi Anna,') THEN 'Hi [NAME],' WHEN starts_with(text, 'Jane Doe,') THEN '[NAME],' ELSE substr(text, 1, 5) END AS head FROM rec WHERE doc_id >= {fixtures.BASE_ID}")
+def x16_greeting_mask(spark, sf):
+    masked = extract.greeting_masked(F.col("text"))
+    head = F.when(F.startswith("text", F.lit("Hi Anna,")), F.substring(masked, 1, 10)).when(F.startswith("text", F.lit("Jane Doe,")), F.substring(masked, 1, 7)).otherwise(F.substring(masked, 1, 5))
+    return rows(spark, sf).where(F.col("doc_id") >= fixtures.BASE_ID).select("record_id", head.alias("head"))
+
+
+@query()
+def a23_signatures(spark, sf):
+    """Documents end in no sign-off, so one is put on, with a line for each source."""
+    signed = rows(spark, sf).withColumn("text", F.concat("text", F.lit("\nRegards,\nOwner\nHead of "), "source", F.lit("\nCall 555 0100 200")))
+    return extract.learned_signatures(signed, ["Owner"])
+
 
-def queries() -> dict:
-    return {}
+@query()
+def x15_without_signatures(spark, sf):
+    signed = rows(spark, sf).withColumn("text", F.concat("text", F.lit("\nRegards,\nOwner\nHead of "), "source", F.lit("\nCall 555 0100 200")))
+    out = extract.without_signatures(signed.select("record_id", "source", "year", "text"), extract.learned_signatures(signed, ["Owner"]), ("Owner",))
+    return out.select("record_id", "signoff", F.array_join("rules", ",").alias("rules"), F.char_length("text").alias("n_chars"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT DISTINCT unnest(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]+(?:[-''][A-Z]?[a-z]+)*\\b')) AS name FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+def x19_name_tokens(spark, sf):
+    return extract.name_tokens(table(spark, sf, "benchmark").where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z"))).select(F.col("text").alias("value")))
