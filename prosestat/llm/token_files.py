@@ -35,21 +35,56 @@ END_ID = 1
 LENGTH = 2048
 SEQUENCES = 64
 WIDTH = pa.uint16()  # 49,408 ids
-SHARD_BYTES = 256 << 20
-
-_OPEN: dict[str, PartCache] = {}
-
-
-def opened(path: str) -> PartCache:
+CACHE = 1_000_000  # parts
+
+_OPEN: dict[str, WordCache] = {}
+
+
+class WordCache(PartCache):
+    """Parts that end in one closing mark after a letter are the part without it and the mark:
+    the tokenizer always cuts between a letter and a mark. New parts are encoded many in one
+    text, between marks that none of them holds."""
+
+    def __init__(self, tokenizer: Tokenizer, most: int = CACHE) -> None:
+        self.tokenizer = tokenizer
+        self.mark = self.whole(["\0"])[0]
+        self.ends = {c: self.whole([c])[0] for c in ".,!?"}
+        super().__init__(self.fresh, most)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(self, parts: list[str]) -> list[list[int]]:
+        odd = [p for p in parts if "\0" in p]
+        ids = dict(zip(odd, self.whole(odd), strict=True))
+        plain = [p for p in parts if "\0" not in p]
+        for k in range(0, len(plain), 60):
+            part = plain[k : k + 60]
+            flat = self.whole([" \0 ".join(part)])[0]
+            at, start = np.flatnonzero(np.array(flat) == self.mark[0]).tolist(), 0
+            for p, end in zip(part, [*at, len(flat)], strict=True):
+                ids[p] = flat[start:end]
+                start = end + 1
+        return [ids[p] for p in parts]
+
+    def fresh(self, parts: list[str]) -> list[list[int]]:
+        stems = [p[:-1] if p[-1] in self.ends and len(p) > 1 and p[-2].isalpha() else p for p in parts]
+        known = {s: self.flat[self.starts[i] : self.starts[i + 1]].tolist() for s in dict.fromkeys(stems) if (i := self.index.get(s)) is not None}
+        rest = [s for s in dict.fromkeys(stems) if s not in known]
+        known |= zip(rest, self.many(rest), strict=True)
+        return [known[s] if s is p else known[s] + self.ends[p[-1]] for s, p in zip(stems, parts, strict=True)]
+
+
+def opened(path: str) -> WordCache:
     if path not in _OPEN:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _OPEN[path] = PartCache(lambda parts: [e.ids for e in t.encode_batch_fast(parts, add_special_tokens=False)])
+        _OPEN[path] = WordCache(t)
     return _OPEN[path]
 
 
-def encode_many(cache: PartCache, texts: list[str], end_id: int = END_ID) -> list[np.ndarray]:
+def encode_many(cache: WordCache, texts: list[str], end_id: int = END_ID) -> list[np.ndarray]:
     """Ids of each text and the end id. The tokenizer drops white space and nothing in it
     reaches across, so parts between spaces and line feeds are encoded apart."""
     parts: list[str] = []

@@ -20,6 +20,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,22 +52,23 @@ class PartCache:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        self.room = self.used = 0
 
     def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per part)."""
         if len(self.index) > self.most:
             self.clear()
         get = self.index.get
-        new = [p for p in dict.fromkeys(parts) if get(p) is None]
-        if new:
+        found = list(map(get, parts))
+        if None in found:
+            new = list(dict.fromkeys(p for p, i in zip(parts, found, strict=True) if i is None))
             got = self.encode(new)
             base = len(self.index)
             self.index.update(zip(new, range(base, base + len(new)), strict=True))
             lens = np.fromiter(map(len, got), np.int64, len(got))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))])
-        at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))])
+            found = [get(p) if i is None else i for p, i in zip(parts, found, strict=True)]
+        at = np.array(found, np.int64)
         lens = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
