@@ -82,9 +82,13 @@ def finding_id(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x00", d, r, normalized(o)), 256)
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+def ratio(a: str, b: str) -> Column:
+    """Similarity of two text columns, from 0 to 1."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def reconcile(candidates: DataFrame, prior: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 RECIPIENT = "array<struct<address:string,display_name:string,kind:string>>"
 MESSAGE = f"locator string, message_id string, in_reply_to string, refs array<string>, subject string, sent string, sender string, recipients {RECIPIENT}, labels array<string>, plain string, html string, reject string"
-FIELDS = [m[0] for m in re.findall(r"(\w+) (?:string|array<.*?>+)(?:, |$)", MESSAGE)]
+FIELDS = "locator message_id in_reply_to refs subject sent sender recipients labels plain html reject".split()
 _REJECTED = {"text/calendar": "non_mail_item", "multipart/report": "non_mail_item", "application/pkcs7-mime": "encrypted", "application/x-pkcs7-mime": "encrypted", "multipart/encrypted": "encrypted", "application/pgp-encrypted": "encrypted"}
 
 
