@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tune
 
-BLOCK = 256
+BLOCK = 64
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SHARD_SLOTS = 1024
