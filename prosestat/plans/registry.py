@@ -77,9 +77,9 @@ def select_sql(ctes: str, body: str) -> str:
 # --- records, filters, deduplication ---------------------------------------------------------
 
 
-@query(f"{R} SELECT record_id, source, eligible, recipient_class, thread_position, year, word_count, confidence, sensitive, template FROM tpl")
+@query(f"{R} SELECT record_id, source, eligible, recipient_class, thread_position, coalesce(year, 0) AS year, word_count, confidence, sensitive, template FROM tpl")
 def d02_templates(spark, sf):
-    return templated(spark, sf).select("record_id", "source", "eligible", "recipient_class", "thread_position", "year", "word_count", "confidence", "sensitive", "template")
+    return templated(spark, sf).select("record_id", "source", "eligible", "recipient_class", "thread_position", F.coalesce("year", F.lit(0)).alias("year"), "word_count", "confidence", "sensitive", "template")
 
 
 @query(f"{R} SELECT record_id, recipient_class FROM usable")
