@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lex
 
+# The patterns of words and list lines.
 WORD = r"\[[A-Z]+\]|[A-Za-z]+(?:'[A-Za-z]+)?"
 LIST_LINE = r"^\s*(?:[-*+] |\d+\. )"
 #: Marks inside intermediate strings: a cut, a list item, a protected full stop.
@@ -126,6 +127,7 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.flatten(parts), lambda x: F.translate(x, DOT, ".")), has_word)
 
 
+# The patterns of greetings.
 GREETING = r"(?i)^(?:Hi|Hey|Hello|Heya|Dear|Morning|Good (?:day|morning|afternoon|evening))\b\s*([^,\n]{1,40})?,"
 BARE_NAME = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}),"
 
@@ -222,6 +224,7 @@ def measured(df: DataFrame, softeners: list[str] = lex.SOFTENERS, html: bool = F
     return out.withColumn("gated", (n >= 80) & (s >= 5)).drop("_tok", "_sents", "_low", "_n", "_s", "_p")
 
 
+# The patterns of the habits.
 HEADING = r"^\s{0,3}(?:#{1,6}[ \t]+\S|\*\*[^*\n]+\*\*\s*$|__[^_\n]+__\s*$)"
 BULLET = r"^\s*(?:[-*•+]|\d+[.)])\s+"
 BOLD_BULLET = r"^\s*(?:[-*•+]|\d+[.)])\s+\*\*[^*\n]+\*\*"

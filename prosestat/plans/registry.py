@@ -634,9 +634,12 @@ _FIND = f"WITH f AS (SELECT item_id AS finding_no, ({sql.array(qual.DIMENSIONS)}
 _NORM = r"lower(regexp_replace(regexp_replace(observation, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
 
 
-@query(f"{_FIND}, r AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 16) AS record_id, text FROM documents) SELECT finding_no, record_id FROM f JOIN r USING (record_id) WHERE contains(r.text, quote)")
+@query("SELECT f.doc_id AS finding_no, substr(sha256(r.doc_id::VARCHAR), 1, 16) AS record_id FROM documents f JOIN documents r ON r.doc_id = f.doc_id - f.doc_id % 3 WHERE contains(r.text, array_to_string(string_split(f.text, ' ')[2:7], ' '))")
 def j09_grounded_exact(spark, sf):
-    return qual.grounded_exact(_findings(spark, sf), rows(spark, sf)).select("finding_no", "record_id")
+    """Words of documents as quotes, a third of them given to the right record."""
+    docs = table(spark, sf, "documents")
+    quotes = docs.select(F.col("doc_id").alias("finding_no"), F.array_join(F.slice(F.split("text", " "), 2, 6), " ").alias("quote"), rec.record_id((F.col("doc_id") - F.col("doc_id") % 3).cast("string")).alias("record_id"))
+    return qual.grounded_exact(quotes, rows(spark, sf)).select("finding_no", "record_id")
 
 
 @query()

@@ -83,16 +83,16 @@ def test_tells(spark):
 
 
 def python_staccato(lengths):
-    count = start = 0
-    while start < len(lengths):
-        end = start
-        while end < len(lengths) and lengths[end] <= 6 and max(lengths[start : end + 1]) - min(lengths[start : end + 1]) <= 2:
-            end += 1
-        if end - start >= 3:
-            count, start = count + 1, end
-        else:
-            start += 1
-    return count
+    def run_from(i):
+        fits = [n for n in range(1, len(lengths) - i + 1) if max(w := lengths[i : i + n]) <= 6 and max(w) - min(w) <= 2]
+        return max(fits, default=0)
+
+    at = runs = 0
+    while at < len(lengths):
+        n = run_from(at)
+        runs += n >= 3
+        at += n if n >= 3 else 1
+    return runs
 
 
 def test_staccato_agrees_with_search(spark):
