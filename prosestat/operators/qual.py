@@ -45,7 +45,7 @@ def best_window(quote: str, text: str, least: float) -> tuple[float, str]:
             matcher.set_seq1(text[start:end])
             floor = max(best[0], least)
             if matcher.real_quick_ratio() >= floor and matcher.quick_ratio() >= floor:
-                # The reference order of the sequences is the quote first.
+                # The ratio depends on the order of the two: the quote comes first.
                 r = SequenceMatcher(None, quote, text[start:end], autojunk=False).ratio()
                 if r > best[0]:
                     best = (r, text[start:end])
