@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import fields, text_bytes, tune
 
-PER_CLASS = 1500  # the bound of the fitted sample, for each label
-TERMS = 4096
+PER_CLASS = 1000  # the bound of the fitted sample, for each label
+TERMS = 2048
 SHAPES = 7
 LEVELS = 12
 WIDTH = TERMS + SHAPES * LEVELS
@@ -65,7 +65,7 @@ def features(text: bytes) -> np.ndarray:
         h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        out[:TERMS] = np.log1p(np.bincount(h >> np.uint32(20), minlength=TERMS))
+        out[:TERMS] = np.log1p(np.bincount(h >> np.uint32(21), minlength=TERMS))
     words = text.split()
     if not words:
         return out
