@@ -585,6 +585,12 @@ def j12_version_pairs(spark, sf):
     return delta.version_pairs(plain).select("chain_id", "version", F.char_length("before").cast("long").alias("n_before"), F.char_length("after").cast("long").alias("n_after"))
 
 
+@query()
+def j12_version_pairs_whole(spark, sf):
+    """Over all turns, as above over those without marks."""
+    return delta.version_pairs(_chains(spark, sf))
+
+
 @query()
 def a26_metric_change(spark, sf):
     return delta.metric_change(_chains(spark, sf))
@@ -701,12 +707,23 @@ def g03_real_addresses(spark, sf):
     return ascii_.select("doc_id", guard.real_address(F.col("text")).alias("real_address"))
 
 
+@query()
+def g03_real_addresses_whole(spark, sf):
+    """Over all documents: DuckDB's word characters are ASCII, so the one above leaves other texts out."""
+    return table(spark, sf, "documents").select("doc_id", guard.real_address(F.col("text")).alias("real_address"))
+
+
 @query(r"SELECT doc_id, len(list_filter(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^\w.]((?:\d{1,3}\.){3}\d{1,3})[^\w.]', 1), lambda x: len(list_filter(string_split(x, '.'), lambda p: p::INT > 255 OR (length(p) > 1 AND starts_with(p, '0')))) = 0 AND (starts_with(x, '10.') OR starts_with(x, '192.168.') OR regexp_matches(x, '^172\.(1[6-9]|2\d|3[01])\.')))) > 0 AS private_address FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')")
 def g05_private_addresses(spark, sf):
     ascii_ = table(spark, sf, "documents").where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z")))
     return ascii_.select("doc_id", guard.private_address(F.col("text")).alias("private_address"))
 
 
+@query()
+def g05_private_addresses_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", guard.private_address(F.col("text")).alias("private_address"))
+
+
 @query("SELECT page_id, regexp_matches(path, '^raw/.*\\.jsonl$') OR regexp_matches(path, '\\.eml$') AS artifact FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'raw/a.jsonl' WHEN page_id % 4 = 1 THEN 'in/b.eml' WHEN page_id % 4 = 2 THEN 'tests/fixtures/raw/a.jsonl' ELSE 'src/x.py' END AS path FROM pages)")
 def g01_artifacts(spark, sf):
     i = F.col("page_id")
@@ -759,6 +776,11 @@ def x22_sensitive(spark, sf):
     return rows(spark, sf).where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z"))).select("record_id", extract.sensitive(F.col("text")).alias("sensitive"))
 
 
+@query()
+def x22_sensitive_whole(spark, sf):
+    return rows(spark, sf).select("record_id", extract.sensitive(F.col("text")).alias("sensitive"))
+
+
 @query()
 def x20_scrubbed(spark, sf):
     out = extract.scrubbed(rows(spark, sf).select("record_id", "text"), ["Erthin", "Anna", "Sam"])
@@ -772,6 +794,12 @@ def x16_greeting_mask(spark, sf):
     return rows(spark, sf).where(F.col("doc_id") >= fixtures.BASE_ID).select("record_id", head.alias("head"))
 
 
+@query()
+def x16_greeting_mask_whole(spark, sf):
+    """All records, whole texts."""
+    return rows(spark, sf).select("record_id", extract.greeting_masked(F.col("text")).alias("text"))
+
+
 @query()
 def a23_signatures(spark, sf):
     """Documents end in no sign-off, so one is put on, with a line for each source."""
@@ -789,3 +817,8 @@ def x15_without_signatures(spark, sf):
 @query("SELECT DISTINCT unnest(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]+(?:[-''][A-Z]?[a-z]+)*\\b')) AS name FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
 def x19_name_tokens(spark, sf):
     return extract.name_tokens(table(spark, sf, "benchmark").where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z"))).select(F.col("text").alias("value")))
+
+
+@query()
+def x19_name_tokens_whole(spark, sf):
+    return extract.name_tokens(table(spark, sf, "benchmark").select(F.col("text").alias("value")))
