@@ -9,9 +9,9 @@ calibrated on the same labelled URLs.
 
 Rejected examples are the URLs that a rule blocks or whose host has a word of
 ``REJECTED_WORDS``, unless a rule allows them; all others are accepted examples, whether a rule
-allows them or nothing speaks against them. Counts are taken over all of them. The model
-that is broadcast keeps the ``MODEL_GRAMS`` most frequent contexts with their characters, a
-fixed bound; rarer ones back off.
+allows them or nothing speaks against them. Counts and the threshold are taken over all of
+them, each row once. Every context with its characters is kept, in a table that grows with the
+input and is joined by shuffles; a gram of very many lines is dealt over ``SALTS`` keys.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and
 is judged by its characters (none: score 0); without examples of both kinds every score is 0;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 ORDER = 4
-MODEL_GRAMS = 60_000
+SALTS = 16
 START = "\x02"
 REJECTED_WORDS = ("casino", "bet", "bets", "betting", "poker", "slots", "adult", "porn", "xxx", "sex", "viagra", "pills", "loan", "loans")
 
@@ -70,8 +70,9 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def seen(url: Column) -> Column:
-    """What the models read: the URL after its scheme, in lower case, without query and mark."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^?#]*)", 1))
+    """What the models read: the URL after its scheme, in lower case, with its query and
+    without its mark."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^#]*)", 1))
 
 
 def grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -81,10 +82,10 @@ def grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.withColumn("_p", padded).select(*rows.columns, F.explode(F.transform(at, lambda i: F.substring(F.col("_p"), i, order + 1))).alias("g"))
 
 
-def model(lines: DataFrame, order: int = ORDER, most: int = MODEL_GRAMS) -> DataFrame:
-    """From (line, said): (k, g, ratio), the log-likelihood difference of g's last character
-    after the k before it, for the grams of each length that were seen most."""
-    full = grams(lines, order).groupBy("g").agg(F.count(F.when(F.col("said") == "allow", 1)).alias("a"), F.count(F.when(F.col("said") == "block", 1)).alias("b"))
+def model(lines: DataFrame, order: int = ORDER) -> DataFrame:
+    """From (line, allow, block), a line and its accepted and rejected rows: (g, ratio), the
+    log-likelihood difference of g's last character after those before it, for every g."""
+    full = grams(lines.select("line", "allow", "block"), order).groupBy("g").agg(F.sum("allow").alias("a"), F.sum("block").alias("b"))
     full, _ = materialize(full, "grams")
     tail = None
     for k in range(order + 1):
@@ -97,24 +98,33 @@ def model(lines: DataFrame, order: int = ORDER, most: int = MODEL_GRAMS) -> Data
         else:
             rows = rows.withColumn("s", F.expr(f"right(g, {k})")).join(tail.select(F.col("g").alias("s"), F.col("pa").alias("la"), F.col("pb").alias("lb")), "s").drop("s")
         p = lambda n, t, d, low: (F.col(n) + F.greatest(F.col(d), F.lit(1)) * F.col(low)) / (F.col(t) + F.greatest(F.col(d), F.lit(1)))
-        tail = rows.select("g", p("a", "ta", "da", "la").alias("pa"), p("b", "tb", "db", "lb").alias("pb"), (F.col("a") + F.col("b")).alias("n"))
-        out = tail.select(F.lit(k).alias("k"), "g", F.ln(F.col("pa") / F.col("pb")).alias("ratio"), "n")
-        every = out if k == 0 else every.union(out)  # noqa: F821
-    # Short contexts come first: what a longer one backs off to is never missing before it.
-    kept = every.orderBy(F.col("n").desc(), "k", "g").limit(most)
-    return materialize(kept.select("k", "g", "ratio"), "model")[0]
+        tail = rows.select("g", p("a", "ta", "da", "la").alias("pa"), p("b", "tb", "db", "lb").alias("pb"))
+    return materialize(tail.select("g", F.ln(F.col("pa") / F.col("pb")).alias("ratio")), "model")[0]
 
 
 def scores(lines: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
-    """(line, score) of distinct lines: the mean ratio per character."""
-    rows = grams(lines, order)
-    for k in range(order, -1, -1):
-        # At most MODEL_GRAMS rows in all.
-        part = F.broadcast(table.where(F.col("k") == k).select(F.col("g").alias("_g"), F.col("ratio").alias(f"_{k}")))
-        rows = rows.join(part, F.expr(f"right(g, {k + 1})") == F.col("_g"), "left").drop("_g")
+    """(id, score) of the model's own lines (id, line): the mean ratio per character. All their
+    grams are in the table, so none backs off."""
+    rows = grams(lines.select("id", "line"), order).groupBy("id", "g").agg(F.count("*").alias("n"))
+    # Some grams stand in nearly every line.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Whole numbers add up alike in any order.
-    ratio = F.coalesce(*(F.col(f"_{k}") for k in range(order, -1, -1)), F.lit(0.0))
-    return rows.groupBy("line").agg((F.sum(F.round(ratio * 1e9).cast("long")) / F.count("*") / 1e9).alias("score"))
+    found = rows.join(dealt.hint("merge"), ["g", "salt"])
+    return found.groupBy("id").agg((F.sum(F.round(F.col("ratio") * 1e9).cast("long") * F.col("n")) / F.sum("n") / 1e9).alias("score"))
+
+
+def threshold(scored: DataFrame) -> float:
+    """Between the classes' means over rows, nearer to the tighter class, from (score, allow,
+    block); 0 without examples of both."""
+    s = F.round(F.col("score") * 1e9).cast("decimal(20,0)")
+    sums = [f(F.col(c)).alias(f"{n}_{c}") for c in ("allow", "block") for n, f in (("n", F.sum), ("s", lambda w: F.sum((s * w).cast("decimal(38,0)"))), ("q", lambda w: F.sum((s * s * w).cast("decimal(38,0)"))))]
+    fit = scored.agg(*sums).first()  # one row
+    if not fit["n_allow"] or not fit["n_block"]:
+        return 0.0
+    n, t, q = ([int(fit[f"{x}_{c}"]) for c in ("allow", "block")] for x in "nsq")
+    (m_a, m_b), (d_a, d_b) = (x / y / 1e9 for x, y in zip(t, n)), (max(0, y * z - x * x) ** 0.5 / y / 1e9 for x, y, z in zip(t, n, q))
+    return (m_a * (d_b + 1e-6) + m_b * (d_a + 1e-6)) / (d_a + d_b + 2e-6)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -122,11 +132,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = ruled(pages.select("page_id", "url"), rules).withColumn("line", seen(F.col("url")))
     words = F.split("host", r"[^a-z]+")
     label = F.coalesce("said", F.when(F.arrays_overlap(words, F.lit(list(REJECTED_WORDS))), F.lit("block")), F.lit("allow"))
-    lines, _ = materialize(rows.groupBy("line").agg(F.max(label).alias("said")), "lines")
-    scored, _ = materialize(lines.join(scores(lines, model(lines)), "line", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "scored")
-    # The threshold lies between the classes' means, nearer to the tighter one; one row.
-    fit = scored.groupBy().agg(*(f(F.when(F.col("said") == s, F.col("score"))).alias(f"{n}_{s}") for s in ("allow", "block") for n, f in (("m", F.avg), ("d", F.stddev_pop)))).first()
-    m_a, d_a, m_b, d_b = (fit[c] for c in ("m_allow", "d_allow", "m_block", "d_block"))
-    least = 0.0 if m_a is None or m_b is None else (m_a * (d_b + 1e-6) + m_b * (d_a + 1e-6)) / (d_a + d_b + 2e-6)
+    lines = rows.groupBy("line").agg(*(F.count_if(label == s).alias(s) for s in ("allow", "block"))).withColumn("id", F.monotonically_increasing_id())
+    # Written, so ids stay.
+    lines, _ = materialize(lines, "lines")
+    found = lines.join(scores(lines, model(lines)), "id", "left")
+    scored, _ = materialize(found.select("line", "allow", "block", F.coalesce("score", F.lit(0.0)).alias("score")), "scored")
+    least = threshold(scored)
     out = rows.join(scored.select("line", "score"), "line", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= least, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score")
