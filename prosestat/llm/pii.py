@@ -9,8 +9,8 @@ of one entity agree across the document: a number first given in full as a phone
 also found where it is repeated without its prefix. Base spans are clamped, so they stay.
 
 Weights are learned by pseudo-likelihood on a bounded sample of documents, with the base
-spans' labels, which mentions of the same normal form share, and none elsewhere. Mentions that no
-base span of the document supports by such a link, directly or through others, stay unlabelled.
+spans' labels, which mentions of the same normal form share, and none elsewhere. Every mention of
+every document, with base spans or without, is labelled by its belief.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string; links per
 mention are at most two, so a text with many mentions costs time in proportion; a null doc_id
@@ -175,7 +175,7 @@ class Crf:
         node[known] = -30.0
         node[known, clamped[known]] = 0.0
         links = np.array([*chain, *skip], np.int64).reshape(-1, 2)
-        kind = np.array([0] * len(chain) + [1] * len(skip))
+        kind = np.array([0] * len(chain) + [1] * len(skip), np.int64)
         src, dst = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
         pot = np.exp(np.stack([self.chain, self.skip]))[np.concatenate([kind, kind])]
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
@@ -196,30 +196,16 @@ class Crf:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def _supported(n: int, known: np.ndarray, skip: list) -> np.ndarray:
-    """Mentions that skip links join with a base span."""
-    ok = known.copy()
-    for _ in range(2):
-        for a, b in skip:
-            if ok[a] or ok[b]:
-                ok[a] = ok[b] = True
-        skip = skip[::-1]
-    return ok
-
-
 def added_spans(text: str, base: list[tuple[int, int, int]], crf: Crf) -> list[tuple[int, int, int]]:
-    if not base:
-        return []
+    """Mentions outside the base spans whose belief in a kind is at least ``EMIT``."""
     found = mentions(text, base)
-    clamped = np.array([label for *_, label in found])
-    skip = skips(text, found)
-    ok = _supported(len(found), clamped >= 0, skip) & (clamped < 0)
-    if not ok.any():
+    clamped = np.array([label for *_, label in found], np.int64)
+    if not (clamped < 0).any():
         return []
     feats = np.stack([unary(text, s, e) for s, e, _ in found])
-    p = crf.marginals(feats, clamped, [(i, i + 1) for i in range(len(found) - 1)], skip)
+    p = crf.marginals(feats, clamped, [(i, i + 1) for i in range(len(found) - 1)], skips(text, found))
     best = p.argmax(axis=1)
-    return [(found[i][0], int(best[i]) - 1, found[i][1]) for i in np.flatnonzero(ok) if best[i] != NONE and p[i, best[i]] >= EMIT]
+    return [(found[i][0], int(best[i]) - 1, found[i][1]) for i in np.flatnonzero(clamped < 0) if best[i] != NONE and p[i, best[i]] >= EMIT]
 
 
 def training_case(text: str) -> tuple[np.ndarray, np.ndarray, list, list] | None:
