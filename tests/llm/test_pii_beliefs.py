@@ -24,3 +24,50 @@ def test_unary_weights_alone_add_a_span():
     assert pii.base_spans(text) == [] and pii.added_spans(text, [], crf) == [(5, 3, 17)]
     assert pii.added_spans(text, [], pii.Crf()) == []
     assert pii.added_spans("no numbers", [], crf) == []
+
+
+def test_a_label_reaches_the_last_of_many_repeats():
+    crf, n = pii.Crf(), 400
+    crf.skip += 6 * np.eye(pii.LABELS)
+    crf.unary[pii.NONE, 0] = 0.0005
+    text = "+1 (212) 555-0100 and " + "; ".join(["212 555-0100"] * n)
+    base = pii.base_spans(text)
+    assert len(base) == 1
+    found = pii.mentions(text, base)
+    feats = np.stack([pii.unary(text, s, e) for s, e, _ in found])
+    clamped = np.array([label for *_, label in found])
+    got = crf.marginals(feats, clamped, [], pii.skips(text, found))
+    # Forward and backward along the chain, exactly: no loops.
+    node = feats @ crf.unary.T
+    node[0] = np.where(np.arange(pii.LABELS) == clamped[0], 0.0, -30.0)
+    node, pot = np.exp(node - node.max(axis=1, keepdims=True)), np.exp(crf.skip)
+    fore, aft = [node[0]], [np.ones(pii.LABELS)]
+    for v in node[1:]:
+        m = fore[-1] @ pot * v
+        fore.append(m / m.sum())
+    for v in node[:0:-1]:
+        m = pot @ (v * aft[-1])
+        aft.append(m / m.sum())
+    want = np.array(fore) * np.array(aft[::-1])
+    assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-3)
+    assert got[13:40].argmax(axis=1).tolist() == [4] * 27
+
+
+def test_beliefs_settle_with_loops():
+    rng = np.random.default_rng(3)
+    crf, n = pii.Crf(), 60
+    crf.chain, crf.skip = -4 * np.eye(pii.LABELS), 4 * np.eye(pii.LABELS)
+    crf.unary = rng.normal(size=crf.unary.shape)
+    feats = rng.integers(0, 2, (n, pii.FEATURES)).astype(float)
+    skip = [(i, i + 3) for i in range(n - 3)]
+    p = crf.marginals(feats, np.full(n, -1), [(i, i + 1) for i in range(n - 1)], skip)
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1)
+
+
+def test_training_reads_every_mention():
+    text = "; ".join(f"{7000000 + 1117 * k}" for k in range(200))
+    feats, labels, chain, _ = pii.training_case(text)
+    assert len(feats) == len(labels) == 200 and len(chain) == 199
+    case = pii.training_case(pii.VARIED[0])
+    once, twice = pii.Crf().fit([case, case]), pii.Crf().fit([case])
+    assert np.allclose(once.unary, twice.unary)
