@@ -160,12 +160,20 @@ def quotes_of(drafts: DataFrame) -> DataFrame:
     return drafts.select("draft_id", F.explode(F.array_distinct(spans)).alias("span")).where(F.trim("span") != "")
 
 
+SPAN_BLOCK = 10_000
+
+
 def absent_quotes(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     """Quoted spans that stand in no source text."""
     spans = quotes_of(drafts)
     distinct = spans.select("span").distinct()
-    # Quotes of drafts under check are few; sources stream past them in one pass.
-    found = sources.select("text").join(F.broadcast(distinct.limit(10_000)), F.contains("text", F.col("span"))).select("span").distinct()
+    blocks = max(1, -(-distinct.count() // SPAN_BLOCK))
+    # Each block is about SPAN_BLOCK spans, broadcast; sources stream past all blocks.
+    found = None
+    for k in range(blocks):
+        block = distinct.where(F.pmod(F.xxhash64("span"), F.lit(blocks)) == k)
+        hits = sources.select("text").join(F.broadcast(block), F.contains("text", F.col("span"))).select("span").distinct()
+        found = hits if found is None else found.unionByName(hits)
     return spans.join(found, "span", "left_anti").select("draft_id", "span")
 
 

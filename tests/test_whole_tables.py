@@ -5,6 +5,7 @@ import re
 import pytest
 
 from prosestat.functions import lexicons as lex
+from prosestat.operators import qual
 from prosestat.plans import fixtures, registry
 
 TEXTS = [
@@ -70,3 +71,12 @@ def test_names_and_versions_of_every_row(spark, folder):
     assert {r["name"] for r in registry.queries()["x19_name_tokens_whole"](spark, folder).collect()} == want
     got = {tuple(r) for r in registry.queries()["j12_version_pairs_whole"](spark, folder).collect()}
     assert got == {(1, 1, "first é", "second a"), (1, 2, "second a", "third")}
+
+
+def test_absent_quotes_searches_every_span(spark):
+    n = 12_000
+    drafts = spark.createDataFrame([(k, f'it says "span {k}." here') for k in range(n)], "draft_id long, text string")
+    sources = spark.createDataFrame([(" ".join(f"span {k}." for k in range(n) if k % 1000),), ("no span here",), (None,)], "text string")
+    got = {tuple(r) for r in qual.absent_quotes(drafts, sources).collect()}
+    assert got == {(k, f"span {k}.") for k in range(0, n, 1000)}
+    assert qual.absent_quotes(drafts.where("false"), sources).count() == 0
