@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
-Documents are encoded, dealt by ranges of doc_id and sorted, so each shard holds a run of the
-table in ascending order. A shard is one file in Arrow's random-access stream format: every
+Documents are dealt by ranges of doc_id (and a hash of the text, for ids that repeat), sorted
+and encoded, so each shard holds a run of the table in ascending order. A shard is one file in Arrow's random-access stream format: every
 batch has ``SEQUENCES`` rows of a fixed-size list of token ids and one of a mask, so sequence k
 is at a computed place and memory-mapping reads it without a copy. Documents follow each other
 without padding; only a shard's last sequence is padded, with mask 0. An index table has each
@@ -11,8 +11,8 @@ A file is written under the task attempt's own name and then renamed, so a repea
 replaces it by an equal one.
 
 Defined cases: a null or empty text is its end id alone; a null doc_id sorts first; rows that
-repeat a doc_id are ordered by their texts; special-token strings are ordinary text; other
-columns are ignored; an empty table writes no file.
+repeat a doc_id are ordered by a hash of their texts; special-token strings give their special ids, as
+in the library; other columns are ignored; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bucket_of, fields, fresh_path, id_cuts, materialize, tune
+from .common import fields, fresh_path, materialize, tune
 from .tokens import PartCache
 
 END_ID = 1
 LENGTH = 2048
 SEQUENCES = 64
+SHARD_BYTES = 128 << 20  # of input, aimed at for each file
 WIDTH = pa.uint16()  # 49,408 ids
 CACHE = 1_000_000  # parts
 
@@ -41,9 +42,10 @@ _OPEN: dict[str, WordCache] = {}
 
 
 class WordCache(PartCache):
-    """Parts that end in one closing mark after a letter are the part without it and the mark:
-    the tokenizer always cuts between a letter and a mark. New parts are encoded many in one
-    text, between marks that none of them holds."""
+    """Parts that end in one closing mark after an ASCII letter are the part without it and the
+    mark: the tokenizer always cuts there. (After other letters it may not: normalising can end
+    them in a combining mark, which goes with the closing one.) New parts are encoded many in
+    one text, between marks that none of them holds."""
 
     def __init__(self, tokenizer: Tokenizer, most: int = CACHE) -> None:
         self.tokenizer = tokenizer
@@ -68,7 +70,7 @@ class WordCache(PartCache):
         return [ids[p] for p in parts]
 
     def fresh(self, parts: list[str]) -> list[list[int]]:
-        stems = [p[:-1] if p[-1] in self.ends and len(p) > 1 and p[-2].isalpha() else p for p in parts]
+        stems = [p[:-1] if p[-1] in self.ends and len(p) > 1 and p[-2].isalpha() and p[-2].isascii() else p for p in parts]
         known = {s: self.flat[self.starts[i] : self.starts[i + 1]].tolist() for s in dict.fromkeys(stems) if (i := self.index.get(s)) is not None}
         rest = [s for s in dict.fromkeys(stems) if s not in known]
         known |= zip(rest, self.many(rest), strict=True)
@@ -78,15 +80,14 @@ class WordCache(PartCache):
 def opened(path: str) -> WordCache:
     if path not in _OPEN:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _OPEN[path] = WordCache(t)
+        _OPEN[path] = WordCache(Tokenizer.from_file(path))
     return _OPEN[path]
 
 
 def encode_many(cache: WordCache, texts: list[str], end_id: int = END_ID) -> list[np.ndarray]:
     """Ids of each text and the end id. The tokenizer drops white space and nothing in it
-    reaches across, so parts between spaces and line feeds are encoded apart."""
+    reaches across, neither normalising nor a special-token string, so parts between spaces and
+    line feeds are encoded apart."""
     parts: list[str] = []
     counts = []
     for t in texts:
@@ -195,10 +196,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shards: int, length: int
             sink.close()
             fs.move(temporary, f"{path}/{name}")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = id_cuts(rows, "doc_id", shards)
-    dealt = rows.withColumn("shard", bucket_of(F.col("doc_id"), cuts)).repartitionById(len(cuts) + 1, F.col("shard"))
-    dealt = dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     # Written once: reading the index again must not write the files again.
     return materialize(dealt.mapInArrow(save, PLACES), "places")[0]
 
@@ -231,5 +230,7 @@ def query(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     folder = fresh_path(spark, "token-files")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The planner's estimate of the input, from file sizes.
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES if size < 1 << 60 else 1)
     return read_back(write(docs, tokenizer, folder, shards), folder)
