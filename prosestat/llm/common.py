@@ -65,6 +65,11 @@ def text_bytes(text: str = "text"):
     return F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def id_cuts(rows: DataFrame, column: str, parts: int) -> list[int]:
     """Values of a long column that cut it into about ``parts`` runs of equal length."""
     if parts < 2:

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialize, release, tune
+from .common import bucket_of, let, materialize, release, tune
 
 BLOCK = 64
 MAX_REPEATS = 3
@@ -121,13 +121,19 @@ def slots(spark, sources: list[Source], seed: int = SEED) -> DataFrame:
         ends.append(total)
     rows = spark.range(0, total, 1, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) if total > TASK_SLOTS else 1, -(-total // TASK_SLOTS)))
     deal = permuted(F.col("id"), F.lit(max(total, 1)).cast("long"), F.xxhash64(F.lit(seed), F.lit("deal")))
-    rows = rows.select(F.expr(f"id div {SHARD_SLOTS}").alias("shard"), F.expr(f"cast(id % {SHARD_SLOTS} as int)").alias("slot"), deal.alias("x"))
-    # How many ends lie at or before it: sources without slots are stepped over.
-    rows = rows.withColumn("source_no", bucket_of(F.col("x"), ends))
-    at = lambda xs: F.get(F.lit([int(x) for x in xs] or [0]), F.col("source_no"))
-    rows = rows.select("shard", "slot", "source_no", (F.col("x") - at([0, *ends[:-1]])).alias("j"), at([max(s.blocks, 1) for s in sources]).cast("long").alias("blocks"))
-    block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64("source_no", F.expr("j div blocks"), F.lit(seed)))
-    return rows.select("shard", "slot", "source_no", block.alias("block"))
+    at = lambda xs, k: F.get(F.lit([int(x) for x in xs] or [0]), k)
+
+    def place(x: Column, k: Column) -> Column:
+        j, n = x - at([0, *ends[:-1]], k), at([max(s.blocks, 1) for s in sources], k).cast("long")
+        epoch = F.floor(j / n)  # quotas are at most MAX_REPEATS times the blocks
+        held = F.struct((j - epoch * n).alias("j"), n.alias("n"), F.xxhash64(k, epoch, F.lit(seed)).alias("key"))
+        return let(held, lambda h: F.struct(k.alias("source_no"), permuted(h["j"], h["n"], h["key"]).alias("block")))
+
+    # The number of ends at or before x is its source: those without slots are stepped over.
+    deal = permuted(F.col("id"), F.lit(max(total, 1)).cast("long"), F.lit(seed))
+    found = let(deal, lambda x: let(bucket_of(x, ends), lambda k: place(x, k)))
+    rows = rows.select(F.expr(f"id div {SHARD_SLOTS}").alias("shard"), F.expr(f"cast(id % {SHARD_SLOTS} as int)").alias("slot"), found.alias("f"))
+    return rows.select("shard", "slot", "f.source_no", "f.block")
 
 
 def pieces(rows: DataFrame, block: int) -> DataFrame:
