@@ -25,9 +25,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
+    """The folder all executors share; a temporary one only in a local session without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = f"file://{tempfile.mkdtemp(prefix='prosestat-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -37,10 +40,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that were written and not yet deleted.
+_WRITTEN: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: (table, its path)."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _WRITTEN.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -48,10 +56,17 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no later step reads."""
     for path in paths:
+        _WRITTEN.discard(path)
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete every table that operators have left behind. Results still read theirs, so call
+    it once they are written."""
+    release(spark, *list(_WRITTEN))
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser over uint64, wrapping."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -126,23 +141,44 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([uf.find(x) for x in part], pa.int64())], names=["v", "r"])
 
 
+#: Keys with over this share of all rows are salted, so there are at most as many as its inverse.
+HEAVY_SHARE = 10_000
+HEAVY_ROWS = 500
+
+
+def looked_up(rows: DataFrame, right: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """rows joined with right, in which ``key`` is unique. A key with very many of the ``total``
+    rows is dealt by ``other`` over several salts: at most ``HEAVY_SHARE`` keys are, so their
+    list is broadcast."""
+    most = max(HEAVY_ROWS, total // HEAVY_SHARE)
+    heavy = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("_salts")
+    spread = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
     """Connected components of links (two long columns): rows (v, r), r the smallest id that
     v reaches, for every linked v but the roots themselves; and the paths it reads.
 
     Each partition is first contracted by union-find, then large-star and small-star rounds
     run until every node hangs on its root. No step gathers a component in one task: all are
-    grouped minima (combined before the shuffle) and joins that can be split when skewed.
+    grouped minima (combined before the shuffle) and joins in which a large component's centre
+    is salted.
     """
     spark = links.sparkSession
     a, b = links.columns[:2]
     now, path = materialize(links.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("r")).where("v <> r").mapInArrow(_contract, "v long, r long"), "links")
     while True:
+        total = 2 * now.count()
         both = now.select(F.col("v").alias("u"), F.col("r").alias("w")).union(now.select(F.col("r"), F.col("v")))
         low = both.groupBy("u").agg(F.least(F.min("w"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w").distinct()
+        large = looked_up(both, low, "u", "w", total).where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w").distinct()
         small = large.groupBy("u").agg(F.min("w").alias("m"))
-        nxt = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("r")), F.struct(F.col("w").alias("v"), F.col("m").alias("r")))).alias("e")).select("e.v", "e.r").where("v <> r").distinct()
+        pair = F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("r")), F.struct(F.col("w").alias("v"), F.col("m").alias("r")))
+        # Nodes hang on their minima here, so u has few rows but in a component's centre.
+        nxt = looked_up(large, small, "u", "w", total).select(F.explode(pair).alias("e")).select("e.v", "e.r").where("v <> r").distinct()
         nxt, at = materialize(nxt, "stars")
         release(spark, path)
         now, path = nxt, at

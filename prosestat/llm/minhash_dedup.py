@@ -33,8 +33,9 @@ WORDS = 5
 SIMILAR = 75  # per cent
 SLOTS = 256
 BAND_SLOTS, BAND_ROWS = 128, 4  # 32 bands: a pair at 0.75 shares none with probability 5e-6
-#: Equal slots below which a pair is not tested: almost five standard deviations under the threshold.
-LEAST_EQUAL = int(0.62 * SLOTS)
+#: Equal slots below which a pair is not tested: over six standard deviations under the
+#: threshold, so that a pair at 0.75 is lost with probability 1e-9.
+LEAST_EQUAL = int(0.58 * SLOTS)
 MINOR_ROWS, MAJOR_ROWS = 256, 2048
 
 _STEP = np.uint64(0xD1342543DE82EF95)
