@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fields, text_bytes, tune
 
 PER_CLASS = 1000  # the bound of the fitted sample, for each label
-TERMS = 2048
+TERMS = 4096
 SHAPES = 7
 LEVELS = 12
 WIDTH = TERMS + SHAPES * LEVELS
@@ -37,6 +37,8 @@ ACCEPT = 0.7
 SHAPE_WEIGHT = 6.0
 #: Votes weigh similarity to this power, so near neighbours outvote merely similar ones.
 SHARPNESS = 8
+#: Rows of one product, always: with another height a library may add up in another order.
+HEIGHT = 256
 
 
 def _classes() -> np.ndarray:
@@ -65,7 +67,7 @@ def features(text: bytes) -> np.ndarray:
         h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        out[:TERMS] = np.log1p(np.bincount(h >> np.uint32(21), minlength=TERMS))
+        out[:TERMS] = np.log1p(np.bincount(h >> np.uint32(20), minlength=TERMS))
     words = text.split()
     if not words:
         return out
@@ -92,19 +94,22 @@ def matrix(texts: list[bytes]) -> np.ndarray:
     return np.stack([features(t) for t in texts]) if texts else np.zeros((0, WIDTH), np.float32)
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+def _unit(m: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    n = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+    return np.divide(m, n, out=np.zeros_like(m) if out is None else out, where=n > 0)
 
 
 class Model:
     """idf weights, latent basis, the labelled vectors and the prior."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = RANK, prior: float = 0.5) -> None:
-        self.prior, self.labels = prior, labels.astype(np.float32)
+        """counts (texts x WIDTH float32) is used up: weights are put in its place."""
+        self.prior, self.labels = prior, labels.astype(np.float64)
         n = len(counts)
         self.idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-        x = _unit(counts * self.idf)
+        x = counts
+        x *= self.idf
+        _unit(x, out=x)
         rng = np.random.default_rng(17)
         k = min(rank, n, WIDTH)
         y = x @ rng.standard_normal((WIDTH, min(k + 12, WIDTH))).astype(np.float32)
@@ -112,17 +117,30 @@ class Model:
             y, _r = np.linalg.qr(x @ (x.T @ y))
         _u, _s, v = np.linalg.svd(y.T @ x, full_matrices=False)
         self.basis = np.ascontiguousarray(v[:k].T)
-        self.vectors = _unit(x @ self.basis)
+        self.vectors = _unit(x @ self.basis).astype(np.float64)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        z = _unit(_unit(counts * self.idf) @ self.basis)
-        near = z @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
-        w = np.clip(np.take_along_axis(near, top, axis=1), 0, 1).astype(np.float64) ** SHARPNESS
-        total = w.sum(axis=1)
-        vote = (w * self.labels[top]).sum(axis=1)
-        return np.divide(vote, total, out=np.full(len(near), self.prior), where=total > 1e-12)
+        """Votes for each row of counts, HEIGHT rows at a time. Cosines are taken in
+        double precision and rounded to six places, and ties go to the earlier labelled text, so
+        a text's score is the same in any batch."""
+        out = np.empty(len(counts))
+        k = min(NEIGHBOURS, len(self.vectors))
+        first = len(self.vectors) - 1 - np.arange(len(self.vectors))
+        for i in range(0, len(counts), HEIGHT):
+            part = np.zeros((HEIGHT, WIDTH))
+            rows = len(counts[i : i + HEIGHT])
+            part[:rows] = counts[i : i + HEIGHT]
+            part *= self.idf
+            z = _unit(_unit(part, out=part) @ self.basis)
+            near = np.rint((z @ self.vectors.T)[:rows] * 1e6).astype(np.int64)
+            order = near * len(self.vectors) + first
+            top = np.argpartition(-order, k - 1, axis=1)[:, :k] if k < len(first) else np.tile(np.arange(k), (rows, 1))
+            top.sort(axis=1)
+            w = np.clip(np.take_along_axis(near, top, axis=1) / 1e6, 0, 1) ** SHARPNESS
+            total = w.sum(axis=1)
+            vote = (w * self.labels[top]).sum(axis=1)
+            out[i : i + rows] = np.round(np.divide(vote, total, out=np.full(rows, self.prior), where=total > 1e-12), 9)
+        return out
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -141,13 +159,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             rows = [features(t.as_py()).astype(np.float16) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "y", "f"])
 
-    # The sample's ids are at most 2 * per_class rows.
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").mapInArrow(pack, "doc_id long, y int, f binary").toPandas()
-    if not len(rows):
+    # The sample is at most 2 * per_class texts' vectors, each of WIDTH half-precision weights.
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").mapInArrow(pack, "doc_id long, y int, f binary").collect()
+    # Where rows repeat a doc_id, one of them stands for it.
+    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["f"])), reverse=True)}.values(), key=lambda r: r["doc_id"])
+    if not rows:
         return None
-    rows = rows.sort_values(["doc_id", "f"]).drop_duplicates("doc_id")
-    x = np.stack([np.frombuffer(f, np.float16) for f in rows["f"]]).astype(np.float32)
-    y = rows["y"].to_numpy()
+    x = np.empty((len(rows), WIDTH), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r["f"], np.float16)
+    y = np.array([r["y"] for r in rows])
     return Model(x, y, prior=float(y.mean()))
 
 
