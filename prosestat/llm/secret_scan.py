@@ -1,15 +1,19 @@
 """Secret scans over a trigram inverted index, in DataFrame functions alone.
 
 Each rule's regex is parsed into a Boolean query of trigrams that every match must hold: an OR
-over alternatives of ANDs of trigrams, lower case. The index has a posting for each of the
-rules' trigrams in each document; postings are intersected as bit sets by document, and only
-documents that satisfy a rule's query are verified with its regex. A rule without a mandatory
-trigram (here: long runs of hex digits) scans every document.
+over alternatives of ANDs of trigrams, lower case. The index is a table of postings (gram, key),
+one for each of the rules' trigrams in each document, sorted by trigram in every file, so that
+a list's rows lie together and other lists are skipped. An alternative's lists are intersected
+by document, and only documents in all of them are verified with the rule's regex. A rule
+without a mandatory trigram (here: long runs of hex digits) scans every document.
 
 Base kinds are ``assign``, ``access`` and ``hex``; the method adds keys of well-known forms.
 Spans count code points, end exclusive, and are whole matches.
 
-Rows are keyed by their text's digest, so copies of a text are verified once.
+A document's key is a hash of its id and text. Keys that collide are verified together, each by
+its own text, so a collision costs time and no result; copies of a text have keys of their own,
+so no group of copies meets in a task. Candidates are broadcast to the texts while there are at
+most ``BROADCAST_ROWS``, and joined by a shuffle beyond.
 
 Defined cases: a null or empty text has no span and the digest of the empty string; rows that
 repeat are judged apart; a null doc_id is carried through; other columns are ignored; an empty
@@ -26,6 +30,11 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_path, materialize, release
+
+#: Candidates of 12 bytes each that may be broadcast.
+BROADCAST_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -92,30 +101,39 @@ def trigram_query(rule: Rule) -> list[frozenset[str]] | None:
     return sorted((a for a in out if not any(b < a for b in out)), key=sorted)
 
 
-def postings(docs: DataFrame, rules=RULES) -> tuple[DataFrame, list[str]]:
-    """The inverted index (trigram number, row) for the rules' trigrams, and the trigrams."""
-    grams = sorted({g for r in rules for alt in trigram_query(r) or () for g in alt})
-    low = F.lower("text")
-    held = F.filter(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams))), lambda x: x.isNotNull())
-    return docs.select("row", F.explode(held).alias("gram")), grams
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, key, text) of docs, whose columns stay together in ``doc``."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
 
 
-def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """(row, hits): the rules, by number as bits, whose trigram query the row's text satisfies."""
-    index, grams = postings(docs, rules)
-    number = {g: i for i, g in enumerate(grams)}
-    bit = F.expr("shiftleft(1L, gram)")
-    held = index.groupBy("row").agg(F.bit_or(bit).alias("held"))
-    hits = F.lit(0)
-    for k, rule in enumerate(rules):
-        query = trigram_query(rule)
-        if query is not None:
-            masks = [sum(1 << number[g] for g in alt) for alt in query]
-            ok = F.lit(False)
-            for m in masks:
-                ok = ok | (F.col("held").bitwiseAND(F.lit(m).cast("long")) == m)
-            hits = hits + F.when(ok, F.lit(1 << k)).otherwise(F.lit(0))
-    return held.select("row", hits.cast("int").alias("hits")).where("hits > 0")
+def dictionary(rules=RULES) -> list[str]:
+    """The trigrams that the rules ask for."""
+    return sorted({g for r in rules for alt in trigram_query(r) or () for g in alt})
+
+
+def postings(rows: DataFrame, rules=RULES) -> DataFrame:
+    """(gram, key): the number of each of the dictionary's trigrams that a text holds."""
+    # Lowered in a step of its own, once for all trigrams.
+    low = rows.select("key", F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(dictionary(rules)))))
+    return low.select("key", F.explode(held).alias("gram"))
+
+
+def write_index(rows: DataFrame, path: str, rules=RULES) -> DataFrame:
+    """The inverted index, written to ``path``."""
+    postings(rows, rules).sortWithinPartitions("gram", "key").write.parquet(path)
+    return rows.sparkSession.read.schema("key long, gram int").parquet(path)
+
+
+def candidates(index: DataFrame, rules=RULES) -> DataFrame:
+    """(key, hits): the rules, by number as bits, whose trigram query a document satisfies."""
+    number = {g: i for i, g in enumerate(dictionary(rules))}
+    asks = [(number[g], k, alt, len(grams)) for k, r in enumerate(rules) for alt, grams in enumerate(trigram_query(r) or ()) for g in grams]
+    terms = index.sparkSession.createDataFrame(asks, "gram int, rule int, alt int, needed int")  # a row for each trigram asked for
+    # A document that stands in as many of an alternative's lists as it has is in all of them.
+    met = index.repartition("key").distinct().join(F.broadcast(terms), "gram").groupBy("key", "rule", "alt").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n = needed")
+    return met.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("hits"))
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -150,20 +168,25 @@ def joined(spans: Column, rules=RULES) -> Column:
 
 
 def find(docs: DataFrame, rules=RULES) -> DataFrame:
-    """docs with ``found``: its spans, an array of structs (start, rank, end) of all rules."""
-    indexed = [k for k, r in enumerate(rules) if trigram_query(r) is not None]
-    free = [k for k in range(len(rules)) if k not in indexed]
-    rows = docs.withColumn("row", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    lean = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
-    verify = lean.join(candidates(lean, rules), "row").dropDuplicates(["row"])
-    for k in indexed:
-        verify = verify.withColumn(f"_{k}", F.when(F.col("hits").bitwiseAND(F.lit(1 << k)) != 0, spans_of(F.col("text"), rules[k], k)).otherwise(F.expr(EMPTY)))
-    checked = verify.select("row", F.concat(*(F.col(f"_{k}") for k in indexed)).alias("held")).where(F.size("held") > 0)
-    scanned = rows
-    for k in free:
-        scanned = scanned.withColumn(f"_{k}", F.when(F.rlike(F.coalesce("text", F.lit("")), F.lit(long_run(rules[k]))), spans_of(F.col("text"), rules[k], k)).otherwise(F.expr(EMPTY)))
-    scanned = scanned.withColumn("_free", F.concat(F.expr(EMPTY), *(F.col(f"_{k}") for k in free))).drop(*(f"_{k}" for k in free))
-    return scanned.join(checked, "row", "left").withColumn("found", F.concat("_free", F.coalesce("held", F.expr(EMPTY)))).drop("row", "_free", "held")
+    """(doc, found): the columns of docs (doc_id, text, ...), and the spans of all rules, an
+    array of structs (start, rank, end)."""
+    spark = docs.sparkSession
+    rows = keyed(docs)
+    path = fresh_path(spark, "postings")
+    hits = candidates(write_index(rows, path, rules), rules)
+    hits, _ = materialize(hits, "candidates")
+    release(spark, path)
+    if hits.count() <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
+    rows = rows.join(hits, "key", "left")
+    found = []
+    for k, rule in enumerate(rules):
+        if trigram_query(rule) is None:
+            ok = F.rlike("text", F.lit(long_run(rule)))
+        else:
+            ok = F.coalesce("hits", F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
+        found.append(F.when(ok, spans_of(F.col("text"), rule, k)).otherwise(F.expr(EMPTY)))
+    return rows.select("doc", F.concat(*found).alias("found"))
 
 
 def long_run(rule: Rule) -> str:
@@ -173,7 +196,7 @@ def long_run(rule: Rule) -> str:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): n_assign, n_access, n_hex, base_sha256, spans."""
-    rows = find(docs.select("doc_id", "text")).select("doc_id", "found")
+    rows = find(docs.select("doc_id", "text")).select("doc.doc_id", "found")
     base = [k for k, r in enumerate(RULES) if r.base]
 
     def of(k: int) -> Column:
@@ -184,9 +207,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs (columns of documents) with each span replaced by ``[kind]``; overlapping spans are
-    joined into one, named after the first. n_chars is counted again; other columns stay."""
-    found = find(docs)
+    """docs (columns of documents, and any others) with each span replaced by ``[kind]``;
+    overlapping spans are joined into one, named after the first. n_chars is counted again."""
+    rows = find(docs).select("doc", "found", F.col("doc.text").alias("text"))
     kinds = F.array(*(F.lit(f"[{r.kind}]") for r in RULES))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
@@ -196,5 +219,9 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["text"], gap, F.get(kinds, s["rank"]))).otherwise(acc["text"]).alias("text"))
 
     tail = lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    clean = F.when(F.size("found") > 0, F.aggregate(F.array_sort("found"), start, step, tail)).otherwise(F.col("text"))
-    return found.withColumn("text", clean).withColumn("n_chars", F.when(F.size("found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    some = F.size("found") > 0
+    rows = rows.select("doc", F.when(some, F.aggregate(F.array_sort("found"), start, step, tail)).alias("clean"))
+    new = {"text": F.coalesce("clean", "doc.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("clean").isNull(), F.col("doc.n_chars")).otherwise(F.char_length("clean").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
