@@ -5,9 +5,11 @@ vectors. Equal vectors form one class. Pivots, drawn by hash order, cut space in
 nearest pivot; a vector x also goes to the cell of pivot p when it may lie within r of it: by
 the triangle inequality no point of that cell is nearer to x than x's distance to the bisector
 of p and its own pivot, (d(x,p)^2 - d(x,own)^2) / (2 d(p,own)). A cell's own vectors then find
-all their partners inside the cell, so cells are joined independently; large cells are dealt in
-blocks. A task counts each own vector's partners and emits one link for each vector that its
-union-find ties to another, not all pairs.
+all their partners inside the cell, so cells are joined independently. At most ``FAN`` pivots
+are drawn at once; a cell that still owns far more than ``CELL_ROWS`` vectors is cut again in the
+same way, by pivots among its own vectors, so cells stay small however many vectors there are. A cell is joined in groups of one block of its own vectors and one chunk of all its
+vectors, of bounded size. A task counts each own vector's partners and emits one link for each
+vector that its union-find ties to another, not all pairs.
 
 Single precision only proposes; every pair within a margin of the threshold is decided in
 double precision.
@@ -25,19 +27,23 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UnionFind, components, fields, materialize, release, tune
+from .common import components, fields, materialize, release, tune
 
 COSINE = 0.95
-CELL_ROWS = 2048  # aimed at for each cell
-MAX_PIVOTS = 1024  # bounds the broadcast table of pivots
-BLOCK_ROWS = 1024
+CELL_ROWS = 2048  # own vectors aimed at for each cell
+FAN = 1024  # cells that one cell is cut into at once, at most: bounds every table of pivots
+RECUT = 8  # a cell that owns so many times CELL_ROWS is cut again
+LEVELS = 4  # cuts at most; without clusters, replicas fill cells again however they are cut
+BLOCK_ROWS, CHUNK_ROWS = 4096, 16_384
+DEAL_ROWS = 4096  # rows that are dealt together
+STEP_ROWS = 65_536  # rows made at once
 MARGIN = 1e-4
 
 CLASSES = "vec_id long, key binary, dim int"
-DEALT = "dim int, cell int, own boolean, rep long, copies long, vec binary"
+DEALT = "cell string, own boolean, rep long, copies long, vec binary"
 
 
 def unit(values) -> np.ndarray | None:
@@ -70,34 +76,117 @@ def deal(vecs: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarra
     return own, to
 
 
+def _tie(up: np.ndarray, i: int, to: np.ndarray) -> None:
+    """Union of i with all of ``to``: one step for each tree among them, not for each pair."""
+    roots = up[np.append(to, i)]
+    while (up[roots] != roots).any():
+        roots = up[roots]
+    roots = np.unique(roots)
+    up[roots] = roots[0]
+    up[to] = roots[0]
+    up[i] = roots[0]
+
+
 def _join(threshold: float):
-    """In one block of a cell: partners of the block's own vectors among all of the cell's."""
+    """In one block of a cell's own vectors and one chunk of all its vectors: how many partners
+    each own one has there, and spanning links."""
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         v = np.frombuffer(b"".join(rows["vec"]), np.float64).reshape(len(rows), -1)
-        rep, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
-        mine = np.flatnonzero(rows["own"].to_numpy() & (rows["part"].to_numpy() == rows["block"].to_numpy()))
+        rep, copies, mine = rows["rep"].to_numpy(), rows["copies"].to_numpy(), rows["mine"].to_numpy()
+        left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
         thin = v.astype(np.float32)
-        links, uf = np.zeros(len(mine), np.int64), UnionFind()
-        for i in range(0, len(mine), 256):
-            at = mine[i : i + 256]
-            for j in range(0, len(v), 4096):
-                near = thin[at] @ thin[j : j + 4096].T
-                a, b = np.nonzero(near >= threshold - MARGIN)
-                b = b + j
-                sure = (rep[at[a]] != rep[b]) & (cosine(v[at[a]], v[b]) >= threshold)
-                a, b = a[sure], b[sure]
-                links[i : i + len(at)] += np.bincount(a, weights=copies[b], minlength=len(at)).astype(np.int64)
-                for x, y in zip(rep[at[a]].tolist(), rep[b].tolist(), strict=True):
-                    uf.union(x, y)
-        ties = [(x, uf.find(x)) for x in uf.up if uf.find(x) != x]
-        counted = pd.DataFrame({"rep": rep[mine], "links": links, "root": pd.array([pd.NA] * len(mine), "Int64")})
-        tied = pd.DataFrame({"rep": np.array([x for x, _ in ties], np.int64), "links": np.zeros(len(ties), np.int64), "root": pd.array([r for _, r in ties], "Int64")})
+        links, up = np.zeros(len(left), np.int64), np.arange(len(rows))
+        for k in range(0, len(left), 256):
+            at = left[k : k + 256]
+            a, b = np.nonzero(thin[at] @ thin[right].T >= threshold - MARGIN)
+            b = right[b]
+            sure = (rep[at[a]] != rep[b]) & (cosine(v[at[a]], v[b]) >= threshold)
+            a, b = a[sure], b[sure]
+            links[k : k + len(at)] = np.bincount(a, weights=copies[b], minlength=len(at)).astype(np.int64)
+            for i, to in zip(*(np.unique(a), np.split(b, np.flatnonzero(np.diff(a)) + 1)), strict=False):
+                _tie(up, int(at[i]), to)
+        while (up[up] != up).any():
+            up = up[up]
+        ties = np.flatnonzero(rep != rep[up])
+        counted = pd.DataFrame({"rep": rep[left], "links": links, "root": pd.array([pd.NA] * len(left), "Int64")})
+        tied = pd.DataFrame({"rep": rep[ties], "links": np.zeros(len(ties), np.int64), "root": pd.array(rep[up[ties]], "Int64")})
         return pd.concat([counted, tied])
 
     return find
 
 
+def _cut(radius: float):
+    """Deal rows, sorted by (cell, part) with each part's pivots first, to the cells of their
+    pivots: part after part, a bounded number of rows at once."""
+
+    def run(batches):
+        now, pivots = None, []
+        for b in batches:
+            cell, part, pivot = (b.column(c).to_pylist() for c in ("cell", "part", "pivot"))
+            kinds = [(c, k, p >= 0) for c, k, p in zip(cell, part, pivot, strict=True)]
+            start = 0
+            while start < len(kinds):
+                end = start
+                while end < len(kinds) and kinds[end] == kinds[start]:
+                    end += 1
+                vecs = b.column("vec").slice(start, end - start).to_pylist()
+                if kinds[start][:2] != now:
+                    now, pivots = kinds[start][:2], []
+                if kinds[start][2]:
+                    pivots += vecs
+                else:
+                    p = np.frombuffer(b"".join(pivots), np.float64).reshape(len(pivots), -1)
+                    step = max(1, STEP_ROWS // len(p))
+                    for i in range(0, len(vecs), step):
+                        some = b.slice(start + i, min(step, len(vecs) - i))
+                        own, to = deal(np.frombuffer(b"".join(vecs[i : i + step]), np.float64).reshape(some.num_rows, -1), p, radius)
+                        x, at = np.nonzero(to)
+                        rows = some.take(pa.array(x))
+                        # A replica stays one: only where a vector is owned are its partners counted.
+                        owned = rows.column("own").to_numpy(zero_copy_only=False) & (own[x] == at)
+                        names = pa.array([f"{now[0]}/{k}" for k in at.tolist()], pa.string())
+                        yield pa.RecordBatch.from_arrays([names, pa.array(owned), rows.column("rep"), rows.column("copies"), rows.column("vec")], schema=fields(DEALT))
+                start = end
+
+    return run
+
+
+def _dealt(rows: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
+    """rows (DEALT) of cells that have pivots (cell, number, vec), cut by them into cells of their
+    own. Rows of a cell are dealt in parts of about ``DEAL_ROWS``, each with all its pivots."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / DEAL_ROWS).cast("int").alias("parts"))
+    parts = rows.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
+    shared = pivots.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    none = F.lit(None).cast("long")
+    both = parts.select("cell", "part", F.lit(-1).alias("pivot"), "own", "rep", "copies", "vec").union(shared.select("cell", "part", "number", F.lit(False), none, none, "vec"))
+    return both.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("pivot") < 0, "pivot").mapInArrow(_cut(radius), DEALT)
+
+
+def _cells(rows: DataFrame, radius: float) -> tuple[DataFrame, list[str]]:
+    """rows (DEALT) of one cell for each vector length, cut until no cell owns far more than
+    ``CELL_ROWS`` vectors; and the paths it reads."""
+    done, paths = None, []
+    for level in range(LEVELS):
+        most = CELL_ROWS * (RECUT if level else 1)
+        sizes = rows.where("own").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        sizes = sizes.withColumn("fan", F.least(F.lit(FAN), F.ceil(F.col("n") / CELL_ROWS)).cast("int"))
+        # Pivots are the first by hash. Only hashes that may be among them are sorted.
+        few = F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("n") / (8 * F.col("fan"))))) == 0
+        picked = rows.where("own").join(sizes, "cell").withColumn("h", F.xxhash64("vec")).where(few)
+        w = Window.partitionBy("cell").orderBy("h", "vec")
+        pivots, pivots_at = materialize(picked.withColumn("number", F.row_number().over(w) - 1).where("number < fan").select("cell", "number", "vec"), "pivots")
+        paths.append(pivots_at)
+        if not pivots.limit(1).count():
+            break
+        cells = pivots.select("cell").distinct()
+        rest = rows.join(cells, "cell", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        rows, at = materialize(_dealt(rows.join(cells, "cell", "left_semi"), pivots, radius), "cells")
+        paths.append(at)
+    return rows if done is None else done.unionByName(rows), paths
+
+
 def near_duplicates(table: DataFrame, threshold: float = COSINE) -> DataFrame:
     """Per row of table (vec_id, embedding): vec_id, n_links, component_id, kept."""
     spark = table.sparkSession
@@ -111,43 +200,27 @@ def near_duplicates(table: DataFrame, threshold: float = COSINE) -> DataFrame:
             keys = [None if u is None else u.tobytes() for u in units]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array([0 if k is None else len(k) // 8 for k in keys], pa.int32())], schema=fields(CLASSES))
 
-    named, named_at = materialize(rows.mapInArrow(classify, CLASSES), "vectors")
+    named, _ = materialize(rows.mapInArrow(classify, CLASSES), "vectors")
     classes = named.where("key is not null").groupBy("key", "dim").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
-    classes, classes_at = materialize(classes.withColumn("rep", F.xxhash64("key")), "classes")
-    # One row for each vector length, and at most MAX_PIVOTS pivots of each.
-    pivots = {}
-    for dim, n in classes.groupBy("dim").count().collect():
-        k = max(1, min(MAX_PIVOTS, -(-n // CELL_ROWS)))
-        picked = classes.where(F.col("dim") == dim).select("key").orderBy(F.xxhash64("key"), "key").limit(k).collect()
-        pivots[dim] = np.stack([np.frombuffer(r["key"], np.float64) for r in picked])
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def spread(batches):
-        for b in batches:
-            dims, reps, copies, keys = (b.column(k).to_pylist() for k in range(4))
-            for dim in sorted(set(dims)):
-                at = [i for i, d in enumerate(dims) if d == dim]
-                own, to = deal(np.frombuffer(b"".join(keys[i] for i in at), np.float64).reshape(len(at), dim), shared.value[dim], radius)
-                x, cell = np.nonzero(to)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim] * len(x), pa.int32()), pa.array(cell, pa.int32()), pa.array(own[x] == cell), pa.array([reps[at[i]] for i in x], pa.int64()), pa.array([copies[at[i]] for i in x], pa.int64()), pa.array([keys[at[i]] for i in x], pa.binary())],
-                    schema=fields(DEALT),
-                )
-
-    dealt = classes.select("dim", "rep", "copies", "key").mapInArrow(spread, DEALT)
-    dealt, dealt_at = materialize(dealt, "cells")
-    owners = dealt.where("own").groupBy("dim", "cell").agg(F.count("*").alias("owned"))
-    blocks = F.ceil(F.col("owned") / BLOCK_ROWS).cast("int")
-    placed = dealt.join(owners, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    joined = placed.groupBy("dim", "cell", "block").applyInPandas(_join(threshold), "rep long, links long, root long")
-    joined, joined_at = materialize(joined, "joined")
-    ties, ties_at = components(joined.where("root is not null").select("rep", "root"))
-    # Components are found on hashes of the classes and then named by their smallest vec_id.
+    # Written, so names stay.
+    classes, _ = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    whole = classes.select(F.col("dim").cast("string").alias("cell"), F.lit(True).alias("own"), "rep", "copies", F.col("key").alias("vec"))
+    dealt, dealt_at = _cells(whole, radius)
+    held = dealt.groupBy("cell").agg(F.ceil(F.count_if("own") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")).where("blocks > 0")
+    placed = dealt.join(held, "cell")
+    at = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = placed.where("own").select("cell", "rep", "copies", "vec", F.lit(True).alias("mine"), at("blocks", 1).alias("block"), every("chunks").alias("chunk"))
+    others = placed.select("cell", "rep", "copies", "vec", F.lit(False).alias("mine"), every("blocks").alias("block"), at("chunks", 2).alias("chunk"))
+    joined = mine.unionByName(others).groupBy("cell", "block", "chunk").applyInPandas(_join(threshold), "rep long, links long, root long")
+    joined, _ = materialize(joined, "joined")
+    ties, _ = components(joined.where("root is not null").select("rep", "root"))
+    # Components are found on names of the classes and then named by their smallest vec_id.
     counted = joined.where("root is null").groupBy("rep").agg(F.sum("links").alias("links"))
     per = classes.join(counted, "rep").join(ties.select(F.col("v").alias("rep"), "r"), "rep", "left").withColumn("root", F.coalesce("r", "rep"))
     lows = per.groupBy("root").agg(F.min("low").alias("name"))
     per = per.join(lows, "root").select("key", (F.col("links") + F.col("copies") - 1).alias("links"), "name")
     out = named.select("vec_id", "key").join(per, "key", "left")
     root = F.when(F.col("vec_id").isNotNull(), F.coalesce("name", "vec_id"))
-    release(spark, dealt_at)
+    release(spark, *dealt_at)
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(True)).alias("kept"))
