@@ -1,20 +1,22 @@
 """URL filters by rules and by a ratio of character language models, in DataFrame functions.
 
 Rules on host and path decide first, the longest one that fits. The other URLs are judged by
-two variable-order Markov models of characters, one for accepted and one for rejected URLs: a
+variable-order Markov models of characters, one for accepted and one for rejected URLs: a
 character's probability interpolates from the longest context that was seen down to no context
 (orders ``ORDER`` to 0), smoothed by the number of different characters that followed. A URL's
-score is the mean difference of log-likelihoods per character; it is blocked below a threshold
-calibrated on the same labelled URLs.
+score is the mean difference of log-likelihoods per character; it is blocked below a threshold.
 
-Rejected examples are the URLs that a rule blocks or whose host has a word of
-``REJECTED_WORDS``, unless a rule allows them; all others are accepted examples, whether a rule
-allows them or nothing speaks against them. Counts and the threshold are taken over all of
-them, each row once. Every context with its characters is kept, in a table that grows with the
-input and is joined by shuffles; a gram of very many lines is dealt over ``SALTS`` keys.
+Rejected examples are the URLs that a rule blocks or whose host has one of the ``words`` as a
+whole word, unless a rule allows them; all others are accepted examples. These labels are never
+the verdict: URLs are dealt into ``FOLDS`` folds, a URL is scored by models of the other folds'
+URLs alone, and the threshold is calibrated on those scores, so every score, verdict and the
+calibration are of URLs that the models were not fitted on. The threshold is the score that
+``ACCEPTED`` of the accepted examples' rows reach, so at most the rest of them is blocked.
+Counts are taken over all rows of the other folds. Every context with its characters is kept, in tables that grow with the input
+and are joined by shuffles; a gram of very many lines is dealt over ``SALTS`` keys.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and
-is judged by its characters (none: score 0); without examples of both kinds every score is 0;
+is judged by its characters (none: score 0); without examples of both kinds it is allowed;
 a score equal to the threshold allows; rows that repeat are judged alike; a null page_id is
 carried through; other columns are ignored; an empty table gives no rows.
 """
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 ORDER = 4
+FOLDS = 5
 SALTS = 16
+ACCEPTED = 0.99
 START = "\x02"
 REJECTED_WORDS = ("casino", "bet", "bets", "betting", "poker", "slots", "adult", "porn", "xxx", "sex", "viagra", "pills", "loan", "loans")
 
@@ -83,60 +87,72 @@ def grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def model(lines: DataFrame, order: int = ORDER) -> DataFrame:
-    """From (line, allow, block), a line and its accepted and rejected rows: (g, ratio), the
-    log-likelihood difference of g's last character after those before it, for every g."""
-    full = grams(lines.select("line", "allow", "block"), order).groupBy("g").agg(F.sum("allow").alias("a"), F.sum("block").alias("b"))
+    """From (line, fold, allow, block), a line and its accepted and rejected rows: (fold, g,
+    ratio) for every gram g of a fold's lines, the log-likelihood difference of g's last
+    character after those before it, by the models of all other folds."""
+    full = grams(lines.select("line", "fold", "allow", "block"), order).groupBy("fold", "g").agg(F.sum("allow").alias("a"), F.sum("block").alias("b"))
     full, _ = materialize(full, "grams")
     tail = None
     for k in range(order + 1):
-        n = full.select(F.expr(f"right(g, {k + 1})").alias("g"), "a", "b").groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("c", F.expr(f"left(g, {k})"))
-        context = n.groupBy("c").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.count(F.when(F.col("a") > 0, 1)).alias("da"), F.count(F.when(F.col("b") > 0, 1)).alias("db"))
-        rows = n.join(context, "c")
+        own = full.select("fold", F.expr(f"right(g, {k + 1})").alias("g"), "a", "b").groupBy("fold", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        every = own.groupBy("g").agg(F.sum("a").alias("ea"), F.sum("b").alias("eb"))
+        # What is left of a gram's counts without the fold's own.
+        rows = own.join(every, "g").select("fold", "g", F.expr(f"left(g, {k})").alias("c"), "a", "b", (F.col("ea") - F.col("a")).alias("xa"), (F.col("eb") - F.col("b")).alias("xb"))
+        whole = every.groupBy(F.expr(f"left(g, {k})").alias("c")).agg(*(f for x in "ab" for f in (F.sum(f"e{x}").alias(f"t{x}"), F.count_if(F.col(f"e{x}") > 0).alias(f"d{x}"))))
+        # A fold's share of a context: its rows, and the characters that followed there alone.
+        part = rows.groupBy("fold", "c").agg(*(f for x in "ab" for f in (F.sum(x).alias(f"f{x}"), F.count_if((F.col(x) > 0) & (F.col(f"x{x}") == 0)).alias(f"o{x}"))))
+        context = part.join(whole, "c").select("fold", "c", *((F.col(f"{n}{x}") - F.col(f"{m}{x}")).alias(f"{n}{x}") for x in "ab" for n, m in (("t", "f"), ("d", "o"))))
+        rows = rows.join(context, ["fold", "c"])
         if tail is None:
             # Below the empty context lies an even spread over 256 characters.
             rows = rows.withColumn("la", F.lit(1 / 256)).withColumn("lb", F.lit(1 / 256))
         else:
-            rows = rows.withColumn("s", F.expr(f"right(g, {k})")).join(tail.select(F.col("g").alias("s"), F.col("pa").alias("la"), F.col("pb").alias("lb")), "s").drop("s")
-        p = lambda n, t, d, low: (F.col(n) + F.greatest(F.col(d), F.lit(1)) * F.col(low)) / (F.col(t) + F.greatest(F.col(d), F.lit(1)))
-        tail = rows.select("g", p("a", "ta", "da", "la").alias("pa"), p("b", "tb", "db", "lb").alias("pb"))
-    return materialize(tail.select("g", F.ln(F.col("pa") / F.col("pb")).alias("ratio")), "model")[0]
+            rows = rows.withColumn("s", F.expr(f"right(g, {k})")).join(tail.select("fold", F.col("g").alias("s"), F.col("pa").alias("la"), F.col("pb").alias("lb")), ["fold", "s"]).drop("s")
+        p = lambda x: (F.col(f"x{x}") + F.greatest(F.col(f"d{x}"), F.lit(1)) * F.col(f"l{x}")) / (F.col(f"t{x}") + F.greatest(F.col(f"d{x}"), F.lit(1)))
+        tail = rows.select("fold", "g", p("a").alias("pa"), p("b").alias("pb"))
+    return materialize(tail.select("fold", "g", F.ln(F.col("pa") / F.col("pb")).alias("ratio")), "model")[0]
 
 
 def scores(lines: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
-    """(id, score) of the model's own lines (id, line): the mean ratio per character. All their
-    grams are in the table, so none backs off."""
-    rows = grams(lines.select("id", "line"), order).groupBy("id", "g").agg(F.count("*").alias("n"))
+    """(id, score) of the model's own lines (id, fold, line): the mean ratio per character. All
+    their grams are in the table."""
+    rows = grams(lines.select("id", "fold", "line"), order).groupBy("id", "fold", "g").agg(F.count("*").alias("n"))
     # Some grams stand in nearly every line.
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Whole numbers add up alike in any order.
-    found = rows.join(dealt.hint("merge"), ["g", "salt"])
+    found = rows.join(dealt.hint("merge"), ["fold", "g", "salt"])
     return found.groupBy("id").agg((F.sum(F.round(F.col("ratio") * 1e9).cast("long") * F.col("n")) / F.sum("n") / 1e9).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
-    """Between the classes' means over rows, nearer to the tighter class, from (score, allow,
-    block); 0 without examples of both."""
-    s = F.round(F.col("score") * 1e9).cast("decimal(20,0)")
-    sums = [f(F.col(c)).alias(f"{n}_{c}") for c in ("allow", "block") for n, f in (("n", F.sum), ("s", lambda w: F.sum((s * w).cast("decimal(38,0)"))), ("q", lambda w: F.sum((s * s * w).cast("decimal(38,0)"))))]
-    fit = scored.agg(*sums).first()  # one row
-    if not fit["n_allow"] or not fit["n_block"]:
-        return 0.0
-    n, t, q = ([int(fit[f"{x}_{c}"]) for c in ("allow", "block")] for x in "nsq")
-    (m_a, m_b), (d_a, d_b) = (x / y / 1e9 for x, y in zip(t, n)), (max(0, y * z - x * x) ** 0.5 / y / 1e9 for x, y, z in zip(t, n, q))
-    return (m_a * (d_b + 1e-6) + m_b * (d_a + 1e-6)) / (d_a + d_b + 2e-6)
-
-
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """The least score that is allowed, from (score, allow, block); all are without examples of
+    both kinds."""
+    # Scores by thousandths: a bounded number of rows, as ratios are bounded.
+    at = F.round(F.col("score") * 1000).cast("long").alias("at")
+    held = scored.groupBy(at).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).orderBy("at").collect()
+    n, m = sum(r["allow"] for r in held), sum(r["block"] for r in held)
+    if not n or not m:
+        return float("-inf")
+    below = 0
+    for r in held:
+        below += r["allow"]
+        if below > (1 - ACCEPTED) * n:
+            return r["at"] / 1000
+    return float("-inf")
+
+
+def judge(pages: DataFrame, rules=RULES, words: tuple = REJECTED_WORDS, folds: int = FOLDS) -> DataFrame:
     """Per row of pages (page_id, url): page_id, host, path, rule, verdict, score."""
     rows = ruled(pages.select("page_id", "url"), rules).withColumn("line", seen(F.col("url")))
-    words = F.split("host", r"[^a-z]+")
-    label = F.coalesce("said", F.when(F.arrays_overlap(words, F.lit(list(REJECTED_WORDS))), F.lit("block")), F.lit("allow"))
-    lines = rows.groupBy("line").agg(*(F.count_if(label == s).alias(s) for s in ("allow", "block"))).withColumn("id", F.monotonically_increasing_id())
+    parts = F.split("host", r"[^a-z]+")
+    label = F.coalesce("said", F.when(F.arrays_overlap(parts, F.lit(list(words))), F.lit("block")), F.lit("allow"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("line"), F.lit(folds)).cast("int"))
+    lines = rows.groupBy("line", "fold").agg(*(F.count_if(label == s).alias(s) for s in ("allow", "block"))).withColumn("id", F.monotonically_increasing_id())
     # Written, so ids stay.
     lines, _ = materialize(lines, "lines")
     found = lines.join(scores(lines, model(lines)), "id", "left")
-    scored, _ = materialize(found.select("line", "allow", "block", F.coalesce("score", F.lit(0.0)).alias("score")), "scored")
+    scored, _ = materialize(found.select("line", "fold", "allow", "block", F.coalesce("score", F.lit(0.0)).alias("score")), "scored")
     least = threshold(scored)
-    out = rows.join(scored.select("line", "score"), "line", "left")
+    out = rows.join(scored.select("line", "fold", "score"), ["line", "fold"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= least, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score")
