@@ -144,10 +144,47 @@ def test_quality(spark, sf, odd, empty):
     assert quality.score(empty, labels).count() == 0
 
 
-@pytest.mark.parametrize("which", ["sf", "odd", "one"])
-def test_fingerprints(spark, sf, odd, which, monkeypatch):
+def test_quality_by_brute_force(spark, sf):
+    """Trigram counts, weights, cosines and votes, one number at a time."""
+    import math
+
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    texts = [t for _, t in plain(docs)[:30]]
+    got = model.scores(quality.matrix([t.encode() for t in texts]))
+    for t, score in zip(texts, got, strict=True):
+        fold = [65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if b in (9, 11, 12, 13) else b for b in t.encode()]
+        held = {}
+        for a, b, c in zip(fold, fold[1:], fold[2:]):
+            h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20
+            held[h] = held.get(h, 0) + 1
+        row = quality.features(t.encode())
+        assert all(math.isclose(row[h], math.log1p(n), rel_tol=1e-5) for h, n in held.items())
+        assert int((row[: quality.TERMS] > 0).sum()) == len(held)
+        x = [float(v) * float(w) for v, w in zip(row, model.idf)]
+        norm = math.sqrt(sum(v * v for v in x)) or 1.0
+        z = [sum(v / norm * model.basis[i, k] for i, v in enumerate(x) if v) for k in range(model.basis.shape[1])]
+        length = math.sqrt(sum(v * v for v in z)) or 1.0
+        near = [(sum(a * b for a, b in zip(z, u)) / length, y) for u, y in zip(model.vectors.tolist(), model.labels)]
+        top = sorted(near, key=lambda p: -p[0])[: quality.NEIGHBOURS]
+        w = [max(0.0, c) ** quality.SHARPNESS for c, _ in top]
+        want = sum(a * y for a, (_, y) in zip(w, top)) / sum(w) if sum(w) > 1e-12 else model.prior
+        assert math.isclose(score, want, abs_tol=2e-3)
+
+
+def test_quality_scores_do_not_depend_on_the_batch(spark, sf):
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    m = quality.matrix([t.encode() for _, t in plain(docs)])
+    whole = model.scores(m)
+    assert all(model.scores(m[i : i + 7])[0] == whole[i] for i in range(0, len(m), 11))
+
+
+@pytest.mark.parametrize("which", ["sf", "odd", "one", "none"])
+def test_fingerprints(spark, sf, odd, empty, which, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 13)
-    docs = {"odd": odd, "one": odd.where("doc_id = 9"), "sf": documents(spark, sf)}[which]
+    docs = {"odd": odd, "one": odd.where("doc_id = 9"), "none": empty, "sf": documents(spark, sf)}[which]
     rows = sorted(plain(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want = []
     for k, (i, t) in enumerate(rows):
@@ -159,22 +196,78 @@ def test_fingerprints(spark, sf, odd, which, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
-def test_fingerprint_search(spark):
+def brute_simhash(text):
+    """The votes of all terms, one at a time, in whole Python numbers and floats."""
+    import math
+
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & mask
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    raw = text.encode()
+    words = [xxhash.xxh64_intdigest(w) for w in raw.lower().split()]
+    rest = [mix(mix(mix(a) ^ b) ^ c) for a, b, c in zip(words, words[1:], words[2:])]
+    if len(words) < 48 and raw:
+        rest += [mix(int.from_bytes(raw[i : i + 4], "little") | 1 << 40) for i in range(max(1, len(raw) - 3))]
+    votes = [0.0] * 128
+    for terms, scale in ((words, 0.25), (rest, 1.0)):
+        for t in set(terms):
+            w = scale * (1 + math.log(terms.count(t)))
+            bits = b"".join(mix((t + 0x51ED270B * (k + 1)) & mask).to_bytes(8, "little") for k in range(2))
+            for i in range(128):
+                votes[i] += w if bits[i // 8] >> (7 - i % 8) & 1 else -w
+    return votes
+
+
+def test_simhash_is_the_signs_of_the_votes(spark, sf):
+    for t in [*(t for _, t in plain(documents(spark, sf))[:25]), *(t or "" for _, t in ODD)]:
+        got = int.from_bytes(fingerprints.simhash(t))
+        for i, v in enumerate(brute_simhash(t[:20_000])) if len(t) <= 20_000 else ():
+            assert abs(v) < 1e-3 or (got >> (127 - i) & 1) == (v > 0)
+
+
+@pytest.mark.parametrize("radius", [3, 7, 11])
+def test_fingerprint_search(spark, radius, monkeypatch):
+    monkeypatch.setattr(fingerprints, "HOT_ROWS", 4)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 256, (40, 16), dtype=np.uint8)
     prints = []
     for k in range(400):
         x = int.from_bytes(base[k % 40].tobytes())
-        for b in rng.choice(128, rng.integers(0, 6), replace=False):
+        for b in rng.choice(128, rng.integers(0, 3 + radius), replace=False):
             x ^= 1 << int(b)
         prints.append((k, x.to_bytes(16).hex()))
     df = spark.createDataFrame(prints, "doc_id long, fingerprint string")
-    got = {r["doc_id"]: r["n_near"] for r in fingerprints.search(df, every=10).collect()}
+    got = {r["doc_id"]: r["n_near"] for r in fingerprints.search(df, radius, every=10).collect()}
     for i, f in prints:
-        near = sum((int(f, 16) ^ int(g, 16)).bit_count() <= 3 for _, g in prints) - 1
+        near = sum((int(f, 16) ^ int(g, 16)).bit_count() <= radius for _, g in prints) - 1
         assert got[i] == (near if i % 10 == 0 else None)
 
 
+def test_near_copies_are_found(spark, sf):
+    """One word of a text changed: the search finds nine in ten of such copies and no others."""
+    rng, rows = np.random.default_rng(4), []
+    texts = [t for _, t in plain(documents(spark, sf)) if 80 <= len(t.split()) <= 2000]
+    for k, t in enumerate(texts):
+        w = t.split(" ")
+        w[int(rng.integers(len(w)))] = f"changed{k}"
+        rows += [(100 * (k + 1), t), (100 * (k + 1) + 1, " ".join(w))]
+    prints = spark.createDataFrame([(i, fingerprints.simhash(t).hex()) for i, t in rows], "doc_id long, fingerprint string")
+    near = fingerprints.within(prints.where("doc_id % 100 = 0"), prints).collect()
+    by = {}
+    for i, t in rows:
+        by.setdefault(fingerprints.simhash(t).hex(), []).append(i)
+    pairs = {(i, j) for r in near for i in by[r["query"]] for j in by[r["fingerprint"]]}
+    caught = sum((100 * (k + 1), 100 * (k + 1) + 1) in pairs for k in range(len(texts)))
+    assert len(texts) > 40 and caught >= 0.9 * len(texts)
+
+
 def brute_pii(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
@@ -195,7 +288,8 @@ def brute_pii(text):
 TRICKY = ["a@b@c.d", "a@b.c@d.e", "x@y", "@a.b", "a@b.c.d. e@f.g-", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.1", "00000001.2.3.4", "+1 23456789 +12345678901234567", "4111-1111 1111-1111 5", "+1 (2) +3 456 789 0123", "1" * 40]
 
 
-def test_pii(spark, sf, odd):
+def test_pii(spark, sf, odd, empty):
+    assert pii.find(empty).count() == 0
     for t in TRICKY:
         assert pii.base_spans(t) == brute_pii(t), t
     for docs in (documents(spark, sf), odd):
@@ -219,6 +313,18 @@ def test_pii_consistency(spark):
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def test_byte_bpe_of_a_text_of_many_chunks(spark):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.load_ranks(RANKS), special_tokens={})
+    rng = np.random.default_rng(3)
+    words = ["the ", "caf\u00e9's ", "  x\n", "1234567", "\u4f60\u597d ", "don't ", "\t\t", "\U0001f600", "we'll\r\n"]
+    texts = ["".join(rng.choice(words, 40_000)), "y" * 140_000, " " * 70_000 + "end"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in tokens.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
+        ids = library.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 @pytest.mark.parametrize("chunk,overlap", [(1 << 16, 1 << 10), (200, 40), (64, 16)])
 def test_byte_bpe(spark, sf, odd, chunk, overlap):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.load_ranks(RANKS), special_tokens={})
@@ -361,6 +467,27 @@ def test_trigram_queries():
     assert frozenset({"tok", "oke", "ken"}) in secret_scan.trigram_query(secret_scan.RULES[0])
 
 
+def test_redact_with_clashing_names(spark):
+    names = "doc row key found hits text_ held clean"
+    rows = [(1, "a password = hunter22x b", *"abcdefgh"), (2, None, *"abcdefgh")]
+    got = secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names.split()))).collect()
+    assert sorted((r[0], r[1] or "", *r[2:]) for r in got) == [(1, "a [assign] b", *"abcdefgh"), (2, "", *"abcdefgh")]
+
+
+def test_secrets_by_a_shuffle(spark, sf, monkeypatch):
+    docs = documents(spark, sf)
+    want = sorted(map(tuple, secret_scan.report(docs).collect()))
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, secret_scan.report(docs).collect())) == want
+
+
+def test_posting_lists_are_the_texts_trigrams(spark, sf):
+    rows = secret_scan.keyed(documents(spark, sf)).cache()
+    want = {(r["key"], g) for r in rows.collect() for g in secret_scan.dictionary() if g in r["text"].lower()}
+    grams = secret_scan.dictionary()
+    assert {(r["key"], grams[r["gram"]]) for r in secret_scan.postings(rows).collect()} == want
+
+
 def test_redact(spark):
     rows = [(1, "a password = hunter22x b", "en", "s", 24), (2, None, "en", "s", 0), (3, "clean", "en", "s", 5)]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
@@ -414,8 +541,9 @@ def test_token_file_form(tmp_path):
 
 
 def test_embeddings(spark, sf, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 60)
-    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
+    # More cells than are cut at once, cut again, in many blocks and chunks.
+    for name, n in {"CELL_ROWS": 6, "FAN": 3, "RECUT": 1, "BLOCK_ROWS": 5, "CHUNK_ROWS": 16, "DEAL_ROWS": 50, "STEP_ROWS": 64}.items():
+        monkeypatch.setattr(embedding_dedup, name, n)
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in table.select("vec_id", "embedding").collect()]
     rows += [(9001, None), (9002, []), (9003, [0.0] * 64), (9004, [float("nan")] * 64), (9005, rows[3][1]), (9006, rows[3][1]), (9007, [2 * x for x in rows[3][1]]), (9008, [None, *rows[3][1][1:]]), (9009, [1.0, 2.0]), (9010, [2.0, 4.0])]
@@ -427,7 +555,8 @@ def test_embeddings(spark, sf, monkeypatch):
     links = [(i, j) for i in units for j in units if i < j and len(units[i]) == len(units[j]) and float(units[i] @ units[j]) >= 0.95]
     roots = closed([i for i, _ in rows], links)
     count = {i: sum(i in x for x in links) for i, _ in rows}
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5))
+    clash = [(*r, *range(6)) for r in rows]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(clash, "vec_id long, embedding array<float>, key int, rep int, copies int, cell int, own int, label int").repartition(5))
     for r in got.collect():
         assert (r["n_links"], r["component_id"]) == (count[r["vec_id"]], roots[r["vec_id"]])
         assert r["kept"] == (r["vec_id"] == r["component_id"])
@@ -437,7 +566,8 @@ def test_embeddings(spark, sf, monkeypatch):
 
 def test_urls(spark, sf):
     rows = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.NET/en/x?y#z"), (4, "http://example.net/EN/"), (5, "https://a.example.com/de/1"), (6, "https://badexample.com/de/1"), (7, "http://x.org/fr/"), (8, "http://x.org?q=/fr/"), (9, "http://net"), (10, "http://net/"), (10, "http://net/"), (11, "http://a.b/c\nd?e")]
-    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    clash = spark.createDataFrame([(*r, "x", "y", 1, "z", 0.5) for r in rows], "page_id long, url string, host string, line string, fold int, rule string, score double")
+    got = {r["page_id"]: r for r in url_filter.judge(clash).collect()}
     assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == ("", "", None)
     assert (got[2]["host"], got[2]["path"]) == ("", "")
     assert tuple(got[3])[1:5] == ("www.example.net", "/en/x", "example.net/en/", "allow")

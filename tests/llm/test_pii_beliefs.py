@@ -36,7 +36,7 @@ def test_a_label_reaches_the_last_of_many_repeats():
     found = pii.mentions(text, base)
     feats = np.stack([pii.unary(text, s, e) for s, e, _ in found])
     clamped = np.array([label for *_, label in found])
-    got = crf.marginals(feats, clamped, [], pii.skips(text, found))
+    got = crf.marginals(feats, clamped, [], pii.skips(text, found)[0], [])
     # Forward and backward along the chain, exactly: no loops.
     node = feats @ crf.unary.T
     node[0] = np.where(np.arange(pii.LABELS) == clamped[0], 0.0, -30.0)
@@ -60,14 +60,70 @@ def test_beliefs_settle_with_loops():
     crf.unary = rng.normal(size=crf.unary.shape)
     feats = rng.integers(0, 2, (n, pii.FEATURES)).astype(float)
     skip = [(i, i + 3) for i in range(n - 3)]
-    p = crf.marginals(feats, np.full(n, -1), [(i, i + 1) for i in range(n - 1)], skip)
+    p = crf.marginals(feats, np.full(n, -1), [(i, i + 1) for i in range(n - 1)], skip, [])
     assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1)
 
 
 def test_training_reads_every_mention():
     text = "; ".join(f"{7000000 + 1117 * k}" for k in range(200))
-    feats, labels, chain, _ = pii.training_case(text)
-    assert len(feats) == len(labels) == 200 and len(chain) == 199
-    case = pii.training_case(pii.VARIED[0])
-    once, twice = pii.Crf().fit([case, case]), pii.Crf().fit([case])
+    assert len(pii.cases(text)) == 200
+    rows = pii.cases(pii.made_up(1)[0][0])
+    once, twice = (pii.Crf().fit(rows, np.full(len(rows), w)) for w in (1.0, 2.0))
     assert np.allclose(once.unary, twice.unary)
+
+
+def test_marginals_are_exact_on_trees():
+    """Against the sum over all labellings, on small graphs without loops of all kinds of links."""
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 4, 5):
+        crf = pii.Crf()
+        crf.unary = rng.normal(size=crf.unary.shape)
+        pots = []
+        for name in ("chain", "skip", "near"):
+            w = rng.normal(size=(pii.LABELS, pii.LABELS))
+            setattr(crf, name, (w + w.T) / 2)
+            pots.append(getattr(crf, name))
+        feats = rng.integers(0, 2, (n, pii.FEATURES)).astype(float)
+        clamped = np.full(n, -1)
+        clamped[0] = 2
+        kinds = [[], [], []]
+        for i in range(1, n):
+            kinds[int(rng.integers(3))].append((int(rng.integers(i)), i))
+        want, node = np.zeros((n, pii.LABELS)), feats @ crf.unary.T
+        for y in product(range(pii.LABELS), repeat=n):
+            if y[0] == 2:
+                e = sum(node[i, y[i]] for i in range(1, n)) + sum(w[y[a], y[b]] for w, links in zip(pots, kinds, strict=True) for a, b in links)
+                for i in range(n):
+                    want[i, y[i]] += np.exp(e)
+        got = crf.marginals(feats, clamped, *kinds)
+        assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def test_links_of_repeats_and_similar_mentions():
+    text = "jo@mail.example.com or +1 (212) 555-0100; al@mail.example.com, 212-555-0100; 313 555 0100"
+    found = pii.mentions(text, pii.base_spans(text))
+    said = [text[s:e] for s, e, _ in found]
+    same, near = pii.skips(text, found)
+    assert [(said[a], said[b]) for a, b in same] == [("+1 (212) 555-0100", "212-555-0100")]
+    assert [(said[a], said[b]) for a, b in near] == [("jo@mail.example.com", "al@mail.example.com"), ("212-555-0100", "313 555 0100")]
+
+
+def test_planted_repeats_are_found(spark, sf):
+    """Entities of which one mention is a base span: nine in ten of their other forms are found,
+    and numbers of other kinds are left alone."""
+    made = pii.made_up(300, seed=99)
+    own = spark.createDataFrame([(-1 - k, t) for k, (t, _) in enumerate(made)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(own)
+    caught = total = wrong = 0
+    for r in pii.find(docs).where("doc_id < 0").collect():
+        text, truth = made[-1 - r["doc_id"]]
+        base = {(s, e) for s, _, e in pii.base_spans(text)}
+        said = {(int(s), int(e)): 1 + pii.KINDS.index(k) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)}
+        known = {truth[at] for at in base if at in truth}
+        hidden = [at for at, label in truth.items() if at not in base and label in known]
+        total += len(hidden)
+        caught += sum(said.get(at) == truth[at] for at in hidden)
+        wrong += sum(at not in base and truth.get(at) != label for at, label in said.items())
+    assert total > 200 and caught >= 0.9 * total and wrong <= 0.02 * total
