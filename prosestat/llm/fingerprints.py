@@ -155,9 +155,10 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataF
         salts = F.coalesce("salts", F.lit(1))
         stored = stored.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("hi", "lo"), salts).cast("int")).drop("salts")
         q = q.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-        met = q.join(stored, ["key", "salt"])
+        met = q.hint("merge").join(stored, ["key", "salt"])
     else:
-        met = q.join(stored, "key")
+        # The planner takes the lookups for few, as it doesn't see that they are exploded.
+        met = q.hint("merge").join(stored, "key")
     apart = F.bit_count(F.col("qhi").bitwiseXOR(F.col("hi"))) + F.bit_count(F.col("qlo").bitwiseXOR(F.col("lo")))
     near = met.withColumn("distance", apart).where(F.col("distance") <= radius).select("qhi", "qlo", "hi", "lo", "distance").distinct()
     text = lambda a, b: F.lower(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(h, 32 * (1 - k)).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for h in (a, b) for k in range(2))))
