@@ -103,6 +103,42 @@ def any_phrase(terms: list[str]) -> str:
     return r"(?i)(?<![A-Za-z])(?:" + "|".join(rf"\Q{t}\E" for t in terms) + r")(?![A-Za-z])"
 
 
+def _apart(terms: list[str]) -> bool:
+    """Whether no two matches of the terms can overlap: no term holds another one, and none ends
+    as another one begins."""
+    words = [re.findall(r"[a-z]+", t.lower()) for t in terms]
+    plain = all(" ".join(w) == t.lower() for w, t in zip(words, terms, strict=True))
+    ends = {tuple(w[k:]) for w in words for k in range(1, len(w))}
+    starts = {tuple(w[:k]) for w in words for k in range(1, len(w) + 1)}
+    inner = any(a != b and f" {' '.join(a)} " in f" {' '.join(b)} " for a in words for b in words)
+    return plain and not inner and not ends & starts
+
+
+def phrase_counts(c: Column, terms: list[str]) -> Column:
+    """Counts of the terms, in their order. Terms that can't overlap are found in one pass."""
+    if not _apart(terms):
+        return F.array(*(phrase_count(c, t) for t in terms))
+    found = F.transform(F.regexp_extract_all(c, F.lit(any_phrase(terms)), F.lit(0)), F.lower)
+    return let(found, lambda hits: F.transform(F.lit([t.lower() for t in terms]), lambda t: F.size(F.filter(hits, lambda h: h == t))))
+
+
+def listed(runs: Column, terms: list[str]) -> Column:
+    """How many of the runs of letters are one of the terms, which are single words."""
+    return F.size(F.filter(runs, lambda r: F.lower(r).isin([t.lower() for t in terms])))
+
+
+#: Full stops that end no sentence: in and after abbreviations, and between digits. All are
+#: looked for at full stops alone, in one pass.
+def _protected() -> str:
+    runs = [a.rstrip(".").split(".") for a in lex.ABBREVIATIONS]
+    last = "|".join(sorted((r"\.".join(r) for r in runs), key=len, reverse=True))
+    inner = "".join(rf"|(?<={r[0]}\.)(?={r[1]}\.)" for r in runs if len(r) > 1)
+    return rf"(?i)\.(?:(?<=(?:{last})\.){inner}|(?<=\d\.)(?=\d))"
+
+
+PROTECTED = _protected()
+
+
 def sentences(c: Column) -> Column:
     """Sentences with at least one word.
 
@@ -110,19 +146,12 @@ def sentences(c: Column) -> Column:
     one sentence; a line begins a new chunk after closing punctuation or with a capital, and
     otherwise goes on; chunks are cut after closing punctuation and white space.
     """
-    t = newlines(c)
-    for a in sorted(lex.ABBREVIATIONS, key=len, reverse=True):
-        # The term keeps its case, so each run of letters is put back as found.
-        runs = [r for r in a.split(".") if r]
-        t = F.regexp_replace(t, "(?i)" + r"\.".join(f"({r})" for r in runs) + r"\.", DOT.join(f"${k + 1}" for k in range(len(runs))) + DOT)
-    t = F.regexp_replace(t, r"(?<=\d)\.(?=\d)", DOT)
+    t = F.regexp_replace(newlines(c), PROTECTED, DOT)
     t = F.regexp_replace(t, r"[^\S\n]*\n[^\S\n]*", "\n")
     t = F.regexp_replace(strip(t), r"\n{2,}", CUT)
     t = F.regexp_replace(t, rf"(^|\n|{CUT})(?:[-*+] |\d+\. )([^\n{CUT}]*)", f"{CUT}{ITEM}$2{CUT}")
-    t = F.regexp_replace(t, rf"\n?{CUT}\n?", CUT)
-    t = F.regexp_replace(t, r"([.!?])\n", f"$1{CUT}")
-    t = F.regexp_replace(t, r"\n([A-Z])", f"{CUT}$1")
-    t = F.regexp_replace(t, r"\n", " ")
+    t = F.regexp_replace(t, rf"\n?{CUT}\n?|(?<=[.!?])\n|\n(?=[A-Z])", CUT)
+    t = F.translate(t, "\n", " ")
     parts = F.transform(F.split(t, CUT, -1), lambda x: F.when(F.startswith(x, F.lit(ITEM)), F.array(F.substring(x, F.lit(2), F.char_length(x)))).otherwise(F.split(x, r"(?<=[.!?])\s+", -1)))
     return F.filter(F.transform(F.flatten(parts), lambda x: F.translate(x, DOT, ".")), has_word)
 
@@ -288,16 +317,12 @@ def aphoristic(x: Column) -> Column:
     return ok & F.arrays_overlap(F.transform(t, F.lower), F.lit(lex.ABSTRACT)) & F.rlike(x, F.lit(APHORISM_VERB))
 
 
-def _lexicon(c: Column, terms: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, (phrase_count(c, t) for t in terms))
-
-
 def told(df: DataFrame) -> DataFrame:
     """df (with body) with one double column for each of TELLS, null where it doesn't apply."""
     b = F.col("body")
     out = df.withColumn("_blocks", prose_blocks(b)).withColumn("_paras", F.transform("_blocks", sentences)).withColumn("_flat", F.flatten("_paras"))
     out = out.withColumn("_len", F.transform("_flat", n_words)).withColumn("_n", n_words(b)).withColumn("_lines", lines(b)).withColumn("_prose", F.array_join("_blocks", "\n\n"))
-    out = out.withColumn("_heads", F.size(F.filter("_lines", lambda x: F.rlike(x, F.lit(HEADING))))).withColumn("_bullets", F.filter("_lines", lambda x: F.rlike(x, F.lit(BULLET)))).withColumn("_bw", F.transform("_blocks", n_words))
+    out = out.withColumn("_heads", F.size(F.filter("_lines", lambda x: F.rlike(x, F.lit(HEADING))))).withColumn("_bullets", F.filter("_lines", lambda x: F.rlike(x, F.lit(BULLET)))).withColumn("_bw", F.transform("_blocks", n_words)).withColumn("_runs", F.regexp_extract_all(b, F.lit("[A-Za-z]+"), F.lit(0)))
     cut = F.split(F.array_join(F.transform("_lines", lambda x: F.when(F.rlike(x, F.lit(HEADING)), F.lit(CUT)).otherwise(x)), "\n"), CUT, -1)
     sections = F.transform(cut, lambda part: F.try_element_at(F.flatten(F.transform(prose_blocks(part), sentences)), F.lit(-1)))
     plain = F.transform(F.filter("_paras", lambda g: F.size(g) >= 2), lambda g: F.element_at(g, -1))
@@ -316,7 +341,7 @@ def told(df: DataFrame) -> DataFrame:
         "tricolon_rate": per(F.regexp_count("_prose", F.lit(TRICOLON)), 1000),
         "tricolon_paragraphs": held("_blocks", lambda x: F.regexp_count(x, F.lit(TRICOLON)) >= 2),
         "negation_contrast_rate": per(F.regexp_count("_prose", F.lit(CONTRAST)), 1000),
-        "ai_vocab_rate": per(_lexicon(b, lex.AI_VOCABULARY), 500),
+        "ai_vocab_rate": per(listed(F.col("_runs"), lex.AI_VOCABULARY), 500),
         "staccato_runs": F.aggregate("_paras", F.lit(0), lambda a, g: a + staccato(F.transform(g, n_words))),
         "anaphora_runs": anaphora(F.transform(flat, lambda x: F.lower(F.get(words(x), F.lit(0))))),
         "aphorism_ratio": F.when(F.size("_finals") > 0, held("_finals", aphoristic) * 1.0 / F.size("_finals")),
@@ -325,7 +350,7 @@ def told(df: DataFrame) -> DataFrame:
         "pivot_paragraphs": F.size(inner),
         "connector_rate": per(held(flat, lambda x: F.rlike(x, F.lit(CONNECTOR))), 1000),
         "balanced_openers": per(held(flat, lambda x: F.rlike(x, F.lit(BALANCED))), 1000),
-        "magic_adverb_rate": per(_lexicon(b, lex.MAGIC_ADVERBS), 1000),
+        "magic_adverb_rate": per(listed(F.col("_runs"), lex.MAGIC_ADVERBS), 1000),
         "hedge_stacks": F.regexp_count(b, F.lit(HEDGE_STACK)),
         "service_phrases": reduce(lambda x, y: x + y, (F.rlike(b, F.lit(p)).cast("int") for p in SERVICE)),
     }
@@ -333,4 +358,4 @@ def told(df: DataFrame) -> DataFrame:
     counts = F.transform("_paras", F.size)
     out = out.withColumns({k: v.cast("double") for k, v in values.items()})
     out = out.withColumn("paragraph_mean", F.when(shape, F.aggregate(counts, F.lit(0), lambda a, x: a + x) * 1.0 / F.size("_blocks"))).withColumn("single_share", F.when(shape, F.size(F.filter(counts, lambda x: x == 1)) * 1.0 / F.size("_blocks")))
-    return out.drop(*[c for c in out.columns if re.match("_(blocks|paras|flat|len|n|lines|prose|heads|bullets|bw|finals)$", c)])
+    return out.drop(*[c for c in out.columns if re.match("_(blocks|paras|flat|len|n|lines|prose|heads|bullets|bw|finals|runs)$", c)])

@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import records as rec
 
 DIMENSIONS = ["tone", "structure", "vocabulary", "rhythm", "hedging", "humour", "openings", "closings", "argument"]
 GROUNDED, BORDERLINE, WINDOW = 0.85, 0.65, 25
@@ -28,28 +30,36 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def best_window(quote: str, text: str, least: float) -> tuple[float, str]:
-    """The best character ratio of a window of up to 25 words, and the window. Windows whose
-    length alone rules them out are not compared."""
+    """The best character ratio of the quote with a window of up to ``WINDOW`` words, and the
+    window; of equal ones the first, and the shorter. Branch and bound: how many characters two
+    strings can share at most is known for all windows at once from running counts, and windows
+    are compared in the order of that bound until none can be better."""
     if not quote.strip():
         return 0.0, ""
     if quote in text:
         return 1.0, quote
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
-    best = (0.0, "")
-    matcher = SequenceMatcher(None, "", quote, autojunk=False)
-    for i, (start, _) in enumerate(spans):
-        for _, end in spans[i : i + WINDOW]:
-            n = end - start
-            if 2 * min(len(quote), n) < least * (len(quote) + n):
-                continue
-            matcher.set_seq1(text[start:end])
-            floor = max(best[0], least)
-            if matcher.real_quick_ratio() >= floor and matcher.quick_ratio() >= floor:
-                # The ratio depends on the order of the two: the quote comes first.
-                r = SequenceMatcher(None, quote, text[start:end], autojunk=False).ratio()
-                if r > best[0]:
-                    best = (r, text[start:end])
-    return best
+    places = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64).reshape(-1, 2)
+    if not len(places):
+        return 0.0, ""
+    first = np.repeat(np.arange(len(places)), WINDOW)
+    last = first + np.tile(np.arange(WINDOW), len(places))
+    first, last = first[last < len(places)], last[last < len(places)]
+    start, end = places[first, 0], places[last, 1]
+    signs, counts = np.unique(list(quote), return_counts=True)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    shared = np.zeros(len(start), np.int64)
+    for sign, n in zip(signs, counts, strict=True):
+        held = np.concatenate([[0], np.cumsum(codes == ord(sign))])
+        shared += np.minimum(n, held[end] - held[start])
+    bound = 2 * shared / (len(quote) + end - start)
+    best, at = 0.0, -1
+    for k in np.lexsort((np.arange(len(bound)), -bound)).tolist():
+        if bound[k] < max(best, least):
+            break
+        r = SequenceMatcher(None, quote, text[start[k] : end[k]], autojunk=False).ratio()
+        if r > best or r == best and k < at:
+            best, at = r, k
+    return (best, text[start[at] : end[at]]) if at >= 0 else (0.0, "")
 
 
 def grounded_exact(findings: DataFrame, records: DataFrame) -> DataFrame:
@@ -134,16 +144,17 @@ def cross_register(merged: DataFrame, evidence: DataFrame, top: int = 20) -> Dat
     two registers or more. Labels spread over the links until they stay; findings are few
     (a bounded number for each register), links only join those of one dimension."""
     links = linked(merged)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
     label = merged.select(F.col("finding_id").alias("a"), F.col("finding_id").alias("l"))
-    before = None
     while True:
         spread = both.join(label.select(F.col("a").alias("b"), F.col("l").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
-        label = label.join(spread, "a", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l")).persist()
-        now = label.agg(F.sum(F.xxhash64("l") % 1_000_003)).first()[0]
-        if now == before:
+        new = label.join(spread, "a", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l"), (F.col("m") < F.col("l")).alias("moved"))
+        # Findings are some thousands: written whole each round, so lineage doesn't grow.
+        new = rec.cut(new)
+        label = new.select("a", "l")
+        if not new.where("moved").limit(1).count():
             break
-        before = now
+    both.unpersist()
     support = evidence.withColumn("finding_id", finding_id("dimension", "register", "observation")).select("finding_id", "record_id").distinct()
     rows = merged.join(label.withColumnRenamed("a", "finding_id"), "finding_id")
     per = rows.join(support, "finding_id").groupBy("l").agg(F.min("dimension").alias("dimension"), F.count_distinct("register").alias("n_registers"), F.array_join(F.array_sort(F.collect_set("register")), ",").alias("registers"), F.count_distinct("record_id").alias("support"), F.array_sort(F.collect_set("finding_id")).alias("ids"))
@@ -164,16 +175,28 @@ SPAN_BLOCK = 10_000
 
 
 def absent_quotes(drafts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Quoted spans that stand in no source text."""
+    """Quoted spans that stand in no source text.
+
+    A word inside a span, with white space on both sides, is a word of every text that holds
+    the span, so the longest such word joins spans with the texts they may stand in. Spans
+    without one, of two words or fewer, are sought in every text, a block of them at a time.
+    """
     spans = quotes_of(drafts)
-    distinct = spans.select("span").distinct()
-    blocks = max(1, -(-distinct.count() // SPAN_BLOCK))
-    # Each block is about SPAN_BLOCK spans, broadcast; sources stream past all blocks.
-    found = None
+    words = F.split("span", r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    distinct = spans.select("span").distinct().withColumn("word", F.when(key != "", key))
+    long, short = distinct.where("word is not null"), distinct.where("word is null").select("span")
+    # Texts that collide in the number are read twice, each for itself.
+    texts = sources.where("text is not null").select(F.xxhash64("text").alias("number"), "text")
+    held = texts.select("number", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    pairs = held.join(long, "word").select("number", "span").distinct()
+    found = texts.join(pairs, "number").where(F.contains("text", F.col("span"))).select("span").distinct()
+    blocks = -(-short.count() // SPAN_BLOCK)
     for k in range(blocks):
-        block = distinct.where(F.pmod(F.xxhash64("span"), F.lit(blocks)) == k)
-        hits = sources.select("text").join(F.broadcast(block), F.contains("text", F.col("span"))).select("span").distinct()
-        found = hits if found is None else found.unionByName(hits)
+        # About SPAN_BLOCK spans, broadcast; sources stream past them.
+        block = short.where(F.pmod(F.xxhash64("span"), F.lit(blocks)) == k)
+        found = found.unionByName(sources.select("text").join(F.broadcast(block), F.contains("text", F.col("span"))).select("span").distinct())
     return spans.join(found, "span", "left_anti").select("draft_id", "span")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,18 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """rows with their lineage cut, by a checkpoint in the folder that the cluster names; one of
+    their own only in a local session without one."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prosestat-"))
+    return rows.checkpoint()
+
+
 def record_id(*parts: Column) -> Column:
     """First 16 hex digits of the SHA-256 of the parts, joined by NUL."""
     return F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 16)
@@ -19,12 +33,16 @@ def template_key(text: Column) -> Column:
     return F.lower(tx.strip(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
-def records(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents as records: deterministic stand-ins for what a mailbox would say."""
-    marks = labels.groupBy("doc_id").agg((F.min("quality") == 0).alias("low"), (F.max("toxic") == 1).alias("sensitive"))
-    d = documents.join(marks, "doc_id", "left")
+def records(documents: DataFrame, labels: DataFrame, measure=None) -> DataFrame:
+    """documents as records: deterministic stand-ins for what a mailbox would say.
+
+    ``measure``, from a DataFrame with ``text`` to one with more columns, is applied before
+    anything is joined, so texts are read, measured and, where no later step asks for them,
+    dropped in the stage that scans them.
+    """
     pick = lambda names, by: F.get(F.lit(names), by.cast("int"))
-    return d.select(
+    text = F.coalesce("text", F.lit(""))
+    d = documents.select(
         record_id(F.col("doc_id").cast("string")).alias("record_id"),
         "doc_id",
         "source",
@@ -33,10 +51,13 @@ def records(documents: DataFrame, labels: DataFrame) -> DataFrame:
         pick(["new", "reply", "forward"], F.col("doc_id") % 3).alias("thread_position"),
         F.when(F.col("doc_id") % 50 != 0, 2015 + F.col("doc_id") % 10).cast("int").alias("year"),
         "text",
-        tx.word_count(F.coalesce("text", F.lit(""))).cast("long").alias("word_count"),
-        F.when(F.coalesce("low", F.lit(False)), "low").otherwise("high").alias("confidence"),
-        F.coalesce("sensitive", F.lit(False)).alias("sensitive"),
+        tx.word_count(text).cast("long").alias("word_count"),
+        F.sha2(template_key(text), 256).alias("_key"),
     )
+    d = measure(d) if measure else d
+    marks = labels.groupBy("doc_id").agg((F.min("quality") == 0).alias("low"), (F.max("toxic") == 1).alias("sensitive"))
+    d = d.join(marks, "doc_id", "left")
+    return d.withColumn("confidence", F.when(F.coalesce("low", F.lit(False)), "low").otherwise("high")).withColumn("sensitive", F.coalesce("sensitive", F.lit(False))).drop("low")
 
 
 def unique(rows: DataFrame, *order: str) -> DataFrame:
@@ -46,14 +67,17 @@ def unique(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def templates(rows: DataFrame, least: int = 3) -> DataFrame:
-    """template: the same text, case and white space aside, stands in at least ``least`` rows.
+    """template: the same text, case and white space aside, stands in at least ``least`` rows;
+    first: the smallest record_id of them that has high confidence.
 
     Keys are counted before the join, so a text that half of the rows share is one row per task
-    in the shuffle.
+    in the shuffle; single texts are not joined at all.
     """
-    keyed = rows.withColumn("_key", F.xxhash64(template_key(F.coalesce("text", F.lit("")))))
-    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
-    return keyed.join(counts, "_key").withColumn("template", F.col("_n") >= least).drop("_n", "_key")
+    keyed = rows if "_key" in rows.columns else rows.withColumn("_key", F.sha2(template_key(F.coalesce("text", F.lit(""))), 256))
+    high = F.col("confidence") != "low" if "confidence" in rows.columns else F.lit(True)
+    first = F.min(F.when(high, F.col("record_id"))).alias("first")
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"), first).where(F.col("_n") >= least)
+    return keyed.join(counts, "_key", "left").withColumn("template", F.col("_n").isNotNull()).drop("_n", "_key")
 
 
 def merge(parts: list[DataFrame], *order: str) -> DataFrame:
@@ -66,11 +90,9 @@ def merge(parts: list[DataFrame], *order: str) -> DataFrame:
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """Rows that count in statistics: high confidence, one row for each template text."""
-    high = rows.where("confidence <> 'low'")
-    key = F.xxhash64(template_key(F.coalesce("text", F.lit(""))))
-    first = high.where("template").groupBy(key.alias("_key")).agg(F.min("record_id").alias("record_id")).select("record_id")
-    return high.where("not template").unionByName(high.where("template").join(first, "record_id", "left_semi"))
+    """Rows (of ``templates``) that count in statistics: high confidence, one row for each
+    template text."""
+    return rows.where((F.col("confidence") != "low") & (~F.col("template") | (F.col("record_id") == F.col("first"))))
 
 
 def before(rows: DataFrame, cutoff: str) -> DataFrame:

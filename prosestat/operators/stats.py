@@ -1,7 +1,8 @@
 """Distributions, thresholds, frequency tables, n-grams and contrasts by register.
 
-Statistics are long tables with one row for each register and metric. The registers and their
-roll-up ``_global`` come from one pass with grouping sets; percentiles are exact.
+Statistics are long tables with one row for each register and metric. Values are counted by
+register and metric, combined before the shuffle; the roll-up ``_global`` adds up those counts,
+and exact percentiles come from running sums over them, so no task holds a group's values.
 """
 
 from __future__ import annotations
@@ -35,26 +36,60 @@ def _rolled(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("register", F.explode(F.array(F.col("recipient_class"), F.lit(ALL)))).groupBy("register", *by)
 
 
+def counted(values: DataFrame, names: list[str], *by: str) -> DataFrame:
+    """(register, by..., metric, value, n, g): how often each value occurs, and how often in
+    gated rows, for each register and the roll-up. Nulls are left out of n and g."""
+    rows = long_form(values, names, "recipient_class", "gated", *by).withColumn("value", F.round("value", 9))
+    per = rows.groupBy("recipient_class", *by, "metric", "value").agg(F.count("value").alias("n"), F.count_if(F.col("gated") & F.col("value").isNotNull()).alias("g"))
+    return per.withColumn("register", F.explode(F.array(F.col("recipient_class"), F.lit(ALL)))).groupBy("register", *by, "metric", "value").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+
+
+def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, list[float]]) -> DataFrame:
+    """(keys..., for each weight column its total ``<column>_n`` and its exact interpolated
+    quantiles as an array ``<column>_q``, null without values), from counted values."""
+    totals = counts.groupBy(*keys).agg(*(F.sum(c).alias(f"{c}_n") for c in wanted), *(F.sum(F.col("value") * F.col(c)).alias(f"{c}_sum") for c in wanted), *(F.sum(F.when(F.col("value") != 0, F.col(c)).otherwise(0)).alias(f"{c}_some") for c in wanted))
+    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.where("value is not null").withColumns({f"{c}_to": F.sum(c).over(w) for c in wanted})
+    # One row for each register and metric.
+    ranked = ranked.join(F.broadcast(totals), keys)
+
+    def at(c: str, rank: Column) -> Column:
+        """The value at a rank from 0."""
+        return F.max(F.when((F.col(f"{c}_to") > rank) & (F.col(f"{c}_to") - F.col(c) <= rank), F.col("value")))
+
+    ends = []
+    for c, points in wanted.items():
+        for k, p in enumerate(points):
+            place = (F.col(f"{c}_n") - 1) * F.lit(p)
+            ends += [at(c, F.floor(place)).alias(f"{c}_{k}_lo"), at(c, F.ceil(place)).alias(f"{c}_{k}_hi"), F.max(place - F.floor(place)).alias(f"{c}_{k}_part")]
+    found = ranked.groupBy(*keys).agg(*ends)
+    arrays = [F.when(F.col(f"{c}_n") > 0, F.array(*(F.col(f"{c}_{k}_lo") + (F.col(f"{c}_{k}_hi") - F.col(f"{c}_{k}_lo")) * F.col(f"{c}_{k}_part") for k in range(len(points))))).alias(f"{c}_q") for c, points in wanted.items()]
+    return totals.join(found, keys, "left").select(*keys, *(f"{c}_{x}" for c in wanted for x in ("n", "sum", "some")), *arrays)
+
+
 def distribution(values: DataFrame, *by: str, minimum: int = THIN) -> DataFrame:
     """(register, by..., metric): n, mean, nonzero_share, p10..p90 and the lint band of gated
     rows, or the overall gated band where the register has too few."""
-    rows = long_form(values, tx.METRICS, "recipient_class", "gated", *by)
-    v, g = F.col("value"), F.when(F.col("gated"), F.col("value"))
-    spread = _rolled(rows, (*by, "metric")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.avg((v != 0).cast("double")).alias("nonzero_share"), F.percentile(v, POINTS).alias("q"), F.percentile(g, [0.1, 0.25, 0.75, 0.9]).alias("b"), F.count(g).alias("n_gated"))
-    whole = rows.groupBy("metric").agg(F.percentile(g, [0.1, 0.25, 0.75, 0.9]).alias("gb"), F.count(g).alias("gn"))
-    thin = F.col("n_gated") < minimum
-    band = F.when(thin, F.col("gb")).otherwise(F.col("b"))
+    keys = ["register", *by, "metric"]
+    spread = quantiles(counted(values, tx.METRICS, *by), keys, {"n": POINTS, "g": [0.1, 0.25, 0.75, 0.9]})
+    if by:
+        whole = quantiles(counted(values, tx.METRICS).where(F.col("register") == ALL), ["metric"], {"g": [0.1, 0.25, 0.75, 0.9]})
+    else:
+        whole = spread.where(F.col("register") == ALL)
+    whole = whole.select("metric", F.col("g_q").alias("gb"), F.col("g_n").alias("gn"))
+    thin = F.col("g_n") < minimum
+    band = F.when(thin, F.col("gb")).otherwise(F.col("g_q"))
     at = lambda a, i: F.round(F.coalesce(F.get(a, F.lit(i)), F.lit(0.0)) + EPS, 4)
     return spread.join(F.broadcast(whole), "metric").select(
         "register",
         *by,
         "metric",
-        "n",
-        F.round(F.col("mean") + EPS, 4).alias("mean"),
-        F.round(F.col("nonzero_share") + EPS, 4).alias("nonzero_share"),
-        *(at(F.col("q"), i).alias(f"p{round(100 * p)}") for i, p in enumerate(POINTS)),
+        F.col("n_n").alias("n"),
+        F.round(F.col("n_sum") / F.col("n_n") + EPS, 4).alias("mean"),
+        F.round(F.col("n_some") / F.col("n_n") + EPS, 4).alias("nonzero_share"),
+        *(at(F.col("n_q"), i).alias(f"p{round(100 * p)}") for i, p in enumerate(POINTS)),
         *(at(band, i).alias(f"band_p{p}") for i, p in enumerate((10, 25, 75, 90))),
-        F.when(thin, F.col("gn")).otherwise(F.col("n_gated")).alias("n_gated"),
+        F.when(thin, F.col("gn")).otherwise(F.col("g_n")).alias("n_gated"),
         thin.alias("fallback_global"),
     )
 
@@ -62,8 +97,8 @@ def distribution(values: DataFrame, *by: str, minimum: int = THIN) -> DataFrame:
 def tell_thresholds(values: DataFrame, minimum: int = THIN) -> DataFrame:
     """(register, metric): direction, threshold, p50, n, basis. A register without enough values
     takes the roll-up's threshold."""
-    rows = long_form(values, list(tx.TELLS), "recipient_class")
-    per = _rolled(rows, ("metric",)).agg(F.count("value").alias("n"), F.percentile("value", [0.1, 0.5, 0.9]).alias("q"))
+    values = values if "gated" in values.columns else values.withColumn("gated", F.lit(False))
+    per = quantiles(counted(values, list(tx.TELLS)), ["register", "metric"], {"n": [0.1, 0.5, 0.9]}).withColumnsRenamed({"n_n": "n", "n_q": "q"})
     up = F.col("metric").isin([m for m, d in tx.TELLS.items() if d == "max"])
     floor = F.when(F.col("metric") == "service_phrases", 1.0).otherwise(0.0)
     per = per.withColumn("own", F.when(F.col("n") >= minimum, F.when(up, F.greatest(F.get("q", F.lit(2)), floor)).otherwise(F.get("q", F.lit(0)))))
@@ -74,7 +109,8 @@ def tell_thresholds(values: DataFrame, minimum: int = THIN) -> DataFrame:
 
 def tertile_cut(rows: DataFrame) -> DataFrame:
     """One row: the upper inclusive tertile of word_count."""
-    return rows.agg(F.percentile("word_count", 2 / 3).alias("cut"))
+    counts = rows.groupBy(F.col("word_count").cast("double").alias("value")).agg(F.count("*").alias("n")).withColumn("all", F.lit(ALL))
+    return quantiles(counts, ["all"], {"n": [2 / 3]}).select(F.get("n_q", F.lit(0)).alias("cut"))
 
 
 def long_texts(rows: DataFrame) -> DataFrame:
@@ -127,7 +163,7 @@ def function_word_rates(rows: DataFrame) -> DataFrame:
 def phrase_hits(rows: DataFrame, terms: list[str]) -> DataFrame:
     """(register, term, hits, total, rate): counts of phrases, zeros kept. One pass over the
     texts: each row yields one number for each term, summed by register."""
-    counts = F.array(*(tx.phrase_count(F.coalesce("text", F.lit("")), t) for t in terms))
+    counts = tx.phrase_counts(F.coalesce("text", F.lit("")), terms)
     per = _rolled(rows.select("recipient_class", counts.alias("c"), tx.n_words(F.coalesce("text", F.lit(""))).alias("k")), ()).agg(F.sum("k").cast("long").alias("total"), *(F.sum(F.get("c", F.lit(i))).cast("long").alias(f"c{i}") for i in range(len(terms))))
     full = _registers(rows.sparkSession).join(per, "register", "left")
     hits = F.inline(F.array(*(F.struct(F.lit(t).alias("term"), F.coalesce(f"c{i}", F.lit(0)).alias("hits")) for i, t in enumerate(terms))))

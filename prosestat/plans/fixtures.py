@@ -26,6 +26,7 @@ TEXTS = (
     "Jane Doe,\n\nYour account balance is due. Ring 1234567 or write to a.b@example.com now; see www.example.com/x, please.",
     "",
     "Regards",
+    "One thing is clear.\n\nIt works.\n\nNobody minds.\n\nThat is all there is. Or nearly.",
 )
 
 

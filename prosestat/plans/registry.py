@@ -44,21 +44,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def rows(spark: SparkSession, sf: str) -> DataFrame:
+def rows(spark: SparkSession, sf: str, measure=None) -> DataFrame:
     docs = table(spark, sf, "documents").unionByName(fixtures.frame(spark))
-    return rec.records(docs, table(spark, sf, "labels"))
+    return rec.records(docs, table(spark, sf, "labels"), measure)
 
 
-def templated(spark: SparkSession, sf: str) -> DataFrame:
-    return rec.templates(rows(spark, sf))
+def templated(spark: SparkSession, sf: str, measure=None) -> DataFrame:
+    return rec.templates(rows(spark, sf, measure))
 
 
-def usable(spark: SparkSession, sf: str) -> DataFrame:
-    return rec.usable(templated(spark, sf))
+def usable(spark: SparkSession, sf: str, measure=None) -> DataFrame:
+    return rec.usable(templated(spark, sf, measure))
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return tx.told(tx.prepared(df))
 
 
 def measured(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.per_record(usable(spark, sf))
+    return usable(spark, sf, stats.per_record)
+
+
+def told(spark: SparkSession, sf: str) -> DataFrame:
+    return usable(spark, sf, _told)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -194,19 +202,13 @@ def m01_m20_metrics(spark, sf):
 
 
 T = f"{R}, {sql.prepared('usable')}, {sql.told('prep')}"
-_TELL_COLUMNS = ", ".join(f"round({m} + 1e-9, 4) AS {m}" for m in (*sql.SIMPLE_TELLS, "paragraph_mean", "single_share"))
+_TELL_COLUMNS = ", ".join(f"round({m} + 1e-9, 4) AS {m}" for m in (*tx.TELLS, "paragraph_mean", "single_share"))
 
 
 @query(f"{T} SELECT record_id, {_TELL_COLUMNS} FROM tel")
 def t01_t18_tells(spark, sf):
-    v = tx.told(tx.prepared(usable(spark, sf)))
-    return rounded(v, *sql.SIMPLE_TELLS, "paragraph_mean", "single_share").select("record_id", *sql.SIMPLE_TELLS, "paragraph_mean", "single_share")
-
-
-@query()
-def t07_t09_runs(spark, sf):
-    v = tx.told(tx.prepared(usable(spark, sf)))
-    return rounded(v, "staccato_runs", "anaphora_runs", "aphorism_ratio").select("record_id", "staccato_runs", "anaphora_runs", "aphorism_ratio")
+    v = told(spark, sf)
+    return rounded(v, *tx.TELLS, "paragraph_mean", "single_share").select("record_id", *tx.TELLS, "paragraph_mean", "single_share")
 
 
 @query(f"{R} SELECT record_id, {sql.n_words(chr(34) + 'text' + chr(34))}::BIGINT AS tokens, len({sql.sentences('text')})::BIGINT AS sentences, array_to_string({sql.words('text')}, ' ') AS words, array_to_string({sql.sentences('text')}, '|') AS parts FROM rec")
@@ -247,7 +249,7 @@ S = f"{R}, pre AS (SELECT * FROM tpl WHERE confidence <> 'low'), {sql.prepared('
 
 
 def _by_source(spark, sf):
-    return stats.distribution(stats.per_record(templated(spark, sf).where("confidence <> 'low'")), "source")
+    return stats.distribution(templated(spark, sf, stats.per_record).where("confidence <> 'low'"), "source")
 
 
 @query(f"{S}, {_dist_sql('met', 'source')} SELECT register, source, metric, n, p50 FROM dist")
@@ -255,9 +257,18 @@ def a05_by_source(spark, sf):
     return _by_source(spark, sf).select("register", "source", "metric", "n", "p50")
 
 
-@query(f"{T}, long AS (SELECT recipient_class, v.metric AS metric, v.value AS value FROM (SELECT recipient_class, unnest([{', '.join(f'{{{chr(39)}metric{chr(39)}: {chr(39)}{m}{chr(39)}, {chr(39)}value{chr(39)}: {m}}}' for m in sql.SIMPLE_TELLS)}]) AS v FROM tel)), per AS (SELECT register, metric, count(value) AS n, round(coalesce(quantile_cont(value, 0.5), 0) + 1e-9, 4) AS p50, CASE WHEN count(value) >= 30 THEN CASE WHEN metric = 'sentence_cv' THEN quantile_cont(value, 0.1) ELSE greatest(quantile_cont(value, 0.9), CASE WHEN metric = 'service_phrases' THEN 1 ELSE 0 END) END END AS own FROM {ROLL.format('long')} GROUP BY register, metric) SELECT p.register, p.metric, CASE WHEN p.metric = 'sentence_cv' THEN 'min' ELSE 'max' END AS direction, round(coalesce(p.own, g.own) + 1e-9, 4) AS threshold, p.p50, p.n, CASE WHEN p.own IS NULL AND g.own IS NOT NULL AND p.register <> '_global' THEN '_global' ELSE 'register' END AS basis FROM per p JOIN (SELECT metric, own FROM per WHERE register = '_global') g USING (metric)")
+def _thresholds_sql(source: str, name: str) -> str:
+    pairs = ", ".join(f"{{'metric': '{m}', 'value': {m}}}" for m in tx.TELLS)
+    up = f"list_contains({sql.array([m for m, d in tx.TELLS.items() if d == 'max'])}, {{0}})"
+    own = f"CASE WHEN count(value) >= 30 THEN CASE WHEN {up.format('metric')} THEN greatest(quantile_cont(value, 0.9), CASE WHEN metric = 'service_phrases' THEN 1 ELSE 0 END) ELSE quantile_cont(value, 0.1) END END"
+    return f"""{name}_long AS (SELECT recipient_class, v.metric AS metric, v.value AS value FROM (SELECT recipient_class, unnest([{pairs}]) AS v FROM {source})),
+{name}_per AS (SELECT register, metric, count(value) AS n, round(coalesce(quantile_cont(value, 0.5), 0) + 1e-9, 4) AS p50, {own} AS own FROM {ROLL.format(name + "_long")} GROUP BY register, metric),
+{name} AS (SELECT p.register, p.metric, CASE WHEN {up.format("p.metric")} THEN 'max' ELSE 'min' END AS direction, round(coalesce(p.own, g.own) + 1e-9, 4) AS threshold, p.p50, p.n, CASE WHEN p.own IS NULL AND g.own IS NOT NULL AND p.register <> '_global' THEN '_global' ELSE 'register' END AS basis FROM {name}_per p JOIN (SELECT metric, own FROM {name}_per WHERE register = '_global') g USING (metric))"""
+
+
+@query(f"{T}, {_thresholds_sql('tel', 'lim')} SELECT * FROM lim")
 def a07_tell_thresholds(spark, sf):
-    return stats.tell_thresholds(tx.told(tx.prepared(usable(spark, sf)))).where(F.col("metric").isin(sql.SIMPLE_TELLS))
+    return stats.tell_thresholds(told(spark, sf))
 
 
 @query(f"{R} SELECT register, token, count(*) AS n FROM (SELECT register, lower(unnest({sql.words('text')})) AS token FROM {ROLL.format('usable')}) GROUP BY ALL")
@@ -382,10 +393,21 @@ def a21_long_texts(spark, sf):
     return stats.long_texts(usable(spark, sf)).select("record_id", "word_count")
 
 
-@query()
+def _anchored_sql() -> str:
+    def named(name: str, source: str) -> str:
+        return _dist_sql(source).replace("long AS (", f"{name}_long AS (").replace("FROM long ", f"FROM {name}_long ").replace("FROM long)", f"FROM {name}_long)").replace("g AS (SELECT metric", f"{name}_g AS (SELECT metric").replace("\ns AS (", f"\n{name}_s AS (").replace("FROM s JOIN g USING", f"FROM {name}_s s JOIN {name}_g g USING").replace("dist AS", f"{name}_dist AS")
+
+    bands = [f"band_p{p}" for p in (10, 25, 75, 90)] + ["n_gated"]
+    thin = "(a.fallback_global OR a.n_gated < 30)"
+    take = ", ".join(f"CASE WHEN {thin} THEN l.{c} ELSE a.{c} END AS {c}" for c in bands)
+    return f"{M}, lt AS (SELECT * FROM met WHERE word_count > (SELECT quantile_cont(word_count, 2.0 / 3) FROM met)), ar AS (SELECT * FROM met WHERE recipient_class = 'personal'), {named('l', 'lt')}, {named('a', 'ar')} SELECT 'article' AS register, metric, {take}, CASE WHEN {thin} THEN 'long_emails' ELSE 'register' END AS basis FROM (SELECT * FROM a_dist WHERE register = '_global') a JOIN (SELECT * FROM l_dist WHERE register = '_global') l USING (metric)"
+
+
+@query(_anchored_sql())
 def a22_anchored_article(spark, sf):
-    long = stats.distribution(stats.per_record(stats.long_texts(usable(spark, sf))))
-    article = stats.distribution(stats.per_record(usable(spark, sf).where("recipient_class = 'personal'")))
+    rows = measured(spark, sf)
+    long = stats.distribution(stats.long_texts(rows))
+    article = stats.distribution(rows.where("recipient_class = 'personal'"))
     return stats.anchor_article(article, long)
 
 
@@ -423,7 +445,7 @@ def p03_paragraphs(spark, sf):
     return select.paragraph_rows(rows(spark, sf))
 
 
-@query()
+@query(rf"{R}, ps AS (SELECT record_id, word_count > 200 AS truncated, text, word_count, string_split(regexp_replace(text, '\n\s*\n', chr(3), 'g'), chr(3)) AS ps FROM rec), k AS (SELECT *, list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: {sql.n_words('p')}))) AS ends FROM ps), c AS (SELECT *, least(coalesce(list_max(list_filter(range(1, len(ps) + 1), lambda i: ends[i] <= 200)), 0), len(ps) - 1) AS k FROM k), t AS (SELECT record_id, truncated, CASE WHEN truncated THEN array_to_string(ps[1:k], chr(10) || chr(10)) ELSE text END AS text FROM c) SELECT record_id, truncated, {sql.n_words('text')}::BIGINT AS word_count FROM t")
 def p06_truncated(spark, sf):
     return select.truncated(rows(spark, sf), 200).select("record_id", "truncated", "word_count")
 
@@ -546,20 +568,47 @@ def l08_llm_isms(spark, sf):
     return lint.llm_isms(_drafts(spark, sf), stats.phrase_hits(usable(spark, sf), lex.LLM_ISMS))
 
 
-@query()
+_BODY = r"regexp_replace(text, '(?i)\\A(?:[ \\t]*\\n)*[ \\t]*Subject:[^\\n]*(?:\\n(?:[ \\t]*\\n)*)?', '')"
+DT = f"{D}, body AS (SELECT * REPLACE ({_BODY} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.told('dprep', 'dtel', 'draft_id, medium, register')}"
+_TELL_PAIRS = ", ".join(f"{{'metric': '{m}', 'value': {m}}}" for m in tx.TELLS)
+
+
+@query(f"WITH lims AS ({T}, {_thresholds_sql('tel', 'lim')} SELECT * FROM lim), dv AS ({DT} SELECT draft_id, register, unnest([{_TELL_PAIRS}]) AS x FROM dtel) SELECT draft_id, 'ai.' || metric AS rule_id, 'warn' AS severity, round(x.value, 4)::DOUBLE AS observed, threshold::DOUBLE AS expected FROM dv JOIN lims ON lims.register = dv.register AND lims.metric = x.metric WHERE x.value IS NOT NULL AND CASE WHEN direction = 'max' THEN round(x.value, 4) > threshold ELSE round(x.value, 4) < threshold END")
 def l09_tells(spark, sf):
-    limits = stats.tell_thresholds(tx.told(tx.prepared(usable(spark, sf))))
-    return lint.tells(lint.measured(_drafts(spark, sf)), limits)
+    found = lint.tells(lint.measured(_drafts(spark, sf)), stats.tell_thresholds(told(spark, sf)))
+    return found.withColumn("observed", F.col("observed").cast("double")).withColumn("expected", F.col("expected").cast("double"))
 
 
-@query()
+def _articles(spark, sf):
+    """Documents and fixtures as drafts of articles."""
+    return table(spark, sf, "documents").unionByName(fixtures.frame(spark)).select(F.col("doc_id").alias("draft_id"), "text", F.lit("article").alias("medium"), F.lit("unknown").alias("register"))
+
+
+_ARTICLES = f"WITH drafts AS (SELECT doc_id AS draft_id, text, 'article' AS medium, 'unknown' AS register FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {fixtures.sql_values()})), body AS (SELECT * REPLACE ({_BODY} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.told('dprep', 'dtel', 'draft_id, medium, register')}"
+
+
+@query(f"{_ARTICLES} SELECT draft_id, 'structure.paragraph_fragmentation' AS rule_id, 'warn' AS severity, round(paragraph_mean, 4)::DOUBLE AS observed, 3.0::DOUBLE AS expected FROM dtel WHERE round(paragraph_mean, 4) < 3 OR round(single_share, 4) > 0.15")
 def l10_fragmentation(spark, sf):
-    return lint.fragmentation(lint.measured(_drafts(spark, sf)))
+    found = lint.fragmentation(lint.measured(_articles(spark, sf)))
+    return found.withColumn("observed", F.col("observed").cast("double")).withColumn("expected", F.col("expected").cast("double"))
 
 
-@query()
+DM_BODY = f"{D}, body AS (SELECT * REPLACE ({_BODY} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.measured('dprep', 'dmet')}"
+_STRUCTURE = " UNION ALL ".join(f"SELECT draft_id, 'structure.{name}' AS rule_id, 'warn' AS severity, 'absent' AS observed, 'present' AS expected FROM dv JOIN (SELECT register, mean FROM prof WHERE metric = '{metric}') USING (register) WHERE medium = 'email' AND {metric} = 0 AND mean >= 0.6" for name, metric in (("greetings", "greeting_share"), ("signoffs", "signoff_share")))
+
+
+def _letters(spark, sf):
+    """Profile of the fixtures that open and close as letters do, as the register of all drafts."""
+    letters = stats.distribution(stats.per_record(fixtures.frame(spark).withColumn("recipient_class", F.lit("personal"))).where("greeting is not null"))
+    return letters.where(F.col("register") == stats.ALL).drop("register").crossJoin(spark.createDataFrame([(c,) for c in lex.CLASSES], "register string"))  # eight registers
+
+
+_LETTERS = f"prof AS (WITH src AS (SELECT *, 'personal' AS recipient_class FROM {fixtures.sql_values()}), {sql.prepared('src', 'lprep')}, {sql.measured('lprep', 'lmet')} SELECT register, metric, mean, p90 FROM (SELECT v.metric AS metric, avg(v.value) AS mean, quantile_cont(v.value, 0.9) AS p90 FROM (SELECT unnest([{_BAND_PAIRS}]) AS v FROM lmet WHERE greeting IS NOT NULL) GROUP BY 1) CROSS JOIN (SELECT unnest({sql.array(lex.CLASSES)}) AS register))"
+
+
+@query(f"WITH {_LETTERS}, dv AS ({DM_BODY} SELECT * FROM dmet) {_STRUCTURE} UNION ALL SELECT draft_id, 'structure.heading' AS rule_id, 'warn' AS severity, '1' AS observed, '0' AS expected FROM dv JOIN (SELECT register, p90 FROM prof WHERE metric = 'heading_use') USING (register) WHERE medium = 'email' AND heading_use > 0 AND p90 = 0")
 def l11_structure(spark, sf):
-    return lint.structure(lint.measured(_drafts(spark, sf)), stats.distribution(measured(spark, sf)), expected=0.0)
+    return lint.structure(lint.measured(_drafts(spark, sf)), _letters(spark, sf))
 
 
 @query(f"WITH f AS ({D} {_BAN_ROWS}) SELECT draft_id, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (severity = 'info') AS info FROM f GROUP BY 1")
@@ -576,18 +625,22 @@ def _chains(spark, sf):
     return c.select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("version"), "text", F.when(F.col("conv_id") % 2 == 0, "llm").otherwise("owner").alias("origin"))
 
 
-_MD = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '!\[([^\]]*)\]\([^)]*\)', '[image: \1]', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^[ \t]*(?:[-*+] |\d+\. )', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+def _plain_sql(x: str) -> str:
+    """Markdown as plain text: RE2 has no back references, so each kind of emphasis is spelt out."""
+    for pattern, into, flags in (
+        (r"(?s)\A---\s*\n.*?\n---\s*(?:\n|\z)", "", ""),
+        (r"(?s)<!--.*?-->", "", "g"),
+        (r"!\[([^\]]*)\]\([^)]*\)", r"[image: \1]", "g"),
+        (r"\[([^\]]+)\]\([^)]*\)", r"\1", "g"),
+        (r"(?m)^\s*(?:[-*+] |\d+\. )", "", "g"),
+        (r"\*\*(.+?)\*\*|__(.+?)__|\*(.+?)\*|_(.+?)_", r"\1\2\3\4", "g"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{into}', '{flags}')"
+    return sql.strip(x)
 
 
-@query(f"SELECT chain_id, version, length(before)::BIGINT AS n_before, length(after)::BIGINT AS n_after FROM (SELECT conv_id AS chain_id, turn AS version, lag(x) OVER (PARTITION BY conv_id ORDER BY turn) AS before, x AS after FROM (SELECT conv_id, turn, {sql.strip('coalesce(text, chr(32))')} AS x FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[*_`#<\\[\\]]|^---|(?m)^\\s*[-+] |(?m)^\\s*\\d+\\. '))) WHERE before IS NOT NULL")
+@query(f"SELECT * FROM (SELECT conv_id AS chain_id, turn AS version, lag(x) OVER (PARTITION BY conv_id ORDER BY turn) AS before, x AS after FROM (SELECT conv_id, turn, {_plain_sql(chr(99) + 'oalesce(text, chr(32))')} AS x FROM conversations)) WHERE before IS NOT NULL")
 def j12_version_pairs(spark, sf):
-    plain = _chains(spark, sf).where(~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[*_`#<\[\]]|^---|(?m)^\s*[-+] |(?m)^\s*\d+\. ")))
-    return delta.version_pairs(plain).select("chain_id", "version", F.char_length("before").cast("long").alias("n_before"), F.char_length("after").cast("long").alias("n_after"))
-
-
-@query()
-def j12_version_pairs_whole(spark, sf):
-    """Over all turns, as above over those without marks."""
     return delta.version_pairs(_chains(spark, sf))
 
 
@@ -600,6 +653,17 @@ def _edits(spark, sf):
     return delta.edits(delta.version_pairs(_chains(spark, sf)))
 
 
+def _rewrites(spark, sf):
+    """Passages as chains of two versions, the second with some words put otherwise."""
+    text = F.coalesce("text", F.lit(""))
+    new = text
+    for a, b in (("the", "this"), ("however", "but"), ("we", "I"), ("in order to", "to")):
+        new = F.regexp_replace(new, tx.phrase(a), b)
+    docs = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text").unionByName(fixtures.frame(spark).select("doc_id", "text"))
+    both = F.array(F.struct(F.lit(1).cast("long").alias("version"), text.alias("text")), F.struct(F.lit(2).cast("long").alias("version"), new.alias("text")))
+    return docs.select(F.col("doc_id").alias("chain_id"), F.inline(both)).withColumn("origin", F.lit("llm"))
+
+
 @query()
 def a27_operation_counts(spark, sf):
     return delta.operation_counts(_edits(spark, sf))
@@ -612,18 +676,21 @@ def e02_e06_edits(spark, sf):
 
 @query()
 def a28_substitutions(spark, sf):
-    return delta.substitutions(_edits(spark, sf))
+    return delta.substitutions(delta.edits(delta.version_pairs(_rewrites(spark, sf))))
 
 
 @query()
 def e07_examples(spark, sf):
-    return delta.examples(_edits(spark, sf))
+    return delta.examples(delta.edits(delta.version_pairs(_rewrites(spark, sf))))
 
 
 @query()
 def e08_blind_comparison(spark, sf):
-    c = _chains(spark, sf).groupBy(F.col("chain_id").alias("id")).agg(F.min_by("text", "version").alias("old_draft"), F.max_by("text", "version").alias("old_final"))
-    return delta.blind_comparison(c.select("id", "old_draft", "old_final", F.col("old_final").alias("new_draft"), F.col("old_final").alias("new_final")))
+    """The first and the last version as drafts of the one before the last."""
+    c = _chains(spark, sf).groupBy(F.col("chain_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("version", "text"))).alias("v"))
+    at = lambda k: F.coalesce(F.get("v", k)["text"], F.lit(""))
+    final = at(F.greatest(F.size("v") - 2, F.lit(0)))
+    return delta.blind_comparison(c.select("id", at(F.lit(0)).alias("old_draft"), final.alias("old_final"), at(F.size("v") - 1).alias("new_draft"), final.alias("new_final")))
 
 
 # --- findings ---------------------------------------------------------------------------------
@@ -686,7 +753,7 @@ def q09_parsed(spark, sf):
     return read.join(f, ["dimension", "register", "observation", "quote", "record_id", "confidence"]).select("finding_no").distinct()
 
 
-@query()
+@query(f"{_FIND}, sp AS (SELECT DISTINCT finding_no AS draft_id, unnest([quote, observation]) AS span FROM f), {R.removeprefix('WITH ')} SELECT draft_id, span FROM sp WHERE trim(span) <> '' AND NOT contains(span, chr(10)) AND NOT EXISTS (SELECT 1 FROM rec WHERE contains(text, span))")
 def q11_absent_quotes(spark, sf):
     drafts = _findings(spark, sf).select(F.col("finding_no").alias("draft_id"), F.concat(F.lit('He said "'), "quote", F.lit('" and `'), "observation", F.lit("`.")).alias("text"))
     return qual.absent_quotes(drafts, rows(spark, sf))
@@ -701,26 +768,17 @@ def a29_chunk_status(spark, sf):
 # --- guard and extraction -----------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\\w.!#$%&''*+/=?^`{{|}}~-]+@([\\w-]+(?:\\.[\\w-]+)+)', 1), lambda d: NOT list_contains({sql.array(guard.RESERVED)}, lower(d)) AND NOT ends_with(lower(d), '.example'))) > 0 AS real_address FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query(f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[{sql.W}.!#$%&''*+/=?^`{{|}}~-]+@([{sql.W}-]+(?:\\.[{sql.W}-]+)+)', 1), lambda d: NOT list_contains({sql.array(guard.RESERVED)}, lower(d)) AND NOT ends_with(lower(d), '.example'))) > 0 AS real_address FROM documents")
 def g03_real_addresses(spark, sf):
-    ascii_ = table(spark, sf, "documents").where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z")))
-    return ascii_.select("doc_id", guard.real_address(F.col("text")).alias("real_address"))
-
-
-@query()
-def g03_real_addresses_whole(spark, sf):
-    """Over all documents: DuckDB's word characters are ASCII, so the one above leaves other texts out."""
     return table(spark, sf, "documents").select("doc_id", guard.real_address(F.col("text")).alias("real_address"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^\w.]((?:\d{1,3}\.){3}\d{1,3})[^\w.]', 1), lambda x: len(list_filter(string_split(x, '.'), lambda p: p::INT > 255 OR (length(p) > 1 AND starts_with(p, '0')))) = 0 AND (starts_with(x, '10.') OR starts_with(x, '192.168.') OR regexp_matches(x, '^172\.(1[6-9]|2\d|3[01])\.')))) > 0 AS private_address FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')")
-def g05_private_addresses(spark, sf):
-    ascii_ = table(spark, sf, "documents").where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z")))
-    return ascii_.select("doc_id", guard.private_address(F.col("text")).alias("private_address"))
+# Signs that end an address are doubled, as they may begin the next one.
+_PRIVATE = rf"len(list_filter(regexp_extract_all(' ' || regexp_replace(text, '([^{sql.W}.])', '\1\1', 'g') || ' ', '[^{sql.W}.]((?:\d{{1,3}}\.){{3}}\d{{1,3}})[^{sql.W}.]', 1), lambda x: len(list_filter(string_split(x, '.'), lambda p: p::INT > 255 OR (length(p) > 1 AND starts_with(p, '0')))) = 0 AND (starts_with(x, '10.') OR starts_with(x, '192.168.') OR regexp_matches(x, '^172\.(1[6-9]|2\d|3[01])\.')))) > 0"
 
 
-@query()
-def g05_private_addresses_whole(spark, sf):
+@query(f"SELECT doc_id, {_PRIVATE} AS private_address FROM documents")
+def g05_private_addresses(spark, sf):
     return table(spark, sf, "documents").select("doc_id", guard.private_address(F.col("text")).alias("private_address"))
 
 
@@ -731,13 +789,29 @@ def g01_artifacts(spark, sf):
     return table(spark, sf, "pages").select("page_id", guard.artifact(path).alias("artifact"))
 
 
-@query()
+def _name_sql(name: str) -> str:
+    """A name is found where the signs around it are no word characters; one that is a common
+    word only behind something on its line that ends no sentence."""
+    edge = rf"(?:[^{sql.W}]|$)"
+    if name.lower() in lex.common_words():
+        return rf"regexp_matches(text, '[^\s.!?{sql.W}][^\S\n]*{name}{edge}|[^\s.!?][^\S\n]+{name}{edge}')"
+    return rf"regexp_matches(text, '{'' if len(name) <= 3 else '(?i)'}(?:^|[^{sql.W}]){name}{edge}')"
+
+
+_NAMES = ["Erthin", "The", "Ou", "Onthe"]
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id::VARCHAR AS id, '{n}' AS name FROM documents WHERE {_name_sql(n)}" for n in _NAMES))
 def g04_name_hits(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return guard.name_hits(docs, ["Erthin", "The", "Ou", "Onthe"])
+    return guard.name_hits(docs, _NAMES)
 
 
-@query()
+_HOSTS = rf"len(list_filter(list_zip(regexp_extract_all(x, '[^{sql.W}.-]([A-Za-z0-9][A-Za-z0-9.-]*):\d{{1,5}}[^{sql.W}]', 1), regexp_extract_all(x, '[^{sql.W}.-][A-Za-z0-9][A-Za-z0-9.-]*:(\d{{1,5}})[^{sql.W}]', 1)), lambda h: regexp_matches(h[1], '[A-Za-z]') AND NOT regexp_matches(h[1], '^\d{{4}}-\d\d-\d\dT\d\d$') AND (regexp_matches(h[1], '[.-]') OR lower(h[1]) = 'localhost' OR (length(h[2]) >= 3 AND NOT starts_with(h[2], '0'))))) > 0"
+_FILES = f"WITH files AS (SELECT 'docs/' || doc_id || '.eml' AS path, coalesce(text, '') AS text, ' ' || regexp_replace(coalesce(text, ''), '([^{sql.W}.:-])', '\\1\\1', 'g') || ' ' AS x FROM documents)"
+
+
+@query(f"{_FILES} SELECT path, 1 AS rule FROM files UNION ALL SELECT path, 2 FROM files WHERE contains(string_split(text, chr(10))[1], '{guard.MARKER}') UNION ALL SELECT path, 3 FROM files WHERE {_SQL['g03_real_addresses'].split('SELECT doc_id, ')[1].split(' AS real_address')[0]} UNION ALL SELECT path, 5 FROM files WHERE {_PRIVATE} OR {_HOSTS}")
 def g06_scan(spark, sf):
     files = table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".eml")).alias("path"), "text")
     return guard.scan(files, release=True)
@@ -771,13 +845,8 @@ def x11_mismatch(spark, sf):
 _SENSITIVE = "|".join(lex.SENSITIVE)
 
 
-@query(f"{R} SELECT record_id, regexp_matches(text, '(?i)(?:^|[^\\w])(?:{_SENSITIVE})(?:[^\\w]|$)') AS sensitive FROM rec WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query(f"{R} SELECT record_id, regexp_matches(text, '(?i)(?:^|[^{sql.W}])(?:{_SENSITIVE})(?:[^{sql.W}]|$)') AS sensitive FROM rec")
 def x22_sensitive(spark, sf):
-    return rows(spark, sf).where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z"))).select("record_id", extract.sensitive(F.col("text")).alias("sensitive"))
-
-
-@query()
-def x22_sensitive_whole(spark, sf):
     return rows(spark, sf).select("record_id", extract.sensitive(F.col("text")).alias("sensitive"))
 
 
@@ -787,16 +856,13 @@ def x20_scrubbed(spark, sf):
     return out.select("record_id", F.sha2("text", 256).alias("digest"), "greeting_names", "lexicon_names", "emails", "phones", "urls", "numbers", F.size("residual").alias("residual"))
 
 
-@query(f"{R} SELECT record_id, CASE WHEN starts_with(text, 'Hi Anna,') THEN 'Hi [NAME],' WHEN starts_with(text, 'Jane Doe,') THEN '[NAME],' ELSE substr(text, 1, 5) END AS head FROM rec WHERE doc_id >= {fixtures.BASE_ID}")
-def x16_greeting_mask(spark, sf):
-    masked = extract.greeting_masked(F.col("text"))
-    head = F.when(F.startswith("text", F.lit("Hi Anna,")), F.substring(masked, 1, 10)).when(F.startswith("text", F.lit("Jane Doe,")), F.substring(masked, 1, 7)).otherwise(F.substring(masked, 1, 5))
-    return rows(spark, sf).where(F.col("doc_id") >= fixtures.BASE_ID).select("record_id", head.alias("head"))
+_KNOWN = f"list_contains({sql.array(lex.GROUPS)}, lower({{0}}))"
 
 
-@query()
-def x16_greeting_mask_whole(spark, sf):
-    """All records, whole texts."""
+@query(rf"""{R}, a AS (SELECT record_id, text AS t, regexp_extract(text, '^\s*([^\n]*)', 1) AS f FROM rec), b AS (SELECT *, regexp_extract(f, '{sql._POLITE}', 0) AS g0, regexp_extract(f, '{sql._POLITE}', 1) AS g1, regexp_extract(f, '{sql._BARE}', 1) AS b1 FROM a),
+c AS (SELECT *, CASE WHEN g0 <> '' AND trim(g1) <> '' AND NOT {_KNOWN.format('trim(g1)')} THEN substr(g0, 1, length(g0) - length(g1) - 1) || '[NAME],' WHEN g0 = '' AND b1 <> '' AND NOT {_KNOWN.format('b1')} THEN '[NAME],' END AS h, CASE WHEN g0 <> '' THEN g0 ELSE b1 || ',' END AS o FROM b)
+SELECT record_id, CASE WHEN h IS NULL THEN t ELSE substr(t, 1, strpos(t, o) - 1) || h || substr(t, strpos(t, o) + length(o)) END AS text FROM c""")
+def x16_greeting_mask(spark, sf):
     return rows(spark, sf).select("record_id", extract.greeting_masked(F.col("text")).alias("text"))
 
 
@@ -814,11 +880,7 @@ def x15_without_signatures(spark, sf):
     return out.select("record_id", "signoff", F.array_join("rules", ",").alias("rules"), F.char_length("text").alias("n_chars"))
 
 
-@query("SELECT DISTINCT unnest(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]+(?:[-''][A-Z]?[a-z]+)*\\b')) AS name FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+# Letters beyond ASCII are letters to Java's word bounds and none to RE2's, digits are to both.
+@query("SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\P{L}]', '0', 'g'), '\\b[A-Z][a-zA-Z]+(?:[-''][A-Z]?[a-z]+)*\\b')) AS name FROM benchmark")
 def x19_name_tokens(spark, sf):
-    return extract.name_tokens(table(spark, sf, "benchmark").where(F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z"))).select(F.col("text").alias("value")))
-
-
-@query()
-def x19_name_tokens_whole(spark, sf):
     return extract.name_tokens(table(spark, sf, "benchmark").select(F.col("text").alias("value")))

@@ -153,12 +153,47 @@ def measured(source: str, name: str = "met") -> str:
 {name} AS (SELECT * EXCLUDE (tok, sents, hs, p, low, n, s), {columns}, n >= 80 AND s >= 5 AS gated FROM {name}_b)"""
 
 
-def told(source: str, name: str = "tel") -> str:
-    """CTEs up to ``name``: source (with body) with the tells that need no run of states."""
+#: Word characters as Java has them with (?U).
+W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+
+
+def run(source: str, first: str, step: str, last: str) -> str:
+    """A walk over a list with a state: structs with the state's fields and x, an element."""
+    return f"list_transform([list_reduce([{first}] || {source}, lambda a, e: {step})], lambda a: {last})[1]"
+
+
+def staccato(lengths: str) -> str:
+    state = lambda k, n, lo, hi, x: f"{{'k': {k}, 'n': {n}, 'lo': {lo}, 'hi': {hi}, 'last': {x}, 'x': 0}}"
+    fits = "e.x <= 6 AND (a.n = 0 OR greatest(a.hi, e.x) - least(a.lo, e.x) <= 2)"
+    grown = state("a.k", "a.n + 1", "CASE WHEN a.n = 0 THEN e.x ELSE least(a.lo, e.x) END", "CASE WHEN a.n = 0 THEN e.x ELSE greatest(a.hi, e.x) END", "e.x")
+    again = state("a.k", "2", "least(a.last, e.x)", "greatest(a.last, e.x)", "e.x")
+    fresh = state("a.k + CASE WHEN a.n >= 3 THEN 1 ELSE 0 END", "CASE WHEN e.x <= 6 THEN 1 ELSE 0 END", "e.x", "e.x", "e.x")
+    step = f"CASE WHEN {fits} THEN {grown} WHEN a.n = 2 AND e.x <= 6 AND abs(a.last - e.x) <= 2 THEN {again} ELSE {fresh} END"
+    each_ = f"list_transform({lengths}, lambda v: {{'k': 0::BIGINT, 'n': 0::BIGINT, 'lo': 0::BIGINT, 'hi': 0::BIGINT, 'last': 0::BIGINT, 'x': v::BIGINT}})"
+    return run(each_, "{'k': 0::BIGINT, 'n': 0::BIGINT, 'lo': 0::BIGINT, 'hi': 0::BIGINT, 'last': 0::BIGINT, 'x': 0::BIGINT}", step, "a.k + CASE WHEN a.n >= 3 THEN 1 ELSE 0 END")
+
+
+def anaphora(firsts: str) -> str:
+    step = f"CASE WHEN a.last = e.x AND NOT list_contains({array(lex.PRONOUNS)}, e.x) THEN {{'k': a.k, 'n': a.n + 1, 'last': e.x, 'x': ''}} ELSE {{'k': a.k + CASE WHEN a.n >= 3 THEN 1 ELSE 0 END, 'n': 1, 'last': e.x, 'x': ''}} END"
+    each_ = f"list_transform({firsts}, lambda v: {{'k': 0::BIGINT, 'n': 0::BIGINT, 'last': '', 'x': v}})"
+    return run(each_, "{'k': 0::BIGINT, 'n': 0::BIGINT, 'last': '', 'x': ''}", step, "a.k + CASE WHEN a.n >= 3 THEN 1 ELSE 0 END")
+
+
+def aphoristic(x: str) -> str:
+    t = words(x)
+    verb = tx.APHORISM_VERB.replace("'", "''")
+    return rf"(len({t}) BETWEEN 4 AND 15 AND ends_with(rtrim({x}), '.') AND NOT regexp_matches({x}, '\d|\[[A-Z]+\]') AND NOT list_contains({array(lex.DEMONSTRATIVES)}, lower(({t})[1])) AND len(list_filter(({t})[2:], lambda w: regexp_matches(w, '^[A-Z]'))) = 0 AND list_has_any(list_transform({t}, lambda w: lower(w)), {array(lex.ABSTRACT)}) AND regexp_matches({x}, '{verb}'))"
+
+
+def told(source: str, name: str = "tel", keep_columns: str = "record_id, recipient_class") -> str:
+    """CTEs up to ``name``: source (with body) with a column for each tell."""
     heading = r"^\s{0,3}(?:#{1,6}[ \t]+\S|\*\*[^*\n]+\*\*\s*$|__[^_\n]+__\s*$)"
     bullet, bold = r"^\s*(?:[-*•+]|\d+[.)])\s+", r"^\s*(?:[-*•+]|\d+[.)])\s+\*\*[^*\n]+\*\*"
     prose = strip(f"array_to_string(list_filter({lines('b')}, lambda x: NOT regexp_matches(x, '{heading}') AND NOT regexp_matches(x, '{bullet}')), chr(10))")
-    blocks = keep(each(r"string_split(regexp_replace(body, '\n\s*\n', chr(3), 'g'), chr(3))", "b", prose), "b", has_word("b"))
+    blocks_of = lambda c: keep(each(rf"string_split(regexp_replace({c}, '\n\s*\n', chr(3), 'g'), chr(3))", "b", prose), "b", has_word("b"))
+    blocks = blocks_of("body")
+    parts = f"string_split(array_to_string({each(lines('body'), 'x', f'CASE WHEN regexp_matches(x, {q(heading)}) THEN chr(4) ELSE x END')}, chr(10)), chr(4))"
+    sections = keep(each(parts, "z", f"({each(blocks_of('z'), 'b', sentences('b'))})"), "g", "true")
     per = lambda c, scale: f"CASE WHEN n >= {tx.MIN_WORDS} THEN ({c}) * {scale}.0 / n END"
     pat = lambda p: q(p.replace("(?U)", ""))
     lexicon = lambda terms: " + ".join(phrase_count("body", t) for t in terms)
@@ -170,6 +205,9 @@ def told(source: str, name: str = "tel") -> str:
         "tricolon_paragraphs": held("blocks", "b", f"{count('b', pat(tx.TRICOLON))} >= 2"),
         "negation_contrast_rate": per(count("prose", pat(tx.CONTRAST)), 1000),
         "ai_vocab_rate": per(lexicon(lex.AI_VOCABULARY), 500),
+        "staccato_runs": f"coalesce(list_sum(list_transform(paras, lambda g: {staccato(each('g', 'y', n_words('y')))})), 0)",
+        "anaphora_runs": anaphora(each("flat", "y", f"lower(({words('y')})[1])")),
+        "aphorism_ratio": f"CASE WHEN len(finals) > 0 THEN {held('finals', 'y', aphoristic('y'))} * 1.0 / len(finals) END",
         "heading_density": per(held(lines("body"), "x", f"regexp_matches(x, '{heading}')"), 300),
         "bold_first_bullets": f"CASE WHEN len(bul) >= 3 THEN {held('bul', 'x', f'regexp_matches(x, {q(bold)})')} * 1.0 / len(bul) END",
         "pivot_paragraphs": rf"len(list_filter(range(2, len(blocks)), lambda i: bw[i] <= 12 AND regexp_matches(blocks[i], '[.!?]\s*$') AND NOT regexp_matches(blocks[i], '\d') AND bw[i - 1] > 25 AND bw[i + 1] > 25))",
@@ -185,8 +223,5 @@ def told(source: str, name: str = "tel") -> str:
     return rf"""{name}_a AS (SELECT *, {blocks} AS blocks, {keep(lines("body"), "x", f"regexp_matches(x, '{bullet}')")} AS bul, {n_words("body")} AS n FROM {source}),
 {name}_b AS (SELECT *, list_transform(blocks, lambda b: {sentences("b")}) AS paras, array_to_string(blocks, chr(10) || chr(10)) AS prose, list_transform(blocks, lambda b: {n_words("b")}) AS bw FROM {name}_a),
 {name}_c AS (SELECT *, flatten(paras) AS flat FROM {name}_b),
-{name}_d AS (SELECT *, list_transform(flat, lambda x: {n_words("x")}) AS ln FROM {name}_c),
-{name} AS (SELECT record_id, recipient_class, {columns} FROM {name}_d)"""
-
-
-SIMPLE_TELLS = "sentence_cv ing_tail_rate tricolon_rate tricolon_paragraphs negation_contrast_rate ai_vocab_rate heading_density bold_first_bullets pivot_paragraphs connector_rate balanced_openers magic_adverb_rate hedge_stacks service_phrases".split()
+{name}_d AS (SELECT *, list_transform(flat, lambda x: {n_words("x")}) AS ln, CASE WHEN {held(lines("body"), "x", f"regexp_matches(x, '{heading}')")} > 0 THEN list_filter(list_transform({sections}, lambda g: (flatten(g))[-1]), lambda y: y IS NOT NULL) ELSE list_transform(list_filter(paras, lambda g: len(g) >= 2), lambda g: g[-1]) END AS finals FROM {name}_c),
+{name} AS (SELECT {keep_columns}, {columns} FROM {name}_d)"""

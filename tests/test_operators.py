@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,15 +96,27 @@ def test_masked(spark):
     assert [r["x"] for r in df.select(select.masked(F.col("t"), F.col("r")).alias("x")).collect()] == ["[CAP] met [CAP]. Annex", "none"]
 
 
-def test_edit_tags():
-    op, tags, swaps = delta.classify("replace", ["I think we should utilise it — now."], ["We should use it - now."])
+def classified(spark, op, left, right):
+    """One change, tagged: op, tags and swaps."""
+    keys = ([str(k) for k in range(len(x))] for x in (left, right))
+    lk, rk = (list(map(str, x)) for x in keys)
+    pair = pd.DataFrame([(1, 2, left, right, ["L" + k for k in lk], ["R" + k for k in rk])], columns=["chain_id", "version", "l", "r", "lk", "rk"])
+    rows = list(next(delta._aligned([pair])).itertuples(index=False, name=None))
+    assert [r[3] for r in rows] == [op]
+    r = delta.tagged(spark.createDataFrame(rows, delta.CHANGE)).first()
+    return r["op"], r["tags"], [tuple(x) for x in r["swaps"]]
+
+
+def test_edit_tags(spark):
+    op, tags, swaps = classified(spark, "replace", ["I think we should utilise it — now."], ["We should use it - now."])
     assert op == "replace" and {"em_dash_removed", "em_dash_to_spaced_hyphen", "hedge_removed", "llm_ism_removed"} <= set(tags)
     assert ("utilise", "use") in swaps
-    assert delta.classify("replace", ["One two three.", "Four five six."], ["One two three, four five six."])[:2] == ("join", ["join", "sentence_joined_comma"])
-    assert delta.classify("replace", ["One two three four."], ["One two.", "Three four."])[0] == "split"
-    assert delta.classify("replace", ["I do not know this."], ["I don't know this."])[1] == ["contraction"]
-    assert delta.classify("replace", ["abc def"], ["xyz uvw rst"])[1] == []
-    assert delta.expanded("They won't and can't, it's") == ["they", "will", "not", "and", "can", "not", "it", "is"]
+    assert classified(spark, "replace", ["One two three.", "Four five six."], ["One two three, four five six."])[:2] == ("join", ["join", "sentence_joined_comma"])
+    assert classified(spark, "replace", ["One two three four."], ["One two.", "Three four."])[0] == "split"
+    assert classified(spark, "replace", ["I do not know this."], ["I don't know this."])[1] == ["contraction"]
+    assert classified(spark, "replace", ["abc def"], ["xyz uvw rst"])[1] == []
+    got = spark.createDataFrame([("They won't and can't, it's",)], "t string").select(delta.expanded(F.col("t")).alias("x")).first()["x"]
+    assert got == ["they", "will", "not", "and", "can", "not", "it", "is"]
 
 
 def test_edits_over_chains(spark):
@@ -124,6 +138,15 @@ def test_ground():
     assert ratio > 0.9 and span == "quick brown fox jumps"
     assert qual.best_window("nothing like it at all", text, 0.85)[0] < 0.85
     assert qual.best_window(" ", text, 0.85) == (0.0, "")
+    # Against every window.
+    from difflib import SequenceMatcher
+
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    for quote in ("the lazy cat near a river", "jumps ower the layz dog", "fox jumps over", "qqq"):
+        every = [(SequenceMatcher(None, quote, text[s:e], autojunk=False).ratio(), text[s:e]) for i, (s, _) in enumerate(spans) for _, e in spans[i : i + qual.WINDOW]]
+        best = max(r for r, _ in every)
+        want = next((r, w) for r, w in every if r == best)
+        assert qual.best_window(quote, text, 0.5) == (want if best >= 0.5 else (0.0, ""))
 
 
 def test_reconcile_and_link(spark):
@@ -175,28 +198,62 @@ def test_lint(spark):
         lint.validated([{"id": "a", "pattern": "x", "kind": "glob", "severity": "bad"}])
 
 
-def test_extraction():
+def test_pages():
     assert extract.html_cut("<p>Hi &amp; bye</p><ul><li>one<li>two</ul><div class='gmail_quote'>old</div>") == ("Hi & bye\n- one\n- two", ["H3"], [])
     assert extract.html_cut("<style>x</style><b>Bold</b><br>next<hr><div id=divRplyFwdMsg>From: x</div>")[:2] == ("*Bold*\nnext", ["H1"])
     assert extract.html_cut("<p>a</p><blockquote>q</blockquote><p>b</p>") == ("a", ["H7"], ["inline_html_suspected"])
-    assert extract.text_cut("Mine\n-----Original Message-----\nFrom: a\ntheirs")[:2] == ("Mine", ["T1"])
-    assert extract.text_cut("Mine\nOn Monday, 1 May, Bob\nwrote:\n> old")[:2] == ("Mine", ["T5"])
-    text, rules, _, inline = extract.text_cut("Top\nOn Monday last week, Bob wrote:\n> a\nanswer a\n> b\nanswer b")
-    assert (text, rules, inline) == ("Top\nanswer a\nanswer b", ["T5"], True)
-    assert extract.text_cut("Hi\nSent from my iPhone")[:2] == ("Hi", ["mobile-footer"])
-    assert extract.text_cut("See my comments below\n-----Original Message-----\nplain text")[2] == ["inline_suspected"]
-
-
-def test_scrub():
-    got = extract.scrub("I met Anna. Will is here; Will pay $1,234,567. Mail a.b@x.org or see www.x.org/y, call +1 212 555 0100, id 1234567.", frozenset({"Anna", "Will"}), common=frozenset({"will", "mail"}))
-    assert got["text"] == "I met [NAME]. Will is here; [NAME] pay $1,234,567. Mail [EMAIL] or see [URL], call [PHONE], id [NUM]."
-    assert (got["lexicon_names"], got["emails"], got["urls"], got["phones"], got["numbers"]) == (2, 1, 1, 1, 1)
+    assert extract.html_cut("<p>a</p><blockquote>q<blockquote>r</blockquote></blockquote> ") == ("a", ["H7"], [])
+    box = "<p>a</p><div style='border-top: solid 1px'>{0}</div><blockquote type=cite>q</blockquote>"
+    assert extract.html_cut(box.format("<b>From:</b> x"))[1] == ["H6"] and extract.html_cut(box.format("b")) == ("a\nb", ["H4"], [])
+
+
+OWN = [
+    ("Mine\n-----Original Message-----\nFrom: a\ntheirs", "Mine", ["T1"], [], False),
+    ("Mine\n---- Forwarded message ----\nx", "Mine", ["T2"], [], False),
+    ("Mine\n____________\nFrom: a\nSent: b\nx", "Mine", ["T3"], [], False),
+    ("Mine\n____________\nx", "Mine\n____________\nx", [], [], False),
+    ("Mine\nFrom: a\nSent: b\n\nTo: c\ntheirs", "Mine", ["T4"], [], False),
+    ("Mine\nOn Monday, 1 May, Bob\nwrote:\n> old", "Mine", ["T5"], [], False),
+    ("Mine\n> a\n\n> b", "Mine", ["T6"], [], False),
+    ("Mine\n> a\nyours", "Mine\nyours", [], [], True),
+    ("Top\nOn Monday last week, Bob wrote:\n> a\nanswer a\n> b\nanswer b", "Top\nanswer a\nanswer b", ["T5"], [], True),
+    ("Hi\nSent from my iPhone", "Hi", ["mobile-footer"], [], False),
+    ("See my comments below\n-----Original Message-----\nplain text", "See my comments below", ["T1"], ["inline_suspected"], False),
+    ("cut here\nx", "cut here\nx", [], [], False),
+    ("", "", [], [], False),
+    (None, "", [], [], False),
+]
+
+
+def test_own_text(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(OWN)], "id int, t string")
+    got = {r["id"]: r["x"] for r in df.select("id", extract.own_text("t").alias("x")).collect()}
+    for k, (_, *want) in enumerate(OWN):
+        assert list(got[k]) == want, k
+    assert df.where("id = 11").select(extract.own_text("t", ("^CUT HERE$",)).alias("x")).first()["x"]["rules"] == ["T7"]
+
+
+def test_scrub(spark):
+    text = "I met Anna. Will is here; Will pay $1,234,567. Mail a.b@x.org or see www.x.org/y, call +1 212 555 0100, id 1234567."
+    df = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
+    got = {r["id"]: r for r in extract.scrubbed(df, ["Anna", "Will"], common=["will", "mail"]).collect()}
+    assert got[1]["text"] == "I met [NAME]. Will is here; [NAME] pay $1,234,567. Mail [EMAIL] or see [URL], call [PHONE], id [NUM]."
+    assert tuple(got[1][c] for c in ("lexicon_names", "emails", "urls", "phones", "numbers")) == (2, 1, 1, 1, 1)
+    assert got[1]["residual"] == ["Will"]
+    assert got[2]["text"] == "" and got[2]["residual"] == []
 
 
 def test_signatures(spark):
-    learned = frozenset({"Head of x", "Call 1"})
-    assert extract.stripped_signature("Body\nRegards,\nOwner\nHead of x\nCall 1", frozenset({"owner"}), learned) == ("Body\nRegards,\nOwner", "regards", ["signature-fingerprint"])
-    assert extract.stripped_signature("Body\n-- \nx", frozenset(), frozenset())[::2] == ("Body", ["sig-dash"])
+    def strip(text, owners, learned):
+        df = spark.createDataFrame([(text, learned)], "t string, l array<string>")
+        return tuple(df.select(extract.signature(F.col("t"), F.col("l"), owners).alias("x")).first()["x"])
+
+    learned = ["Head of x", "Call 1"]
+    assert strip("Body\nRegards,\nOwner\nHead of x\nCall 1", ("Owner",), learned) == ("Body\nRegards,\nOwner", "regards", ["signature-fingerprint"])
+    assert strip("Body\n-- \nx", (), None) == ("Body", None, ["sig-dash"])
+    legal = "This mail is confidential " + "and so on " * 12
+    assert strip(f"Body\nRegards\nOwner\nMore\n\n{legal}\n\nend", ("Owner",), []) == ("Body\nRegards\nOwner", "regards", ["legal-disclaimer"])
+    assert strip("", (), []) == ("", None, [])
     rows = [(f"r{k}", "s", 2020, f"Text {k}\nRegards\nOwner\nHead of x\nCall 555 0100 200") for k in range(12)]
     got = extract.learned_signatures(spark.createDataFrame(rows, "record_id string, source string, year int, text string"), ["Owner"]).collect()
     assert {r["line"] for r in got} == {"Head of x", "Call 555 0100 200"}

@@ -38,7 +38,7 @@ def test_guards_read_every_document(spark, folder):
     email = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]+@([\w-]+(?:\.[\w-]+)+)")
     real = lambda d: d.lower() not in ("example.com", "example.org", "example.net") and not d.lower().endswith(".example")
     want = {k: any(map(real, email.findall(t))) for k, t in enumerate(TEXTS)}
-    got = {r["doc_id"]: r["real_address"] for r in registry.queries()["g03_real_addresses_whole"](spark, folder).collect()}
+    got = {r["doc_id"]: r["real_address"] for r in registry.queries()["g03_real_addresses"](spark, folder).collect()}
     assert got == want and want[1]
 
     def private(t):
@@ -49,7 +49,7 @@ def test_guards_read_every_document(spark, folder):
         return False
 
     want = {k: private(t) for k, t in enumerate(TEXTS)}
-    got = {r["doc_id"]: r["private_address"] for r in registry.queries()["g05_private_addresses_whole"](spark, folder).collect()}
+    got = {r["doc_id"]: r["private_address"] for r in registry.queries()["g05_private_addresses"](spark, folder).collect()}
     assert got == want and want[3] and want[4]
 
 
@@ -58,18 +58,18 @@ def test_records_are_read_whole(spark, folder):
     text = {r["record_id"]: r["text"] for r in registry.rows(spark, folder).collect()}
     assert sorted(text.values()) == every
     term = re.compile(r"(?i)(?<!\w)(?:" + "|".join(map(re.escape, lex.SENSITIVE)) + r")(?!\w)")
-    got = {r["record_id"]: r["sensitive"] for r in registry.queries()["x22_sensitive_whole"](spark, folder).collect()}
+    got = {r["record_id"]: r["sensitive"] for r in registry.queries()["x22_sensitive"](spark, folder).collect()}
     assert got == {k: bool(term.search(t)) for k, t in text.items()} and sum(got.values()) >= 2
     masked = {"Hi Zoë,": "Hi [NAME],", "Hi Anna,": "Hi [NAME],", "Jane Doe,": "[NAME],"}
     want = {k: next((new + t[len(old) :] for old, new in masked.items() if t.startswith(old)), t) for k, t in text.items()}
-    assert {r["record_id"]: r["text"] for r in registry.queries()["x16_greeting_mask_whole"](spark, folder).collect()} == want
+    assert {r["record_id"]: r["text"] for r in registry.queries()["x16_greeting_mask"](spark, folder).collect()} == want
 
 
 def test_names_and_versions_of_every_row(spark, folder):
     token = re.compile(r"\b[A-Z][a-zA-Z]+(?:[-'][A-Z]?[a-z]+)*\b")
     want = {n for t in TEXTS for n in token.findall(t)}
-    assert {r["name"] for r in registry.queries()["x19_name_tokens_whole"](spark, folder).collect()} == want
-    got = {tuple(r) for r in registry.queries()["j12_version_pairs_whole"](spark, folder).collect()}
+    assert {r["name"] for r in registry.queries()["x19_name_tokens"](spark, folder).collect()} == want
+    got = {tuple(r) for r in registry.queries()["j12_version_pairs"](spark, folder).collect()}
     assert got == {(1, 1, "first é", "second a"), (1, 2, "second a", "third")}
 
 
@@ -80,3 +80,6 @@ def test_absent_quotes_searches_every_span(spark):
     got = {tuple(r) for r in qual.absent_quotes(drafts, sources).collect()}
     assert got == {(k, f"span {k}.") for k in range(0, n, 1000)}
     assert qual.absent_quotes(drafts.where("false"), sources).count() == 0
+    longer = spark.createDataFrame([(1, 'he wrote "a small grey cat sat" and "no small grey dog sat"; "grey"'), (2, 'and "xsmall grey caty"')], "draft_id long, text string")
+    texts = spark.createDataFrame([("xa small\tgrey cat",), ("a small grey cat satisfied",), ("axsmall grey catyz",)], "text string")
+    assert {tuple(r) for r in qual.absent_quotes(longer, texts).collect()} == {(1, "no small grey dog sat")}
