@@ -40,6 +40,50 @@ BANS = (
     Ban("semicolon", ";", "char", "info"),
     Ban("double-bang", r"!{2,}", "regex", "error"),
 )
+#: Habits of machine writing, as bans of our own: (id, kind, pattern, a text that breaks it).
+HABITS = (
+    ("ai-delve", "regex", r"\bdelv(?:e|es|ed|ing) into\b", "We delve into it."),
+    ("ai-tapestry", "regex", r"\brich tapestry\b", "A rich tapestry of views."),
+    ("ai-testament", "phrase", "stands as a testament", "It stands as a testament to care."),
+    ("ai-realm", "phrase", "in the realm of", "In the realm of tax."),
+    ("ai-ever-evolving", "regex", r"\bever[- ](?:evolving|changing)\b", "An ever-evolving field."),
+    ("ai-fast-paced", "regex", r"\bfast[- ]paced world\b", "In a fast-paced world."),
+    ("ai-todays", "regex", r"\bin today['’]s (?:digital|modern|fast)\b", "In today's digital age."),
+    ("ai-landscape", "regex", r"\b(?:navigat\w+|evolving) (?:the )?\w* ?landscape\b", "Navigating the market landscape."),
+    ("ai-game-changer", "regex", r"\bgame[- ]chang(?:er|ing)\b", "A game-changing idea."),
+    ("ai-unlock", "regex", r"\bunlock(?:s|ing)? (?:the|your) (?:full )?potential\b", "Unlock your full potential."),
+    ("ai-harness", "regex", r"\bharness(?:es|ing)? the power\b", "Harness the power of data."),
+    ("ai-elevate", "regex", r"\belevat(?:e|es|ing) (?:your|the)\b", "Elevate your brand."),
+    ("ai-seamless", "word", "seamlessly", "It fits seamlessly."),
+    ("ai-cutting-edge", "word", "cutting-edge", "A cutting-edge tool."),
+    ("ai-robust", "regex", r"\brobust (?:framework|solution|approach)\b", "A robust solution."),
+    ("ai-holistic", "phrase", "holistic approach", "A holistic approach."),
+    ("ai-synergy", "regex", r"\bsynerg(?:y|ies)\b", "Find synergies."),
+    ("ai-leverage", "regex", r"\bleverag(?:e|es|ing)\b", "We leverage it."),
+    ("ai-crucial-role", "regex", r"\bplays? a (?:crucial|vital|pivotal|key) role\b", "It plays a vital role."),
+    ("ai-important-note", "regex", r"\bit(?:'s| is) (?:important|worth|crucial) (?:to note|noting)\b", "It is worth noting this."),
+    ("ai-conclusion", "regex", r"^In (?:conclusion|summary),", "In conclusion, no."),
+    ("ai-ultimately", "regex", r"^Ultimately,", "Ultimately, it works."),
+    ("ai-moreover", "regex", r"^(?:Moreover|Furthermore|Additionally),", "Moreover, it works."),
+    ("ai-not-just", "regex", r"\b(?:not|n't) just [^.!?\n]{1,60}(?:;|,| —|\.) (?:it's|it is|but)\b", "It's not just a tool, it's a habit."),
+    ("ai-not-only", "regex", r"\bnot only\b[^.!?\n]{1,80}\bbut(?: also)?\b", "Not only fast but also cheap."),
+    ("ai-whether", "regex", r"^Whether you(?:'re| are)\b[^.!?\n]{1,80}\bor\b", "Whether you're new or not, come."),
+    ("ai-imagine", "regex", r"^Imagine (?:a world|if|this)\b", "Imagine a world without it."),
+    ("ai-heres", "regex", r"^Here(?:'s| is) (?:the thing|why|what)\b", "Here's the thing."),
+    ("ai-lets", "regex", r"^Let(?:'s| us) (?:dive|explore|unpack|break)\b", "Let's dive in."),
+    ("ai-truth", "phrase", "the truth is", "The truth is simple."),
+    ("ai-journey", "regex", r"\b(?:embark|journey) (?:on|of|toward)", "We embark on it."),
+    ("ai-beacon", "phrase", "a beacon of", "A beacon of hope."),
+    ("ai-myriad", "regex", r"\ba (?:myriad|plethora|multitude) of\b", "A myriad of ways."),
+    ("ai-foster", "regex", r"\bfoster(?:s|ing)? (?:a|an|the|collaboration|trust|growth|innovation)\b", "Fostering trust matters."),
+    ("ai-underscore", "regex", r"\bunderscor(?:e|es|ing) the (?:importance|need|value)\b", "It underscores the need."),
+    ("ai-transformative", "word", "transformative", "A transformative step."),
+    ("ai-hope-finds", "phrase", "hope this email finds you well", "I hope this email finds you well."),
+    ("ai-help-further", "regex", r"\bif you(?:'d| would) like(?: me)? to\b", "Say if you'd like me to."),
+    ("ai-emphatic-dash", "regex", r"\w — \w[^—\n]{1,80} — \w", "It is — as we know — good."),
+    ("ai-bold-lead", "regex", r"^[-*] \*\*[^*\n]+\*\*:", "- **Cost**: low"),
+)
+HABIT_BANS = tuple(Ban(i, "(?m)" + p if k == "regex" else p, k, "warn", ("email", "article")) for i, k, p, _ in HABITS)
 LIMITS = {"email": {"exclamations_max": 1, "emoji_max": 0, "em_dashes_max": 0, "headings_allowed": 0}, "article": {"exclamations_max": 0, "emoji_max": 0, "em_dashes_max": 3}}
 
 
@@ -201,3 +245,16 @@ def structure(values: DataFrame, profile: DataFrame, expected: float = 0.6) -> D
 
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("draft_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warn", "info")))
+
+
+def summary_text(findings: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(draft_id, summary): a line for the draft, with its errors and warnings, and one for each
+    finding, errors first. A draft has at most one finding for each rule and term."""
+    rank = F.array_position(F.lit(["error", "warn", "info"]), F.col("severity"))
+    line = F.concat(F.lit("  "), F.rpad("severity", 6, " "), F.lit(" "), "rule_id", F.lit("  "), "observed", F.lit(" ("), "expected", F.lit(")"))
+    per = findings.groupBy("draft_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warn")), F.array_sort(F.collect_list(F.struct(rank.alias("rank"), line.alias("line")))).alias("lines"))
+    words = drafts.select("draft_id", "register", "medium", tx.n_words(F.coalesce("text", F.lit(""))).alias("words"))
+    some = words.join(per, "draft_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    head = F.concat(F.lit("lint: "), F.col("draft_id").cast("string"), F.lit(" (register "), "register", F.lit(", medium "), "medium", F.lit(", "), F.col("words").cast("string"), F.lit(" words): "), n("error"), F.lit(" error, "), n("warn"), F.lit(" warnings"))
+    return some.select("draft_id", F.array_join(F.concat(F.array(head), F.coalesce(F.transform("lines", lambda x: x["line"]), F.expr("cast(array() as array<string>)"))), "\n").alias("summary"))

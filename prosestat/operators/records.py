@@ -50,6 +50,8 @@ def records(documents: DataFrame, labels: DataFrame, measure=None) -> DataFrame:
         pick(lex.CLASSES, F.col("doc_id") % 8).alias("recipient_class"),
         pick(["new", "reply", "forward"], F.col("doc_id") % 3).alias("thread_position"),
         F.when(F.col("doc_id") % 50 != 0, 2015 + F.col("doc_id") % 10).cast("int").alias("year"),
+        (F.col("doc_id") % 11 == 0).alias("inline_reply"),
+        (F.col("doc_id") % 7 == 0).alias("has_residual"),
         "text",
         tx.word_count(text).cast("long").alias("word_count"),
         F.sha2(template_key(text), 256).alias("_key"),
@@ -102,11 +104,35 @@ def before(rows: DataFrame, cutoff: str) -> DataFrame:
 
 def phrase_safe(rows: DataFrame) -> DataFrame:
     """Rows whose wording may be shown: eligible source, not sensitive, no residual names."""
-    return rows.where("eligible and not sensitive")
+    return rows.where(F.col("eligible") & ~F.col("sensitive") & ~F.col("has_residual"))
 
 
 def exemplar_eligible(least_words: int = 8, most_words: int = 80) -> Column:
-    return F.col("eligible") & (F.col("confidence") == "high") & ~F.col("template") & ~F.col("sensitive") & F.col("word_count").between(least_words, most_words)
+    """Whether a row may serve as an example: of an eligible source and high confidence, no
+    template, no answers between quoted lines, nothing sensitive and no residual names."""
+    bad = F.col("template") | F.col("sensitive") | F.col("inline_reply") | F.col("has_residual")
+    return F.col("eligible") & (F.col("confidence") == "high") & ~bad & F.col("word_count").between(least_words, most_words)
+
+
+def selected(rows: DataFrame, known: list[str], only: list[str]) -> DataFrame:
+    """Rows of the sources named in ``only`` (none: all); names that are no source are refused."""
+    if unknown := sorted(set(only) - set(known)):
+        raise ValueError(f"no such source: {', '.join(unknown)}")
+    return rows.where(F.col("source").isin(only)) if only else rows
+
+
+def refusals(reports: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """(source, reason) of ingest reports (source, status, dumped): a profile must not be built
+    over a source whose ingest failed or is partial, or whose dump is older than ``days``."""
+    old = F.col("dumped") < now - F.expr(f"interval {days} days")
+    reason = F.when(F.col("status").isin("failed", "partial"), F.col("status")).when(F.col("dumped").isNull() | old, F.lit("stale"))
+    return reports.select("source", reason.alias("reason")).where("reason is not null")
+
+
+def checked(reports: DataFrame, now: Column, days: int = 7) -> None:
+    """Raise if a source is refused; one row for each source is read."""
+    if bad := refusals(reports, now, days).orderBy("source").collect():
+        raise ValueError("; ".join(f"{r['source']}: {r['reason']}" for r in bad))
 
 
 def conserved(seen: DataFrame, kept: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -121,15 +121,16 @@ def d05_conservation(spark, sf):
 @query(f"{R} SELECT count(*) FILTER (year < 2020)::BIGINT AS kept, count(*) FILTER (year >= 2020)::BIGINT AS later, count(*) FILTER (year IS NULL)::BIGINT AS undated, count(*) FILTER (year BETWEEN 2016 AND 2018)::BIGINT AS in_era FROM rec")
 def f05_cutoff_and_era(spark, sf):
     r = rows(spark, sf)
-    return r.agg(F.count_if(F.col("year") < F.year(F.lit("2020-06-01").cast("date"))).alias("kept"), F.count_if(F.col("year") >= 2020).alias("later"), F.count_if(F.col("year").isNull()).alias("undated"), F.count_if(F.col("year").between(2016, 2018)).alias("in_era"))
+    kept = rec.before(r, "2020-06-01").agg(F.count("*").alias("kept"))
+    return kept.crossJoin(r.agg( F.count_if(F.col("year") >= 2020).alias("later"), F.count_if(F.col("year").isNull()).alias("undated"), F.count_if(F.col("year").between(2016, 2018)).alias("in_era")))  # one row each
 
 
-@query(f"{R} SELECT record_id FROM usable WHERE eligible AND NOT sensitive")
+@query(f"{R} SELECT record_id FROM usable WHERE eligible AND NOT sensitive AND NOT has_residual")
 def f08_phrase_safe(spark, sf):
     return rec.phrase_safe(usable(spark, sf)).select("record_id")
 
 
-@query(f"{R} SELECT record_id FROM tpl WHERE eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND word_count BETWEEN 8 AND 80")
+@query(f"{R} SELECT record_id FROM tpl WHERE eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND NOT inline_reply AND NOT has_residual AND word_count BETWEEN 8 AND 80")
 def f09_exemplar_eligible(spark, sf):
     return templated(spark, sf).where(rec.exemplar_eligible()).select("record_id")
 
@@ -146,6 +147,21 @@ def f01_label_and_owner(spark, sf):
     return c.where(F.col("role").isin("user", "assistant") & ~F.arrays_overlap("labels", F.lit(lex.EXCLUDED_LABELS))).select("conv_id", "turn")
 
 
+@query(f"{R} SELECT record_id, source FROM rec WHERE source IN ('src0', 'src2')")
+def f11_selected_sources(spark, sf):
+    return rec.selected(rows(spark, sf), [f"src{k}" for k in range(10)], ["src0", "src2"]).select("record_id", "source")
+
+
+@query("SELECT source, reason FROM (SELECT n_name AS source, CASE WHEN n_nationkey % 5 = 0 THEN 'failed' WHEN n_nationkey % 5 = 1 THEN 'partial' WHEN n_nationkey % 7 = 2 OR n_nationkey % 10 > 7 THEN 'stale' END AS reason FROM nation) WHERE reason IS NOT NULL")
+def f12_refused_sources(spark, sf):
+    """Nations as sources; dumps are up to nine days old, some of no known date."""
+    k = F.col("n_nationkey")
+    now = F.lit("2024-03-10").cast("date")
+    dumped = F.when(k % 7 != 2, F.date_sub(now, (k % 10).cast("int")))
+    reports = table(spark, sf, "nation").select(F.col("n_name").alias("source"), F.get(F.lit(["failed", "partial", "done", "done", "done"]), (k % 5).cast("int")).alias("status"), dumped.alias("dumped"))
+    return rec.refusals(reports, now)
+
+
 # --- classification ---------------------------------------------------------------------------
 
 
@@ -289,7 +305,7 @@ def _phrases_sql(terms: list[str], where: str = "true") -> str:
     return f"{R}, hit AS (SELECT register, v.term AS term, v.c AS c FROM (SELECT register, unnest([{pairs}]) AS v FROM {ROLL.format('usable')} WHERE {where})), tot AS (SELECT register, sum({sql.n_words('text')})::BIGINT AS total FROM {ROLL.format('usable')} WHERE {where} GROUP BY 1) SELECT register, coalesce(total, 0)::BIGINT AS total, term, coalesce(sum(c), 0)::BIGINT AS hits, round(CASE WHEN coalesce(total, 0) > 0 THEN coalesce(sum(c), 0) * 1000.0 / total ELSE 0 END, 4) AS rate FROM {_REGISTERS} CROSS JOIN (SELECT unnest({sql.array(terms)}) AS term) LEFT JOIN hit USING (register, term) LEFT JOIN tot USING (register) GROUP BY register, total, term"
 
 
-@query(_phrases_sql([*lex.DISCOURSE, *lex.HEDGES], "eligible AND NOT sensitive"))
+@query(_phrases_sql([*lex.DISCOURSE, *lex.HEDGES], "eligible AND NOT sensitive AND NOT has_residual"))
 def a10_discourse_and_hedges(spark, sf):
     return _long_hits(stats.phrase_hits(rec.phrase_safe(usable(spark, sf)), [*lex.DISCOURSE, *lex.HEDGES]))
 
@@ -303,7 +319,7 @@ def a13_llm_isms(spark, sf):
     return _long_hits(stats.phrase_hits(usable(spark, sf), lex.LLM_ISMS))
 
 
-P = f"{R}, safe AS (SELECT * FROM usable WHERE eligible AND NOT sensitive), {sql.prepared('safe')}"
+P = f"{R}, safe AS (SELECT * FROM usable WHERE eligible AND NOT sensitive AND NOT has_residual), {sql.prepared('safe')}"
 
 
 def _forms_sql(c: str) -> str:
@@ -339,7 +355,7 @@ def a14_dashes(spark, sf):
 
 def _ngrams_sql(size: int) -> str:
     known, function = sql.array(sorted(set(lex.common_words()))), sql.array(lex.FUNCTION_WORDS)
-    return f"""{R}, safe AS (SELECT * FROM usable WHERE eligible AND NOT sensitive), tk AS (SELECT recipient_class, {sql.words("text")} AS t FROM safe),
+    return f"""{R}, safe AS (SELECT * FROM usable WHERE eligible AND NOT sensitive AND NOT has_residual), tk AS (SELECT recipient_class, {sql.words("text")} AS t FROM safe),
 sp AS (SELECT recipient_class, unnest(list_transform(range(1, len(t) - {size} + 2), lambda i: t[i:i + {size - 1}])) AS span FROM tk),
 g AS (SELECT recipient_class, lower(array_to_string(span, ' ')) AS phrase, count(*) AS n FROM sp WHERE len(list_filter(span, lambda w: regexp_matches(w, '^[A-Z]') AND NOT list_contains({known}, lower(w)))) = 0 AND len(list_filter(span, lambda w: NOT (list_contains({function}, lower(w)) OR starts_with(w, '[')))) > 0 GROUP BY ALL)"""
 
@@ -425,7 +441,7 @@ def a25_top_unmapped(spark, sf):
 # --- selection --------------------------------------------------------------------------------
 
 
-@query(f"{R}, c AS (SELECT recipient_class, quantile_cont(word_count, 1.0 / 3) AS a, quantile_cont(word_count, 2.0 / 3) AS b FROM tpl GROUP BY 1) SELECT recipient_class, ((word_count > a)::INT + (word_count > b)::INT) AS stratum, count(*) AS n, count(*) FILTER (eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND word_count BETWEEN 8 AND 80) AS eligible FROM tpl JOIN c USING (recipient_class) GROUP BY ALL")
+@query(f"{R}, c AS (SELECT recipient_class, quantile_cont(word_count, 1.0 / 3) AS a, quantile_cont(word_count, 2.0 / 3) AS b FROM tpl GROUP BY 1) SELECT recipient_class, ((word_count > a)::INT + (word_count > b)::INT) AS stratum, count(*) AS n, count(*) FILTER (eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND NOT inline_reply AND NOT has_residual AND word_count BETWEEN 8 AND 80) AS eligible FROM tpl JOIN c USING (recipient_class) GROUP BY ALL")
 def p02_strata(spark, sf):
     return select.strata_counts(templated(spark, sf))
 
@@ -475,6 +491,24 @@ def p12_projected_metrics(spark, sf):
     return stats.projected_metrics(stats.distribution(measured(spark, sf)))
 
 
+_PICKS = f"{R}, picks AS (SELECT recipient_class AS register, record_id, word_count, row_number() OVER (PARTITION BY recipient_class ORDER BY sha256(record_id), record_id) - 1 AS pick_rank FROM tpl WHERE eligible AND confidence = 'high' AND NOT template AND NOT sensitive AND NOT inline_reply AND NOT has_residual AND word_count BETWEEN 8 AND 80)"
+
+
+@query(f"{_PICKS}, few AS (SELECT * FROM picks WHERE pick_rank < 20), t AS (SELECT sum(ceil(word_count * 1.8)) AS whole FROM few) SELECT register, record_id, pick_rank::INT AS pick_rank FROM few WHERE (SELECT whole FROM t) <= 3000 OR pick_rank < 2")
+def p11_token_budget(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("recipient_class").orderBy(F.sha2("record_id", 256), "record_id")
+    picks = templated(spark, sf).where(rec.exemplar_eligible()).select(F.col("recipient_class").alias("register"), "record_id", "word_count", (F.row_number().over(w) - 1).alias("pick_rank"))
+    return select.within_budget(picks.where("pick_rank < 20"), 3000, minimum=2).select("register", "record_id", "pick_rank")
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([^W])', '\1\1', 'g'), '(^|[^W])(?:Onthe|Ou)([^W]|$)', '\1[CAP]\2', 'g'), '([^W])[^W]', '\1', 'g') AS text FROM documents".replace("W", sql.W))
+def p09_masked(spark, sf):
+    residual = F.array(F.lit("Ou"), F.lit("Onthe"))
+    return table(spark, sf, "documents").select("doc_id", select.masked(F.col("text"), residual).alias("text"))
+
+
 _SHINGLE = "list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')))"
 
 
@@ -493,9 +527,9 @@ def j13_jaccard(spark, sf):
 # --- lint -------------------------------------------------------------------------------------
 
 
-def _drafts(spark, sf):
-    """Assistant turns and the fixtures as drafts, half of them articles."""
-    c = table(spark, sf, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("draft_id"), "text")
+def _drafts(spark, sf, turns: str = "role = 'assistant'"):
+    """Turns of a role and the fixtures as drafts, half of them articles."""
+    c = table(spark, sf, "conversations").where(turns).select((F.col("conv_id") * 100 + F.col("turn")).alias("draft_id"), "text")
     both = c.unionByName(fixtures.frame(spark).select(F.col("doc_id").alias("draft_id"), "text"))
     return both.withColumn("medium", F.when(F.col("draft_id") % 2 == 0, "email").otherwise("article")).withColumn("register", F.get(F.lit(lex.CLASSES), (F.col("draft_id") % 8).cast("int")))
 
@@ -616,6 +650,28 @@ def a30_lint_summary(spark, sf):
     return lint.summary(lint.bans(_drafts(spark, sf)))
 
 
+_LINES = f"SELECT draft_id, '  ' || rpad(severity, 6, ' ') || ' ' || rule_id || '  ' || observed || ' (' || expected || ')' AS line, list_position(['error', 'warn', 'info'], severity) AS rank, severity FROM f"
+
+
+@query(f"WITH d AS ({D} SELECT * FROM drafts), f AS ({D} {_BAN_ROWS}), l AS ({_LINES}), s AS (SELECT draft_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, string_agg(line, chr(10) ORDER BY rank, line) AS t FROM l GROUP BY 1) SELECT draft_id, 'lint: ' || draft_id || ' (register ' || register || ', medium ' || medium || ', ' || {sql.n_words('text')} || ' words): ' || coalesce(e, 0) || ' error, ' || coalesce(w, 0) || ' warnings' || coalesce(chr(10) || t, '') AS summary FROM d LEFT JOIN s USING (draft_id)")
+def l12_summary_text(spark, sf):
+    drafts = _drafts(spark, sf)
+    return lint.summary_text(lint.bans(drafts), drafts)
+
+
+@query(f"{D} SELECT draft_id, {_BODY} AS text FROM drafts")
+def l14_without_subject(spark, sf):
+    return _drafts(spark, sf).select("draft_id", lint.without_subject(F.col("text")).alias("text"))
+
+
+_HABIT_ROWS = " UNION ALL ".join(f"SELECT draft_id, 'rules.{b.id}' AS rule_id, '{b.severity}' AS severity, {_counted(b.pattern, b.kind)}::VARCHAR AS observed, '0' AS expected FROM drafts WHERE {_counted(b.pattern, b.kind)} > 0" for b in lint.HABIT_BANS)
+
+
+@query(f"{D.replace('WHERE role =', 'WHERE role <>')} {_HABIT_ROWS}")
+def l15_habit_bans(spark, sf):
+    return lint.bans(_drafts(spark, sf, "role <> 'assistant'"), lint.HABIT_BANS)
+
+
 # --- edits ------------------------------------------------------------------------------------
 
 
@@ -644,6 +700,11 @@ def j12_version_pairs(spark, sf):
     return delta.version_pairs(_chains(spark, sf))
 
 
+@query(f"SELECT chain_id, version, text, {sql.n_words('text')}::BIGINT AS word_count FROM (SELECT conv_id AS chain_id, max(turn) AS version, arg_max(x, turn) AS text FROM (SELECT conv_id, turn, {_plain_sql('coalesce(text, chr(32))')} AS x FROM conversations) GROUP BY 1)")
+def p04_article_finals(spark, sf):
+    return select.article_finals(_chains(spark, sf))
+
+
 @query()
 def a26_metric_change(spark, sf):
     return delta.metric_change(_chains(spark, sf))
@@ -884,3 +945,27 @@ def x15_without_signatures(spark, sf):
 @query("SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\P{L}]', '0', 'g'), '\\b[A-Z][a-zA-Z]+(?:[-''][A-Z]?[a-z]+)*\\b')) AS name FROM benchmark")
 def x19_name_tokens(spark, sf):
     return extract.name_tokens(table(spark, sf, "benchmark").select(F.col("text").alias("value")))
+
+
+@query("SELECT DISTINCT unnest(regexp_extract_all(x, '\\b[A-Z][a-zA-Z]+\\b')) AS name FROM (SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region)")
+def x19_harvest(spark, sf):
+    """Nations in headers, regions in attributions and quoted headers."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    said = F.concat(F.lit("see below\nOn Mon, 1 Jan 2024, "), "r_name", F.lit(" <a@example.com> wrote:\n> old"))
+    head = F.concat(F.lit("mine\nFrom: "), "r_name", F.lit(" <a@example.com>\nSent: x\nold"))
+    return extract.harvested(n.select(F.array("n_name").alias("names"), F.when(F.col("n_nationkey") % 2 == 0, said).otherwise(head).alias("body")))
+
+
+@query("SELECT doc_id, CASE WHEN list_position(ls, '--') IS NULL AND list_position(ls, '-- ') IS NULL THEN t ELSE array_to_string(ls[1:least(coalesce(list_position(ls, '--'), 1000000), coalesce(list_position(ls, '-- '), 1000000)) - 1], chr(10)) END AS text FROM (SELECT doc_id, t, string_split(regexp_replace(t, '\\n$', ''), chr(10)) AS ls FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || '-- ' || chr(10) || 'sig' ELSE text END AS t FROM documents))")
+def x14_dash_cut(spark, sf):
+    """Every other document with a dash line and a signature put on."""
+    signed = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n-- \nsig"))).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", extract.dash_cut(signed).alias("text"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def s17_windowed_counts(spark, sf):
+    from ..streaming import ingest
+
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.windowed_counts(events).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("value", F.round("value", 4))

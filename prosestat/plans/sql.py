@@ -91,7 +91,7 @@ def records() -> str:
     return rf"""WITH docs AS (SELECT doc_id, text, lang, source, n_chars FROM documents UNION ALL SELECT * FROM {fixtures.sql_values()}),
 rec AS (SELECT substr(sha256(d.doc_id::VARCHAR), 1, 16) AS record_id, d.doc_id, d.source, (TRY_CAST(regexp_extract(d.source, '(\d+)$', 1) AS INT) % 2 = 0) AS eligible,
   ({array(lex.CLASSES)})[(d.doc_id % 8 + 1)::INT] AS recipient_class, (['new', 'reply', 'forward'])[(d.doc_id % 3 + 1)::INT] AS thread_position,
-  CASE WHEN d.doc_id % 50 <> 0 THEN (2015 + d.doc_id % 10)::INT END AS year, d.text, {count("coalesce(d.text, '')", "'[A-Za-z]+(?:''[A-Za-z]+)?'")}::BIGINT AS word_count,
+  CASE WHEN d.doc_id % 50 <> 0 THEN (2015 + d.doc_id % 10)::INT END AS year, d.doc_id % 11 = 0 AS inline_reply, d.doc_id % 7 = 0 AS has_residual, d.text, {count("coalesce(d.text, '')", "'[A-Za-z]+(?:''[A-Za-z]+)?'")}::BIGINT AS word_count,
   CASE WHEN coalesce(l.low, false) THEN 'low' ELSE 'high' END AS confidence, coalesce(l.sensitive, false) AS sensitive
   FROM docs d LEFT JOIN (SELECT doc_id, min(quality) = 0 AS low, max(toxic) = 1 AS sensitive FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id),
 tpl AS (SELECT * EXCLUDE (k), count(*) OVER (PARTITION BY k) >= 3 AS template, k FROM (SELECT *, lower({strip(r"regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')")}) AS k FROM rec)),
