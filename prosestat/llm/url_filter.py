@@ -13,7 +13,7 @@ URLs alone, and the threshold is calibrated on those scores, so every score, ver
 calibration are of URLs that the models were not fitted on. The threshold is the score that
 ``ACCEPTED`` of the accepted examples' rows reach, so at most the rest of them is blocked.
 Counts are taken over all rows of the other folds. Every context with its characters is kept, in tables that grow with the input
-and are joined by shuffles; a gram of very many lines is dealt over ``SALTS`` keys.
+and are joined by shuffles; grams of very many lines are salted.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and
 is judged by its characters (none: score 0); without examples of both kinds it is allowed;
@@ -28,11 +28,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import looked_up, materialize
 
 ORDER = 4
 FOLDS = 5
-SALTS = 16
 ACCEPTED = 0.99
 START = "\x02"
 REJECTED_WORDS = ("casino", "bet", "bets", "betting", "poker", "slots", "adult", "porn", "xxx", "sex", "viagra", "pills", "loan", "loans")
@@ -86,43 +85,41 @@ def grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.withColumn("_p", padded).select(*rows.columns, F.explode(F.transform(at, lambda i: F.substring(F.col("_p"), i, order + 1))).alias("g"))
 
 
-def model(lines: DataFrame, order: int = ORDER) -> DataFrame:
-    """From (line, fold, allow, block), a line and its accepted and rejected rows: (fold, g,
-    ratio) for every gram g of a fold's lines, the log-likelihood difference of g's last
-    character after those before it, by the models of all other folds."""
-    full = grams(lines.select("line", "fold", "allow", "block"), order).groupBy("fold", "g").agg(F.sum("allow").alias("a"), F.sum("block").alias("b"))
+def model(lines: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
+    """From (line, fold, allow, block), a line and its accepted and rejected rows: (g, ratios) for
+    every gram g, ratios[f] the log-likelihood difference of g's last character after those
+    before it, by the models of all folds but f. Counts of the folds stand side by side, so a
+    gram is one row."""
+    names = [(x, f"{x}{f}", f) for x in "ab" for f in range(folds)]
+    own = {"a": "allow", "b": "block"}
+    full = grams(lines.select("line", "fold", "allow", "block"), order).groupBy("g").agg(*(F.sum(F.when(F.col("fold") == f, F.col(own[x])).otherwise(0)).alias(n) for x, n, f in names))
     full, _ = materialize(full, "grams")
+    # What is left of all folds' counts without fold f's own.
+    rest = {n: sum((F.col(m) for y, m, _ in names if y == x), F.lit(0)) - F.col(n) for x, n, _ in names}
     tail = None
     for k in range(order + 1):
-        own = full.select("fold", F.expr(f"right(g, {k + 1})").alias("g"), "a", "b").groupBy("fold", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        every = own.groupBy("g").agg(F.sum("a").alias("ea"), F.sum("b").alias("eb"))
-        # What is left of a gram's counts without the fold's own.
-        rows = own.join(every, "g").select("fold", "g", F.expr(f"left(g, {k})").alias("c"), "a", "b", (F.col("ea") - F.col("a")).alias("xa"), (F.col("eb") - F.col("b")).alias("xb"))
-        whole = every.groupBy(F.expr(f"left(g, {k})").alias("c")).agg(*(f for x in "ab" for f in (F.sum(f"e{x}").alias(f"t{x}"), F.count_if(F.col(f"e{x}") > 0).alias(f"d{x}"))))
-        # A fold's share of a context: its rows, and the characters that followed there alone.
-        part = rows.groupBy("fold", "c").agg(*(f for x in "ab" for f in (F.sum(x).alias(f"f{x}"), F.count_if((F.col(x) > 0) & (F.col(f"x{x}") == 0)).alias(f"o{x}"))))
-        context = part.join(whole, "c").select("fold", "c", *((F.col(f"{n}{x}") - F.col(f"{m}{x}")).alias(f"{n}{x}") for x in "ab" for n, m in (("t", "f"), ("d", "o"))))
-        rows = rows.join(context, ["fold", "c"])
+        rows = full.select(F.expr(f"right(g, {k + 1})").alias("g"), *(n for _, n, _ in names)).groupBy("g").agg(*(F.sum(n).alias(n) for _, n, _ in names))
+        rows = rows.select("g", F.expr(f"left(g, {k})").alias("c"), *(rest[n].alias(n) for _, n, _ in names))
+        context = rows.groupBy("c").agg(*(F.sum(n).alias(f"t{n}") for _, n, _ in names), *(F.count_if(F.col(n) > 0).alias(f"d{n}") for _, n, _ in names))
+        rows = rows.join(context, "c")
         if tail is None:
             # Below the empty context lies an even spread over 256 characters.
-            rows = rows.withColumn("la", F.lit(1 / 256)).withColumn("lb", F.lit(1 / 256))
+            rows = rows.withColumns({f"l{n}": F.lit(1 / 256) for _, n, _ in names})
         else:
-            rows = rows.withColumn("s", F.expr(f"right(g, {k})")).join(tail.select("fold", F.col("g").alias("s"), F.col("pa").alias("la"), F.col("pb").alias("lb")), ["fold", "s"]).drop("s")
-        p = lambda x: (F.col(f"x{x}") + F.greatest(F.col(f"d{x}"), F.lit(1)) * F.col(f"l{x}")) / (F.col(f"t{x}") + F.greatest(F.col(f"d{x}"), F.lit(1)))
-        tail = rows.select("fold", "g", p("a").alias("pa"), p("b").alias("pb"))
-    return materialize(tail.select("fold", "g", F.ln(F.col("pa") / F.col("pb")).alias("ratio")), "model")[0]
+            rows = rows.withColumn("s", F.expr(f"right(g, {k})")).join(tail.withColumnsRenamed({"g": "s"} | {f"p{n}": f"l{n}" for _, n, _ in names}), "s")
+        kinds = lambda n: F.greatest(F.col(f"d{n}"), F.lit(1))
+        tail = rows.select("g", *(((F.col(n) + kinds(n) * F.col(f"l{n}")) / (F.col(f"t{n}") + kinds(n))).alias(f"p{n}") for _, n, _ in names))
+    return materialize(tail.select("g", F.array(*(F.ln(F.col(f"pa{f}") / F.col(f"pb{f}")) for f in range(folds))).alias("ratios")), "model")[0]
 
 
 def scores(lines: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
     """(id, score) of the model's own lines (id, fold, line): the mean ratio per character. All
     their grams are in the table."""
     rows = grams(lines.select("id", "fold", "line"), order).groupBy("id", "fold", "g").agg(F.count("*").alias("n"))
-    # Some grams stand in nearly every line.
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # Whole numbers add up alike in any order.
-    found = rows.join(dealt.hint("merge"), ["fold", "g", "salt"])
-    return found.groupBy("id").agg((F.sum(F.round(F.col("ratio") * 1e9).cast("long") * F.col("n")) / F.sum("n") / 1e9).alias("score"))
+    total = lines.agg(F.sum(F.char_length("line"))).first()[0] or 0
+    # Some grams stand in nearly every line. Whole numbers add up alike in any order.
+    found = looked_up(rows, table, "g", "id", total).withColumn("ratio", F.round(F.get("ratios", F.col("fold")) * 1e9).cast("long"))
+    return found.groupBy("id").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n") / 1e9).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -151,7 +148,7 @@ def judge(pages: DataFrame, rules=RULES, words: tuple = REJECTED_WORDS, folds: i
     lines = rows.groupBy("line", "fold").agg(*(F.count_if(label == s).alias(s) for s in ("allow", "block"))).withColumn("id", F.monotonically_increasing_id())
     # Written, so ids stay.
     lines, _ = materialize(lines, "lines")
-    found = lines.join(scores(lines, model(lines)), "id", "left")
+    found = lines.join(scores(lines, model(lines, folds=folds)), "id", "left")
     scored, _ = materialize(found.select("line", "fold", "allow", "block", F.coalesce("score", F.lit(0.0)).alias("score")), "scored")
     least = threshold(scored)
     out = rows.join(scored.select("line", "fold", "score"), ["line", "fold"], "left")
