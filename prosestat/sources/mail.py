@@ -33,6 +33,12 @@ def decoded(part) -> tuple[str, bool]:
     return text.translate(str.maketrans("’‘ʼ\x92", "''''")), bool(text) and text.count("�") / len(text) > 0.05
 
 
+def addresses(values) -> list[tuple[str, str]]:
+    """(name, address) of header values; some exporters set semicolons between recipients."""
+    outside = r';(?=(?:[^"]*"[^"]*")*[^"]*$)'  # of quotation marks
+    return [(n, a) for n, a in getaddresses([re.sub(outside, ",", v) for v in values]) if n or a]
+
+
 def parsed(raw: bytes, locator: str) -> dict:
     """One message as a row of MESSAGE."""
     mail = email.message_from_bytes(raw, policy=email.policy.default)
@@ -46,7 +52,7 @@ def parsed(raw: bytes, locator: str) -> dict:
             reject = "decode_error" if bad else reject
     if reject is None and not bodies:
         reject = "no_text_body"
-    every = lambda key: getaddresses([str(v) for v in mail.get_all(key, [])])
+    every = lambda key: addresses(map(str, mail.get_all(key, [])))
     to = [{"address": a, "display_name": n, "kind": k.lower()} for k in ("To", "Cc", "Bcc") for n, a in every(k)]
     try:
         sent = parsedate_to_datetime(mail["Date"]).isoformat() if mail["Date"] else None

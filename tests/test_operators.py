@@ -259,6 +259,38 @@ def test_signatures(spark):
     assert {r["line"] for r in got} == {"Head of x", "Call 555 0100 200"}
 
 
+def test_recipients_between_semicolons():
+    assert mail.addresses(['A <a@example.org>; "B; C" <b@example.net>; c@example.com']) == [("A", "a@example.org"), ("B; C", "b@example.net"), ("", "c@example.com")]
+    assert mail.addresses(["", ";"]) == []
+
+
+@pytest.mark.parametrize("ban", lint.HABITS, ids=lambda h: h[0])
+def test_each_habit_has_a_hit(ban):
+    i, kind, pattern, example = ban
+    assert i.startswith("ai-") and (re.search("(?im)" + pattern, example) if kind == "regex" else pattern.lower() in example.lower())
+    assert len(lint.HABIT_BANS) == 40 == len({b.id for b in lint.HABIT_BANS})
+
+
+def test_source_selection_and_refusals(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "source string, n int")
+    assert [r["n"] for r in rec.selected(rows, ["a", "b"], ["b"]).collect()] == [2] and rec.selected(rows, ["a", "b"], []).count() == 2
+    with pytest.raises(ValueError, match="no such source: c"):
+        rec.selected(rows, ["a", "b"], ["a", "c"])
+    reports = spark.createDataFrame([("a", "done", "2024-03-09"), ("b", "partial", "2024-03-09"), ("c", "done", "2024-03-01"), ("d", "done", None)], "source string, status string, dumped string").withColumn("dumped", F.col("dumped").cast("date"))
+    now = F.lit("2024-03-10").cast("date")
+    with pytest.raises(ValueError, match="b: partial; c: stale; d: stale"):
+        rec.checked(reports, now)
+    rec.checked(reports.where("source = 'a'"), now)
+
+
+def test_token_budget(spark):
+    picks = spark.createDataFrame([(r, k, 100) for r in ("x", "y") for k in range(5)], "register string, pick_rank int, word_count long")
+    assert select.within_budget(picks, 1800).count() == 10
+    assert select.within_budget(picks, 1000, minimum=2).count() == 4
+    with pytest.raises(ValueError, match="budget by 20"):
+        select.within_budget(picks, 700, minimum=2)
+
+
 EML = b"""From: Me <me@example.com>
 To: A <a@example.org>, b@example.net
 Message-ID: <1@x>
