@@ -164,8 +164,32 @@ def _places(text: Column, pattern: str) -> Column:
     return tx.let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")), places)
 
 
+#: Metrics whose band a limit stands for.
+LIMITED = {"exclamations_max": ("exclamation_rate", "exclamations_per_email"), "emoji_max": ("emoji_rate",), "em_dashes_max": (), "headings_allowed": ("heading_use",)}
+
+
+def limit_rows(table: dict = LIMITS) -> list[tuple[str, str | None, str, int]]:
+    """(medium, register, limit, most) rows of a table of limits by medium, in which ``registers``
+    may have limits of their own; register None stands for all others."""
+    out = []
+    for medium, held in table.items():
+        own = held.get("registers", {})
+        shared = {k: v for k, v in held.items() if k != "registers"}
+        for register, limits_ in [(None, shared), *((r, shared | x) for r, x in own.items())]:
+            # Headings are limited only where they aren't allowed.
+            out += [(medium, register, k, int(v)) for k, v in limits_.items() if not (k == "headings_allowed" and v)]
+    return out
+
+
+def _applies(table: dict, medium: str, register: str | None) -> Column:
+    named = sorted(table[medium].get("registers", {}))
+    of = F.col("register") == register if register else ~F.coalesce(F.col("register").isin(named or [""]), F.lit(False))
+    return (F.col("medium") == medium) & of
+
+
 def limits(drafts: DataFrame, table: dict = LIMITS) -> DataFrame:
-    """Exclamation marks, emoji, dashes and headings above the medium's limit."""
+    """Exclamation marks, emoji, dashes and headings above the limit of the medium, or of the
+    register where it has one of its own."""
     text = F.coalesce("text", F.lit(""))
     seen = {
         "exclamations_max": F.regexp_count(text, F.lit("!")),
@@ -173,8 +197,8 @@ def limits(drafts: DataFrame, table: dict = LIMITS) -> DataFrame:
         "em_dashes_max": F.regexp_count(text, F.lit("—")),
         "headings_allowed": F.exists(tx.heading_lines(without_subject(text)), lambda x: x).cast("int"),
     }
-    rows = [F.struct(F.lit("rules." + k).alias("rule"), F.lit(m).alias("m"), seen[k].alias("seen"), F.lit(int(v)).alias("most")) for m, ks in table.items() for k, v in ks.items() if not (k == "headings_allowed" and v)]
-    return drafts.select("draft_id", "medium", F.inline(F.array(*rows))).where("medium = m and seen > most").select(*_finding(F.col("rule"), "error", F.col("seen"), F.col("most")))
+    rows = [F.struct(F.lit("rules." + k).alias("rule"), _applies(table, m, r).alias("on"), seen[k].alias("seen"), F.lit(most).alias("most")) for m, r, k, most in limit_rows(table)]
+    return drafts.select("draft_id", F.inline(F.array(*rows))).where("on and seen > most").select(*_finding(F.col("rule"), "error", F.col("seen"), F.col("most")))
 
 
 def spelling(drafts: DataFrame, british: bool = True) -> DataFrame:
@@ -201,12 +225,24 @@ def short(values: DataFrame) -> DataFrame:
     return values.where("not gated").select(*_finding("stats.short_draft", "info", F.col("words"), F.lit(80)))
 
 
-def bands(values: DataFrame, profile: DataFrame, minimum: int = THIN) -> DataFrame:
-    """Metrics outside p10 to p90 of the register's band. profile: rows of ``distribution``,
-    in which thin registers already have the roll-up's band."""
-    rows = long_form(values.where("gated"), tx.METRICS, "draft_id", "register").withColumn("value", F.round("value", 4))
-    at = profile.select("register", "metric", "band_p10", "band_p90", "n_gated")
-    out = rows.join(F.broadcast(at), ["register", "metric"]).where((F.col("n_gated") >= minimum) & ~F.col("value").between(F.col("band_p10"), F.col("band_p90")))
+def bands(values: DataFrame, profile: DataFrame, minimum: int = THIN, table: dict | None = None, diverging: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
+    """Metrics outside p10 to p90 of the register's band. profile: rows of ``distribution``, in
+    which thin registers already have the roll-up's band. Metrics that a limit of ``table``
+    stands for are not compared. Where a source's metric diverges (register, metric), the band is
+    that of the current source (rows of its distribution)."""
+    rows = long_form(values.where("gated"), tx.METRICS, "draft_id", "medium", "register").withColumn("value", F.round("value", 4))
+    for medium, register, limit, _ in limit_rows(table) if table else ():
+        if LIMITED[limit]:
+            rows = rows.where(~F.coalesce(_applies(table, medium, register) & F.col("metric").isin(list(LIMITED[limit])), F.lit(False)))
+    keys, held = ["register", "metric"], ["band_p10", "band_p90", "n_gated"]
+    at = profile.select(*keys, *held)
+    if diverging is not None:
+        apart = diverging.select(*keys).distinct().withColumn("apart", F.lit(True))
+        own = current.select(*keys, *(F.col(c).alias(f"own_{c}") for c in held))
+        both = at.join(apart, keys, "left").join(own, keys, "left")
+        at = both.select(*keys, *(F.when(F.coalesce("apart", F.lit(False)), F.col(f"own_{c}")).otherwise(F.col(c)).alias(c) for c in held))
+    # One row for each register and metric.
+    out = rows.join(F.broadcast(at), keys).where((F.col("n_gated") >= minimum) & ~F.col("value").between(F.col("band_p10"), F.col("band_p90")))
     return out.select(*_finding(F.concat(F.lit("stats."), "metric"), "warn", F.col("value"), F.concat_ws("-", F.col("band_p10").cast("string"), F.col("band_p90").cast("string"))))
 
 

@@ -461,11 +461,19 @@ def p03_paragraphs(spark, sf):
     return select.paragraph_rows(rows(spark, sf))
 
 
-@query(rf"{R}, ps AS (SELECT record_id, word_count > 200 AS truncated, text, word_count, string_split(regexp_replace(text, '\n\s*\n', chr(3), 'g'), chr(3)) AS ps FROM rec), k AS (SELECT *, list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: {sql.n_words('p')}))) AS ends FROM ps), c AS (SELECT *, least(coalesce(list_max(list_filter(range(1, len(ps) + 1), lambda i: ends[i] <= 200)), 0), len(ps) - 1) AS k FROM k), t AS (SELECT record_id, truncated, CASE WHEN truncated THEN array_to_string(ps[1:k], chr(10) || chr(10)) ELSE text END AS text FROM c) SELECT record_id, truncated, {sql.n_words('text')}::BIGINT AS word_count FROM t")
+_CUT = rf"{R}, ps AS (SELECT record_id, source, word_count > 200 AS truncated, text, word_count, string_split(regexp_replace(text, '\n\s*\n', chr(3), 'g'), chr(3)) AS ps FROM rec), k AS (SELECT *, list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: {sql.n_words('p')}))) AS ends FROM ps), c AS (SELECT *, least(coalesce(list_max(list_filter(range(1, len(ps) + 1), lambda i: ends[i] <= 200)), 0), len(ps) - 1) AS k FROM k), t AS (SELECT record_id, source, truncated, CASE WHEN truncated THEN array_to_string(ps[1:k], chr(10) || chr(10)) ELSE text END AS text FROM c)"
+
+
+@query(f"{_CUT} SELECT record_id, truncated, {sql.n_words('text')}::BIGINT AS word_count FROM t")
 def p06_truncated(spark, sf):
     return select.truncated(rows(spark, sf), 200).select("record_id", "truncated", "word_count")
 
 
+@query(f"{_CUT}, ok AS (SELECT source, record_id, n AS word_count, row_number() OVER (PARTITION BY source ORDER BY sha256(record_id), record_id) AS k FROM (SELECT source, record_id, {sql.n_words('text')}::BIGINT AS n FROM t)), walk AS (WITH RECURSIVE w AS (SELECT source, record_id, word_count, k, word_count <= 3000 AS took, CASE WHEN word_count <= 3000 THEN word_count ELSE 0 END AS used FROM ok WHERE k = 1 UNION ALL SELECT o.source, o.record_id, o.word_count, o.k, w.used + o.word_count <= 3000, w.used + CASE WHEN w.used + o.word_count <= 3000 THEN o.word_count ELSE 0 END FROM w JOIN ok o ON o.source = w.source AND o.k = w.k + 1) SELECT * FROM w) SELECT source, record_id, word_count FROM walk WHERE took")
+def p06_article_sample(spark, sf):
+    return select.article_sample(rows(spark, sf), 3000, 200)
+
+
 @query(f"{R} SELECT source, recipient_class, count(*) AS records, sum(word_count)::BIGINT AS words, sha256(string_agg(record_id, ',' ORDER BY record_id)) AS chunk_id FROM rec GROUP BY ALL")
 def p07_chunks_by_run(spark, sf):
     return select.chunks_by_run(rows(spark, sf))
@@ -556,13 +564,19 @@ def l02_locations(spark, sf):
     return lint.locations(_drafts(spark, sf))
 
 
-_SEEN = {"exclamations_max": sql.count("text", "'!'"), "emoji_max": f"{sql.count('text', sql.q(lex.emoji_class()))} + {sql.count('text', sql.q(':\\)|;\\)|:-\\)|:D'))}", "em_dashes_max": sql.count("text", "'—'")}
-_LIMIT_ROWS = " UNION ALL ".join(f"SELECT draft_id, 'rules.{k}' AS rule_id, 'error' AS severity, ({_SEEN[k]})::VARCHAR AS observed, '{v}' AS expected FROM drafts WHERE medium = '{m}' AND ({_SEEN[k]}) > {v}" for m, ks in lint.LIMITS.items() for k, v in ks.items() if k in _SEEN)
+_SUBJECTLESS = r"regexp_replace(text, '(?i)\A(?:[ \t]*\n)*[ \t]*Subject:[^\n]*(?:\n(?:[ \t]*\n)*)?', '')"
+
+#: Letters to one register may shout once more; headings are no part of any e-mail.
+_LIMITS = {"email": lint.LIMITS["email"] | {"registers": {"client": {"exclamations_max": 2}}}, "article": lint.LIMITS["article"]}
+_SEEN = {"exclamations_max": sql.count("text", "'!'"), "emoji_max": f"{sql.count('text', sql.q(lex.emoji_class()))} + {sql.count('text', sql.q(':\\)|;\\)|:-\\)|:D'))}", "em_dashes_max": sql.count("text", "'—'"), "headings_allowed": "heading_use::BIGINT"}
+_NAMED = {m: sorted(x.get("registers", {})) for m, x in _LIMITS.items()}
+_LIMIT_ROWS = " UNION ALL ".join(f"SELECT draft_id, 'rules.{k}' AS rule_id, 'error' AS severity, ({_SEEN[k]})::VARCHAR AS observed, '{v}' AS expected FROM headed WHERE medium = '{m}' AND {f'register = {sql.q(r)}' if r else f'NOT list_contains({sql.array(_NAMED[m])}::VARCHAR[], register)'} AND ({_SEEN[k]}) > {v}" for m, r, k, v in lint.limit_rows(_LIMITS))
+_HEADED = rf"lined AS (SELECT *, list_transform(string_split({_SUBJECTLESS}, chr(10)), lambda x: {sql.strip('x')}) AS hs FROM drafts), headed AS (SELECT *, (len(list_filter(range(1, len(hs) + 1), lambda i: regexp_matches(hs[i], '^#{{1,6}}[ \t]+') OR regexp_matches(hs[i], '^(?:\*\*\S(?:.*\S)?\*\*|__\S(?:.*\S)?__)$') OR (coalesce(regexp_matches(hs[i + 1], '^(?:=+|-+)$'), false) AND {sql.has_word('hs[i]')} AND NOT regexp_matches(hs[i], '^\s*(?:[-*+] |\d+\. )') AND NOT starts_with(hs[i], '>')))) > 0)::INT AS heading_use FROM lined)"
 
 
-@query(f"{D} {_LIMIT_ROWS}")
+@query(f"{D}, {_HEADED} {_LIMIT_ROWS}")
 def l03_limits(spark, sf):
-    return lint.limits(_drafts(spark, sf)).where("rule_id <> 'rules.headings_allowed'")
+    return lint.limits(_drafts(spark, sf), _LIMITS)
 
 
 _SPELL_ROWS = " UNION ALL ".join(f"SELECT draft_id, 'rules.spelling' AS rule_id, 'error' AS severity, '{a}' AS observed, '{b}' AS expected FROM drafts WHERE {sql.phrase_count('text', a)} > 0" for _, b, a in lex.VARIANTS)
@@ -602,8 +616,7 @@ def l08_llm_isms(spark, sf):
     return lint.llm_isms(_drafts(spark, sf), stats.phrase_hits(usable(spark, sf), lex.LLM_ISMS))
 
 
-_BODY = r"regexp_replace(text, '(?i)\\A(?:[ \\t]*\\n)*[ \\t]*Subject:[^\\n]*(?:\\n(?:[ \\t]*\\n)*)?', '')"
-DT = f"{D}, body AS (SELECT * REPLACE ({_BODY} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.told('dprep', 'dtel', 'draft_id, medium, register')}"
+DT = f"{D}, body AS (SELECT * REPLACE ({_SUBJECTLESS} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.told('dprep', 'dtel', 'draft_id, medium, register')}"
 _TELL_PAIRS = ", ".join(f"{{'metric': '{m}', 'value': {m}}}" for m in tx.TELLS)
 
 
@@ -618,7 +631,7 @@ def _articles(spark, sf):
     return table(spark, sf, "documents").unionByName(fixtures.frame(spark)).select(F.col("doc_id").alias("draft_id"), "text", F.lit("article").alias("medium"), F.lit("unknown").alias("register"))
 
 
-_ARTICLES = f"WITH drafts AS (SELECT doc_id AS draft_id, text, 'article' AS medium, 'unknown' AS register FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {fixtures.sql_values()})), body AS (SELECT * REPLACE ({_BODY} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.told('dprep', 'dtel', 'draft_id, medium, register')}"
+_ARTICLES = f"WITH drafts AS (SELECT doc_id AS draft_id, text, 'article' AS medium, 'unknown' AS register FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {fixtures.sql_values()})), body AS (SELECT * REPLACE ({_SUBJECTLESS} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.told('dprep', 'dtel', 'draft_id, medium, register')}"
 
 
 @query(f"{_ARTICLES} SELECT draft_id, 'structure.paragraph_fragmentation' AS rule_id, 'warn' AS severity, round(paragraph_mean, 4)::DOUBLE AS observed, 3.0::DOUBLE AS expected FROM dtel WHERE round(paragraph_mean, 4) < 3 OR round(single_share, 4) > 0.15")
@@ -627,7 +640,7 @@ def l10_fragmentation(spark, sf):
     return found.withColumn("observed", F.col("observed").cast("double")).withColumn("expected", F.col("expected").cast("double"))
 
 
-DM_BODY = f"{D}, body AS (SELECT * REPLACE ({_BODY} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.measured('dprep', 'dmet')}"
+DM_BODY = f"{D}, body AS (SELECT * REPLACE ({_SUBJECTLESS} AS text) FROM drafts), {sql.prepared('body', 'dprep')}, {sql.measured('dprep', 'dmet')}"
 _STRUCTURE = " UNION ALL ".join(f"SELECT draft_id, 'structure.{name}' AS rule_id, 'warn' AS severity, 'absent' AS observed, 'present' AS expected FROM dv JOIN (SELECT register, mean FROM prof WHERE metric = '{metric}') USING (register) WHERE medium = 'email' AND {metric} = 0 AND mean >= 0.6" for name, metric in (("greetings", "greeting_share"), ("signoffs", "signoff_share")))
 
 
@@ -659,7 +672,7 @@ def l12_summary_text(spark, sf):
     return lint.summary_text(lint.bans(drafts), drafts)
 
 
-@query(f"{D} SELECT draft_id, {_BODY} AS text FROM drafts")
+@query(f"{D} SELECT draft_id, {_SUBJECTLESS} AS text FROM drafts")
 def l14_without_subject(spark, sf):
     return _drafts(spark, sf).select("draft_id", lint.without_subject(F.col("text")).alias("text"))
 

@@ -198,6 +198,22 @@ def test_lint(spark):
         lint.validated([{"id": "a", "pattern": "x", "kind": "glob", "severity": "bad"}])
 
 
+def test_limits_by_register_stand_for_bands(spark):
+    table = {"email": {"exclamations_max": 0, "registers": {"client": {"exclamations_max": 2}}}}
+    text = "Fine! Good! " + "We said so and we meant it all. " * 20
+    rows = [(k, text, "email", r) for k, r in enumerate(["client", "vendor"])]
+    drafts = spark.createDataFrame(rows, "draft_id long, text string, medium string, register string")
+    assert [(r["draft_id"], r["expected"]) for r in lint.limits(drafts, table).collect()] == [(1, "0")]
+    profile = spark.createDataFrame([(r, m, 0.0, 0.0, 40) for r in ("client", "vendor") for m in ("exclamations_per_email", "words")], "register string, metric string, band_p10 double, band_p90 double, n_gated long")
+    values = lint.measured(drafts)
+    assert {(r["draft_id"], r["rule_id"]) for r in lint.bands(values, profile).collect()} == {(k, f"stats.{m}") for k in (0, 1) for m in ("exclamations_per_email", "words")}
+    assert {r["rule_id"] for r in lint.bands(values, profile, table=table).collect()} == {"stats.words"}
+    # Where the sources differ, the current one's band holds.
+    apart = spark.createDataFrame([("client", "words")], "register string, metric string")
+    current = spark.createDataFrame([("client", "words", 0.0, 1e6, 40)], "register string, metric string, band_p10 double, band_p90 double, n_gated long")
+    assert [(r["draft_id"], r["rule_id"]) for r in lint.bands(values, profile, table=table, diverging=apart, current=current).collect()] == [(1, "stats.words")]
+
+
 def test_pages():
     assert extract.html_cut("<p>Hi &amp; bye</p><ul><li>one<li>two</ul><div class='gmail_quote'>old</div>") == ("Hi & bye\n- one\n- two", ["H3"], [])
     assert extract.html_cut("<style>x</style><b>Bold</b><br>next<hr><div id=divRplyFwdMsg>From: x</div>")[:2] == ("*Bold*\nnext", ["H1"])
