@@ -3,6 +3,8 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -564,6 +566,52 @@ def test_embeddings(spark, sf, monkeypatch):
     assert embedding_dedup.near_duplicates(table.where("false")).count() == 0
 
 
+def test_embeddings_disk(spark, monkeypatch):
+    """Vectors without clusters, which reach most cells, are not copied to them on disk."""
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 200)
+    monkeypatch.setattr(embedding_dedup, "RECUT", 1)
+    v = np.random.default_rng(3).standard_normal((6000, 64)).astype(np.float32)
+    v[5990:] = v[:10] + np.float32(0.01)
+    written, write = [], embedding_dedup.materialize
+
+    def weighed(df, name):
+        got = write(df, name)
+        written.append(sum(f.stat().st_size for f in Path(got[1].removeprefix("file://")).iterdir()))
+        return got
+
+    def shuffled():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    monkeypatch.setattr(embedding_dedup, "materialize", weighed)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    before = shuffled()
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table).collect()}
+    assert sum(written) + shuffled() - before < 4 * v.nbytes
+    assert len(got) == 6000
+    for i in range(6000):
+        twin = i < 10 or i >= 5990
+        assert (got[i]["n_links"], got[i]["component_id"]) == (int(twin), i - 5990 if i >= 5990 else i)
+
+
+def test_embeddings_blocks(spark, monkeypatch):
+    """Links and classes are whole when copies, near copies and odd vectors fall into many blocks."""
+    for name, n in {"CELL_ROWS": 40, "RECUT": 1, "BLOCK_ROWS": 30, "CHUNK_ROWS": 50, "TILE_ROWS": 16, "STEP_ROWS": 8}.items():
+        monkeypatch.setattr(embedding_dedup, name, n)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((8, 24))
+    near = centres[rng.integers(0, 8, 300)] + 0.3 * rng.standard_normal((300, 24))
+    rows = [(i, x.tolist()) for i, x in enumerate([*near, *[near[0]] * 90, *rng.standard_normal((40, 5))])]
+    rows += [(None, near[0].tolist()), (None, None)] + [(1000 + i, None) for i in range(120)]
+    units = [None if x is None else np.array(x) / np.linalg.norm(x) for _, x in rows]
+    links = [(i, j) for i, a in enumerate(units) for j, b in enumerate(units[:i]) if a is not None and b is not None and len(a) == len(b) and a @ b >= 0.95]
+    roots, count = closed(range(len(rows)), links), Counter(i for x in links for i in x)
+    # By places in rows; the one class with a null vec_id has smaller names.
+    expected = [(v, count[i], None if v is None else rows[roots[i]][0], v is None or roots[i] == i) for i, (v, _) in enumerate(rows)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert Counter(map(tuple, got)) == Counter(expected)
+
+
 def test_urls(spark, sf):
     rows = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.NET/en/x?y#z"), (4, "http://example.net/EN/"), (5, "https://a.example.com/de/1"), (6, "https://badexample.com/de/1"), (7, "http://x.org/fr/"), (8, "http://x.org?q=/fr/"), (9, "http://net"), (10, "http://net/"), (10, "http://net/"), (11, "http://a.b/c\nd?e")]
     clash = spark.createDataFrame([(*r, "x", "y", 1, "z", 0.5) for r in rows], "page_id long, url string, host string, line string, fold int, rule string, score double")
