@@ -6,6 +6,7 @@ every executor can read them again after another one is lost.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -24,6 +25,14 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system: workers live on after a task,
+    and later tasks, of other operators too, run beside what they hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only in a local session without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

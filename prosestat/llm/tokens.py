@@ -7,8 +7,8 @@ place where both have one and the text after it is the same for both, they have
 no common boundary the two chunks are joined. The resulting pieces begin and end at true
 pre-token boundaries, so encoding them apart gives the ids of the whole text.
 
-Within a piece, pre-tokens run through a bounded cache of word-sized parts. Decoding
-concatenates the raw bytes of the ids.
+Pre-tokens of short texts run through a bounded cache of word-sized parts, which a task empties
+at its end, as its Python worker lives on. Decoding concatenates the raw bytes of the ids.
 
 Defined cases: a null text counts as empty and has no ids; special-token strings are ordinary
 text; rows that repeat a doc_id give one row each; other columns are ignored.
@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fields, materialize, tune
+from .common import fields, give_back, materialize, tune
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
@@ -189,7 +189,7 @@ def long_pieces(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ov
     def encode(rows: pd.DataFrame) -> pd.DataFrame:
         bpe = opened(path, pattern)
         rows = rows.sort_values("chunk")
-        (ids,) = bpe.encode_many(["".join(rows["text"])])
+        ids = np.array(bpe.bpe.encode_ordinary("".join(rows["text"])), np.uint32)
         return pd.DataFrame({"row": rows["row"].iloc[:1], "doc_id": rows["doc_id"].iloc[:1], "piece": rows["piece"].iloc[:1], "ids": [ids.astype("<u4").tobytes()]})
 
     chunks, _ = materialize(docs.mapInArrow(cut, CHUNKS).repartition(F.col("row"), F.col("chunk")), "chunks")
@@ -217,9 +217,13 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 
     def short(batches):
         bpe = opened(path, pattern)
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            yield _out([(i, *digest(bpe, t)) for i, t in zip(ids, bpe.encode_many(texts), strict=True)])
+        try:
+            for b in batches:
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                yield _out([(i, *digest(bpe, t)) for i, t in zip(ids, bpe.encode_many(texts), strict=True)])
+        finally:
+            bpe.cache.clear()
+            give_back()
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         bpe = opened(path, pattern)

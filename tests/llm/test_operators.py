@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -340,6 +341,19 @@ def test_byte_bpe(spark, sf, odd, chunk, overlap):
         assert sorted(got) == sorted(want)
 
 
+def test_encoding_workers_keep_no_parts(spark, sf):
+    """Python workers live on after a task; what they cached would stay in executors' memory."""
+    tokens.encode(documents(spark, sf), RANKS, public_tokenizers.PATTERN).collect()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(e.cache.index)], pa.int64()) for e in tokens._OPEN.values()][:1], names=["n"]) if tokens._OPEN else pa.RecordBatch.from_pylist([], schema=pa.schema([("n", pa.int64())]))
+
+    kept = [r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()]
+    assert kept and not any(kept)
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
     got = mixing.targets([10, 1000, 1000], [3, 1, 1])
