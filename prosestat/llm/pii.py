@@ -7,7 +7,8 @@ text are linked, and so is each mention with the one before it that repeats it (
 form) and with the one before it that is similar (same last digits, or same user or domain),
 however far apart, with potentials of their own for the two kinds of skip link. Loopy belief
 propagation over these links makes labels of one entity agree across the document: a number
-first given in full as a phone number is also found where it is repeated without its prefix.
+first given in full as a phone number is also found where it is repeated without its prefix; a
+number in groups that only looks like one, and that nothing else speaks for, is left alone.
 Base spans are clamped, so they stay.
 
 Weights are learned by pseudo-likelihood on a bounded sample of documents, with the base spans'
@@ -273,6 +274,7 @@ def made_up(n: int, seed: int = 4) -> list[tuple[str, dict[tuple[int, int], int]
     rng, out = random.Random(seed), []
     some = lambda k: "".join(rng.choices("0123456789", k=k))
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    grouped = lambda: rng.choice([" ", "-", "."]).join([str(rng.randint(200, 989)), str(rng.randint(200, 989)), some(4)])
     for k in range(n):
         kind = k % len(KINDS)
         if kind == 0:
@@ -293,8 +295,8 @@ def made_up(n: int, seed: int = 4) -> list[tuple[str, dict[tuple[int, int], int]
             again = [f"{rng.randint(200, 989)} {b} {c}"]  # another area's
         rest = rng.sample(forms[1:], min(len(forms) - 1, rng.randint(1, 3))) + (again if rng.random() < 0.3 else [])
         parts = [(forms[0], 1 + kind)] * (rng.random() < 0.8) + [(f, 1 + kind) for f in rest]
-        # Numbers of other kinds: orders, dates, amounts.
-        parts += [(rng.choice([some(rng.randint(7, 10)), f"20{some(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{some(1)}.{some(2)}.{some(3)}.{some(4)}", f"{rng.randint(1, 9)} 000 000"]), NONE) for _ in range(rng.randint(0, 3))]
+        # Numbers of other kinds: orders, dates, amounts, parts numbered in groups like telephones'.
+        parts += [(rng.choice([some(rng.randint(7, 10)), grouped(), f"20{some(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{some(1)}.{some(2)}.{some(3)}.{some(4)}", f"{rng.randint(1, 9)} 000 000"]), NONE) for _ in range(rng.randint(0, 3))]
         rng.shuffle(parts)
         text, truth = "", {}
         for p, label in parts:

@@ -127,3 +127,12 @@ def test_planted_repeats_are_found(spark, sf):
         caught += sum(said.get(at) == truth[at] for at in hidden)
         wrong += sum(at not in base and truth.get(at) != label for at, label in said.items())
     assert total > 200 and caught >= 0.9 * total and wrong <= 0.02 * total
+
+
+def test_a_number_that_only_looks_like_a_phone_is_left_alone():
+    cases = np.concatenate([pii.cases(t, truth) for t, truth in pii.made_up(pii.SAMPLE)])
+    crf = pii.Crf().fit(*np.unique(cases, axis=0, return_counts=True))
+    for number in ("212 555-0100", "212-555-0100", "212.555.0100"):
+        assert pii.added_spans(f"or {number} later", [], crf) == []
+        text = f"call +1 (212) 555-0100, or {number} later"
+        assert pii.added_spans(text, pii.base_spans(text), crf) == [(27, 3, 39)]
