@@ -18,7 +18,9 @@ in the library; other columns are ignored; an empty table writes no file.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import fields, fresh_path, materialize, tune
-from .tokens import PartCache
+from .tokens import Numbered, PartCache, flattened, gathered
 
 END_ID = 1
 LENGTH = 2048
@@ -37,6 +39,10 @@ SEQUENCES = 64
 SHARD_BYTES = 128 << 20  # of input, aimed at for each file
 WIDTH = pa.uint16()  # 49,408 ids
 CACHE = 1_000_000  # parts
+GROUP = 400  # parts encoded in one text
+LETTERS = frozenset(ascii_letters)
+#: Words of letters that normalising leaves alone but for their case.
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
 
 _OPEN: dict[str, WordCache] = {}
 
@@ -45,36 +51,59 @@ class WordCache(PartCache):
     """Parts that end in one closing mark after an ASCII letter are the part without it and the
     mark: the tokenizer always cuts there. (After other letters it may not: normalising can end
     them in a combining mark, which goes with the closing one.) New parts are encoded many in
-    one text, between marks that none of them holds."""
+    one text: plain words, in lower case, one after the other, and others between marks that
+    none of them holds."""
 
     def __init__(self, tokenizer: Tokenizer, most: int = CACHE) -> None:
         self.tokenizer = tokenizer
-        self.mark = self.whole(["\0"])[0]
-        self.ends = {c: self.whole([c])[0] for c in ".,!?"}
+        (self.mark,) = self.whole(["\0"])[0]
+        self.ends = {c: ids for c in ".,!?" for ids in self.whole([c])[0]}
+        vocabulary = tokenizer.get_vocab()
+        self.closing = np.zeros(1 + max(vocabulary.values()), bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         super().__init__(self.fresh, most)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def many(self, parts: list[str]) -> list[list[int]]:
-        odd = [p for p in parts if "\0" in p]
-        ids = dict(zip(odd, self.whole(odd), strict=True))
-        plain = [p for p in parts if "\0" not in p]
-        for k in range(0, len(plain), 60):
-            part = plain[k : k + 60]
-            flat = self.whole([" \0 ".join(part)])[0]
-            at, start = np.flatnonzero(np.array(flat) == self.mark[0]).tolist(), 0
-            for p, end in zip(part, [*at, len(flat)], strict=True):
-                ids[p] = flat[start:end]
-                start = end + 1
-        return [ids[p] for p in parts]
-
-    def fresh(self, parts: list[str]) -> list[list[int]]:
-        stems = [p[:-1] if p[-1] in self.ends and len(p) > 1 and p[-2].isalpha() and p[-2].isascii() else p for p in parts]
-        known = {s: self.flat[self.starts[i] : self.starts[i + 1]].tolist() for s in dict.fromkeys(stems) if (i := self.index.get(s)) is not None}
-        rest = [s for s in dict.fromkeys(stems) if s not in known]
-        known |= zip(rest, self.many(rest), strict=True)
-        return [known[s] if s is p else known[s] + self.ends[p[-1]] for s, p in zip(stems, parts, strict=True)]
+    def words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per part) of plain words, of which each ends in its one closing id."""
+        flats, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(parts), GROUP):
+            flat = np.array(self.whole([" ".join(parts[k : k + GROUP])])[0], np.uint32)
+            flats.append(flat)
+            lens.append(np.diff(np.flatnonzero(self.closing[flat]), prepend=-1))
+        return np.concatenate(flats), np.concatenate(lens)
+
+    def many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per part) of any parts."""
+        flats, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(parts), GROUP):
+            part = parts[k : k + GROUP]
+            text = " \0 ".join(part)
+            if text.count("\0") == len(part) - 1:
+                flat = np.array(self.whole([text])[0], np.uint32)
+                marks = flat == self.mark
+                flats.append(flat[~marks])
+                lens.append(np.diff(np.flatnonzero(marks), prepend=-1, append=len(flat)) - 1)
+            else:
+                flat, n = flattened(self.whole(part))
+                flats.append(flat)
+                lens.append(n)
+        return np.concatenate(flats), np.concatenate(lens)
+
+    def fresh(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        stems = [p[:-1] if p[-1] in self.ends and p[-2:-1] in LETTERS else p for p in parts]
+        # A stem has ids already, as a part of an earlier call, or gets them here.
+        words, others, known, get, plain = Numbered(), Numbered(), len(self.starts) - 1, self.index.get, PLAIN.fullmatch
+        at = np.array([i if (i := get(s, known)) < known else known + words[s.lower()] if plain(s) else -1 - others[s] for s in stems], np.int64)
+        at = np.where(at < 0, known + len(words) - 1 - at, at)
+        (flat, lens), (more, n) = self.words(list(words)), self.many(list(others))
+        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([lens, n]))])
+        flat, lens = gathered(np.concatenate([self.flat, flat, more]), starts, at)
+        closed = np.array([s is not p for s, p in zip(stems, parts, strict=True)], bool)
+        marks = np.array([self.ends[p[-1]] for s, p in zip(stems, parts, strict=True) if s is not p], np.uint32)
+        return np.insert(flat, np.cumsum(lens)[closed], marks), lens + closed
 
 
 def opened(path: str) -> WordCache:

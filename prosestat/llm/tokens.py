@@ -20,7 +20,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -42,38 +42,54 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
 
+class Numbered(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, ids per list)."""
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, ids per run) of the runs numbered ``at``; run k is flat[starts[k] : starts[k + 1]]."""
+    lens = starts[at + 1] - starts[at]
+    ends = np.cumsum(lens)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts[at] - (ends - lens), lens)], lens
+
+
 class PartCache:
     """Ids of parts of text, encoded once and gathered as arrays; cleared when full."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = CACHE) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbered()
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per part)."""
         if len(self.index) > self.most:
             self.clear()
-        get = self.index.get
-        found = list(map(get, parts))
-        if None in found:
-            new = list(dict.fromkeys(p for p, i in zip(parts, found, strict=True) if i is None))
-            got = self.encode(new)
-            base = len(self.index)
-            self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            lens = np.fromiter(map(len, got), np.int64, len(got))
+        known = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        if len(self.index) > known:
+            try:
+                flat, lens = self.encode(list(islice(self.index, known, None)))
+            except BaseException:
+                self.clear()  # of parts that have a number but no ids
+                raise
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))])
-            found = [get(p) if i is None else i for p, i in zip(parts, found, strict=True)]
-        at = np.array(found, np.int64)
-        lens = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.arange(total) + np.repeat(self.starts[at] - (ends - lens), lens)
-        return self.flat[where], lens
+            self.flat = np.concatenate([self.flat, flat])
+        return gathered(self.flat, self.starts, at)
 
 
 class ByteBpe:
@@ -86,7 +102,7 @@ class ByteBpe:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.bytes_of[r] = t
-        self.cache = PartCache(lambda parts: [self.bpe.encode_ordinary(p) for p in parts])
+        self.cache = PartCache(lambda parts: flattened([self.bpe.encode_ordinary(p) for p in parts]))
 
     def boundaries(self, text: str, start: int = 0) -> list[int]:
         return [m.start() for m in self.pattern.finditer(text, start)]
