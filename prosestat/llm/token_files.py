@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import fields, fresh_path, materialize, tune
+from .common import fields, fresh_path, give_back, materialize, tune
 from .tokens import Numbered, PartCache, flattened, gathered
 
 END_ID = 1
@@ -224,6 +224,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shards: int, length: int
             writer.close()
             sink.close()
             fs.move(temporary, f"{path}/{name}")
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")

@@ -550,7 +550,7 @@ def test_words_are_encoded_once_in_any_case():
     library, cache, given, rng = Tokenizer.from_file(path), token_files.WordCache(Tokenizer.from_file(path)), [], random.Random(1)
     whole = cache.whole
     cache.whole = lambda texts: given.extend(texts) or whole(texts)
-    letters = [chr(c) for c in range(0x250) if token_files.PLAIN.fullmatch(chr(c))]
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
     texts = ["Zorvig zorvig, ZORVIG. zorvig!", "\u00c4chz \u00e4chz.", "\u01f0 J\u030c j\u030c", *("".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(2000))]
     assert [x[:-1].tolist() for x in token_files.encode_many(cache, texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert " ".join(given).lower().split().count("zorvig") == 1
