@@ -52,17 +52,36 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns as they are, but as rows of a generator: a filter on them isn't
+    pushed into what computes them, which would then run twice."""
+    return df.select(*(c for c in df.columns if c not in names), F.inline(F.array(F.struct(*names))))
+
+
 def normalize(c: Column) -> Column:
     """Typographic apostrophes as plain ones."""
-    return F.translate(c, "’‘ʼ\x92", "''''")
+    for sign in "’‘ʼ\x92":
+        c = F.replace(c, F.lit(sign), F.lit("'"))
+    return c
+
+
+#: White space of Unicode, that of ASCII, and that within a line.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+PLAIN = "\t\n\x0b\x0c\r "
+BLANKS = "\t\x0b\x0c\r "
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(normalize(c), F.lit(WORD), F.lit(0))
+    return plain_words(normalize(c))
+
+
+def plain_words(c: Column) -> Column:
+    """Words of a text whose apostrophes are plain."""
+    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
 def has_word(c: Column) -> Column:
@@ -70,7 +89,11 @@ def has_word(c: Column) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    return F.regexp_count(normalize(c), F.lit(WORD))
+    return n_plain_words(normalize(c))
+
+
+def n_plain_words(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(WORD))
 
 
 def word_count(c: Column) -> Column:
@@ -79,12 +102,17 @@ def word_count(c: Column) -> Column:
 
 
 def newlines(c: Column) -> Column:
-    return F.regexp_replace(c, "\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]", "\n")
+    return F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "[\x0b-\r\x1c-\x1e\x85\u2028\u2029]", "\n")
 
 
 def lines(c: Column) -> Column:
     """The lines of a text; a final line end begins no further line."""
-    return F.split(F.regexp_replace(newlines(c), r"\n\z", ""), "\n", -1)
+    return plain_lines(newlines(c))
+
+
+def plain_lines(c: Column) -> Column:
+    """The lines of a text that has no line ends but line feeds."""
+    return F.split(F.regexp_replace(c, r"\n\z", ""), "\n", -1)
 
 
 def paragraphs(c: Column) -> Column:
@@ -123,8 +151,8 @@ def phrase_counts(c: Column, terms: list[str]) -> Column:
 
 
 def listed(runs: Column, terms: list[str]) -> Column:
-    """How many of the runs of letters are one of the terms, which are single words."""
-    return F.size(F.filter(runs, lambda r: F.lower(r).isin([t.lower() for t in terms])))
+    """How many of the runs of letters, in lower case, are one of the terms, single words."""
+    return F.size(F.filter(runs, lambda r: r.isin([t.lower() for t in terms])))
 
 
 #: Full stops that end no sentence: in and after abbreviations, and between digits. All are
@@ -139,6 +167,11 @@ def _protected() -> str:
 PROTECTED = _protected()
 
 
+# List lines and the places where sentences end, as single passes.
+ITEM_LINE = rf"(?<![^\n{CUT}])(?:[-*+] |\d+\. )([^\n{CUT}]*)"
+SENTENCE_CUT = rf"[\n{CUT}](?:(?<={CUT})\n?|{CUT}\n?|(?=[A-Z])|(?<=[.!?]\n))"
+
+
 def sentences(c: Column) -> Column:
     """Sentences with at least one word.
 
@@ -146,14 +179,18 @@ def sentences(c: Column) -> Column:
     one sentence; a line begins a new chunk after closing punctuation or with a capital, and
     otherwise goes on; chunks are cut after closing punctuation and white space.
     """
-    t = F.regexp_replace(newlines(c), PROTECTED, DOT)
-    t = F.regexp_replace(t, r"[^\S\n]*\n[^\S\n]*", "\n")
+    return plain_sentences(newlines(c))
+
+
+def plain_sentences(c: Column) -> Column:
+    """Sentences of a text that has no line ends but line feeds."""
+    t = F.regexp_replace(c, PROTECTED, DOT)
+    t = F.array_join(F.transform(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))), "\n")
     t = F.regexp_replace(strip(t), r"\n{2,}", CUT)
-    t = F.regexp_replace(t, rf"(^|\n|{CUT})(?:[-*+] |\d+\. )([^\n{CUT}]*)", f"{CUT}{ITEM}$2{CUT}")
-    t = F.regexp_replace(t, rf"\n?{CUT}\n?|(?<=[.!?])\n|\n(?=[A-Z])", CUT)
-    t = F.translate(t, "\n", " ")
+    t = F.regexp_replace(t, ITEM_LINE, f"{CUT}{ITEM}$1{CUT}")
+    t = F.replace(F.regexp_replace(t, SENTENCE_CUT, CUT), F.lit("\n"), F.lit(" "))
     parts = F.transform(F.split(t, CUT, -1), lambda x: F.when(F.startswith(x, F.lit(ITEM)), F.array(F.substring(x, F.lit(2), F.char_length(x)))).otherwise(F.split(x, r"(?<=[.!?])\s+", -1)))
-    return F.filter(F.transform(F.flatten(parts), lambda x: F.translate(x, DOT, ".")), has_word)
+    return F.filter(F.transform(F.flatten(parts), lambda x: F.replace(x, F.lit(DOT), F.lit("."))), has_word)
 
 
 # The patterns of greetings.
@@ -182,7 +219,8 @@ def signoff(all_lines: Column) -> Column:
 
 
 def prepared(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with greeting, signoff and body, the text that metrics are taken of."""
+    """df with greeting, signoff and body, the text that metrics are taken of. Apostrophes of the
+    body are plain and its line ends are line feeds."""
     out = df.withColumn("_all", lines(strip(normalize(F.coalesce(text, F.lit(""))))))
     out = out.withColumn("greeting", greeting(F.get("_all", F.lit(0)))).withColumn("signoff", signoff(F.col("_all")))
     rest = F.when(F.col("greeting").isNotNull(), F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0)))).otherwise(F.col("_all"))
@@ -191,14 +229,28 @@ def prepared(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def syllables(token: Column) -> Column:
-    low = F.lower(token)
-    n = F.regexp_count(low, F.lit("[aeiouy]+"))
-    return F.greatest(F.lit(1), n - F.when(F.rlike(low, F.lit("e$")) & ~F.rlike(low, F.lit("[ly]e$")) & (n > 1), 1).otherwise(0))
+    return syllables_of(F.array(F.lower(token)))
+
+
+def syllables_of(low: Column) -> Column:
+    """Syllables of words in lower case: runs of vowels, or one in a word without any; a final e
+    is silent unless it is the only run or comes after l or y."""
+    runs = F.regexp_count(F.concat(F.lit(" "), F.array_join(low, " "), F.lit(" ")), F.lit("[aeiouy]+|(?<= )[^ aeiouy]+(?= )"))
+    ends = lambda t, *what: reduce(lambda x, y: x | y, (F.endswith(t, F.lit(w)) for w in what))
+    silent = F.filter(low, lambda t: ends(t, "e") & ~ends(t, "le", "ye") & F.rlike(t, F.lit("[aeiouy][^aeiouy]+[aeiouy]")))
+    return runs - F.size(silent)
+
+
+def emoji(c: Column) -> Column:
+    """How many emoji there are; what lies outside their first and last ones is cut away first."""
+    spans = [[int(x, 16) for x in r.split("..")] for r in lex.EMOJI]
+    near = "".join(f"{chr(min(r)[0])}-{chr(max(r)[-1])}" for r in ([x for x in spans if x[0] < 0x10000], [x for x in spans if x[0] >= 0x10000]))
+    return F.regexp_count(F.regexp_replace(c, f"[^{near}]+", ""), F.lit(lex.emoji_class()))
 
 
 def heading_lines(c: Column, html: bool = False) -> Column:
     """Flags for each line: a heading of the number-sign, bold or underlined form."""
-    every = F.transform(F.split(F.regexp_replace(c, "\r\n", "\n"), "\n", -1), strip)
+    every = F.transform(F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n", -1), strip)
     bold = r"^(?:\*\*\S(?:.*\S)?\*\*|__\S(?:.*\S)?__)$" if not html else r"^(?:\*\*\S(?:.*\S)?\*\*|__\S(?:.*\S)?__|\*\S(?:.*\S)?\*)$"
 
     def flags(rows: Column) -> Column:
@@ -216,17 +268,17 @@ def rate(count: Column, of: Column, scale: float) -> Column:
 
 
 def measured(df: DataFrame, softeners: list[str] = lex.SOFTENERS, html: bool = False) -> DataFrame:
-    """df (with body, greeting, signoff) with one double column for each of METRICS, and
-    ``gated``: long enough for rates."""
+    """df (with body, greeting, signoff of ``prepared``) with one double column for each of
+    METRICS, and ``gated``: long enough for rates."""
     b = F.col("body")
-    out = df.withColumn("_tok", words(b)).withColumn("_sents", sentences(b)).withColumn("_low", F.transform("_tok", F.lower))
+    out = df.withColumn("_tok", plain_words(b)).withColumn("_sents", plain_sentences(b)).withColumn("_low", F.transform("_tok", F.lower))
     out = out.withColumn("_n", F.size("_tok")).withColumn("_s", F.size("_sents")).withColumn("_p", F.size(F.filter(paragraphs(b), has_word)))
     n, s, p, low, sents = (F.col(c) for c in ("_n", "_s", "_p", "_low", "_sents"))
 
     def held(array: Column, test) -> Column:
         return F.size(F.filter(array, test))
 
-    contracted = held(low, lambda t: F.rlike(t, F.lit(r"(?:n't|'m|'re|'ve|'ll|'d)$")) | t.isin(lex.CONTRACTED))
+    contracted = held(low, lambda t: F.contains(t, F.lit("'")) & (F.rlike(t, F.lit(r"(?:n't|'m|'re|'ve|'ll|'d)$")) | t.isin(lex.CONTRACTED)))
     values = {
         "words": n,
         "sentence_len": rate(n, s, 1),
@@ -240,12 +292,12 @@ def measured(df: DataFrame, softeners: list[str] = lex.SOFTENERS, html: bool = F
         "parenthetical_rate": rate(held(F.regexp_extract_all(b, F.lit(r"\([^()]*\)"), F.lit(0)), has_word), s, 100),
         "ellipsis_rate": rate(F.regexp_count(b, F.lit(r"\.\.\.|…")), n, 1000),
         "spaced_dash_rate": rate(F.regexp_count(b, F.lit(r"(?<=[A-Za-z\]]) [–—-] (?=[A-Za-z\[])")), n, 1000),
-        "emoji_rate": F.regexp_count(b, F.lit(lex.emoji_class())) + F.regexp_count(b, F.lit(r":\)|;\)|:-\)|:D")),
+        "emoji_rate": emoji(b) + F.regexp_count(b, F.lit(r"[:;](?:(?<=:)(?:D|-?\))|(?<=;)\))")),
         "first_person_rate": rate(held(low, lambda t: t.isin("i", "me", "my", "mine")), n, 100),
         "second_person_rate": rate(held(low, lambda t: t.isin("you", "your", "yours")), n, 100),
-        "list_use": F.exists(lines(b), lambda x: F.rlike(x, F.lit(LIST_LINE))).cast("int"),
+        "list_use": F.exists(plain_lines(b), lambda x: F.rlike(x, F.lit(LIST_LINE))).cast("int"),
         "heading_use": F.exists(heading_lines(b, html), lambda x: x).cast("int"),
-        "flesch_reading_ease": F.when((n > 0) & (s > 0), 206.835 - 1.015 * n / s - 84.6 * F.aggregate("_tok", F.lit(0), lambda a, t: a + syllables(t)) / n).otherwise(F.lit(0.0)),
+        "flesch_reading_ease": F.when((n > 0) & (s > 0), 206.835 - 1.015 * n / s - 84.6 * syllables_of(low) / n).otherwise(F.lit(0.0)),
         "greeting_share": F.col("greeting").isNotNull().cast("int"),
         "signoff_share": F.col("signoff").isNotNull().cast("int"),
     }
@@ -269,12 +321,38 @@ SERVICE = (
     r"(?i)\bI hope this helps\b",
     r"(?i)\bwould you like me to\b",
 )
+#: What a text in lower case holds if it matches.
+SERVICE_PARTS = ("hesitate to", "feel free to", "let me know if", "i hope this helps", "would you like me to")
 APHORISM_VERB = r"(?i)\b(?:is|are|in the end|ultimately|after all|at the end of the day)\b"
 
 
+#: TRICOLON as Java matches it without going back into words: what follows a word is no word sign.
+TRICOLON_RUN = r"(?U)\b\w++(?:\s\w++){0,3}+,\s+\w++(?:\s\w++){0,3},?\s+(?:and|or)\s+\w++(?:\s\w++){0,3}+"
+
+
+def _begins(x: Column, signs: str) -> Column:
+    """Whether the first sign of a line that is no white space is one of the signs."""
+    return F.substring(F.ltrim(x, F.lit(PLAIN)), 1, 1).isin(list(signs))
+
+
+def is_heading(x: Column) -> Column:
+    return _begins(x, "#*_") & F.rlike(x, F.lit(HEADING))
+
+
+def is_bullet(x: Column) -> Column:
+    return _begins(x, "-*•+0123456789") & F.rlike(x, F.lit(BULLET))
+
+
+def opens(x: Column, pattern: str) -> Column:
+    """Whether a sentence begins with one of the words that the pattern lists first. Most are ruled
+    out by four letters, where the pattern would be tried at every place."""
+    listed_words = re.match(r"\^\(\?:([A-Za-z|]+)\)", pattern)[1].split("|")
+    return F.substring(x, 1, 4).isin(sorted({w[:4] for w in listed_words})) & F.rlike(x, F.lit(pattern))
+
+
 def prose(block: Column) -> Column:
     """A block's lines that are neither headings nor bullets."""
-    return strip(F.array_join(F.filter(lines(block), lambda x: ~F.rlike(x, F.lit(HEADING)) & ~F.rlike(x, F.lit(BULLET))), "\n"))
+    return strip(F.array_join(F.filter(plain_lines(block), lambda x: ~is_heading(x) & ~is_bullet(x)), "\n"))
 
 
 def prose_blocks(c: Column) -> Column:
@@ -311,20 +389,36 @@ def anaphora(firsts: Column) -> Column:
 
 
 def aphoristic(x: Column) -> Column:
-    t = words(x)
-    ok = F.size(t).between(4, 15) & F.endswith(F.rtrim(x), F.lit(".")) & ~F.rlike(x, F.lit(r"\d|\[[A-Z]+\]"))
-    ok = ok & ~F.lower(F.get(t, F.lit(0))).isin(lex.DEMONSTRATIVES) & ~F.exists(F.slice(t, 2, 100), lambda w: F.rlike(w, F.lit("^[A-Z]")))
-    return ok & F.arrays_overlap(F.transform(t, F.lower), F.lit(lex.ABSTRACT)) & F.rlike(x, F.lit(APHORISM_VERB))
+    ok = F.endswith(F.rtrim(x), F.lit(".")) & F.rlike(x, F.lit(APHORISM_VERB)) & ~F.rlike(x, F.lit(r"\d|\[[A-Z]+\]"))
+
+    def of(t: Column) -> Column:
+        fits = F.size(t).between(4, 15) & ~F.lower(F.get(t, F.lit(0))).isin(lex.DEMONSTRATIVES) & ~F.exists(F.slice(t, 2, 100), lambda w: F.rlike(w, F.lit("^[A-Z]")))
+        return fits & F.arrays_overlap(F.transform(t, F.lower), F.lit(lex.ABSTRACT))
+
+    return ok & let(plain_words(x), of)
+
+
+def _trie(terms: list[str]) -> str:
+    """A pattern of any of the terms, which are plain letters, with shared beginnings once."""
+    rest = {a: [t[1:] for t in terms if t[:1] == a] for a in sorted({t[0] for t in terms if t})}
+    found = [a + _trie(r) for a, r in rest.items()]
+    whole = found[0] if len(found) == 1 else "(?:" + "|".join(found) + ")" if found else ""
+    return f"(?:{whole})?" if found and "" in terms else whole
 
 
 def told(df: DataFrame) -> DataFrame:
-    """df (with body) with one double column for each of TELLS, null where it doesn't apply."""
+    """df (with body of ``prepared``) with one double column for each of TELLS, null where it
+    doesn't apply."""
     b = F.col("body")
-    out = df.withColumn("_blocks", prose_blocks(b)).withColumn("_paras", F.transform("_blocks", sentences)).withColumn("_flat", F.flatten("_paras"))
-    out = out.withColumn("_len", F.transform("_flat", n_words)).withColumn("_n", n_words(b)).withColumn("_lines", lines(b)).withColumn("_prose", F.array_join("_blocks", "\n\n"))
-    out = out.withColumn("_heads", F.size(F.filter("_lines", lambda x: F.rlike(x, F.lit(HEADING))))).withColumn("_bullets", F.filter("_lines", lambda x: F.rlike(x, F.lit(BULLET)))).withColumn("_bw", F.transform("_blocks", n_words)).withColumn("_runs", F.regexp_extract_all(b, F.lit("[A-Za-z]+"), F.lit(0)))
-    cut = F.split(F.array_join(F.transform("_lines", lambda x: F.when(F.rlike(x, F.lit(HEADING)), F.lit(CUT)).otherwise(x)), "\n"), CUT, -1)
-    sections = F.transform(cut, lambda part: F.try_element_at(F.flatten(F.transform(prose_blocks(part), sentences)), F.lit(-1)))
+    total = lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x)
+    out = df.withColumn("_blocks", prose_blocks(b)).withColumn("_paras", F.transform("_blocks", plain_sentences)).withColumn("_flat", F.flatten("_paras"))
+    # Sentences hold all words of their block.
+    out = out.withColumn("_lens", F.transform("_paras", lambda g: F.transform(g, n_plain_words))).withColumn("_len", F.flatten("_lens")).withColumn("_bw", F.transform("_lens", total))
+    out = out.withColumn("_n", n_plain_words(b)).withColumn("_lines", plain_lines(b)).withColumn("_prose", F.array_join("_blocks", "\n\n"))
+    out = out.withColumn("_heads", F.size(F.filter("_lines", is_heading))).withColumn("_bullets", F.filter("_lines", is_bullet)).withColumn("_tri", F.regexp_count("_prose", F.lit(TRICOLON_RUN)))
+    out = out.withColumn("_listed", F.transform(F.regexp_extract_all(b, F.lit(r"(?i)(?<![A-Za-z])" + _trie([*lex.AI_VOCABULARY, *lex.MAGIC_ADVERBS]) + r"(?![A-Za-z])"), F.lit(0)), F.lower)).withColumn("_low", F.lower(b))
+    cut = F.split(F.array_join(F.transform("_lines", lambda x: F.when(is_heading(x), F.lit(CUT)).otherwise(x)), "\n"), CUT, -1)
+    sections = F.transform(cut, lambda part: F.try_element_at(F.flatten(F.transform(prose_blocks(part), plain_sentences)), F.lit(-1)))
     plain = F.transform(F.filter("_paras", lambda g: F.size(g) >= 2), lambda g: F.element_at(g, -1))
     out = out.withColumn("_finals", F.when(F.col("_heads") > 0, F.filter(sections, lambda x: x.isNotNull())).otherwise(plain))
     n, flat, size = F.col("_n"), F.col("_flat"), F.size("_len")
@@ -332,30 +426,30 @@ def told(df: DataFrame) -> DataFrame:
     mean = F.aggregate("_len", F.lit(0.0), lambda a, x: a + x) / F.when(size > 0, size)
     var = F.aggregate("_len", F.lit(0.0), lambda a, x: a + x * x) / F.when(size > 0, size) - mean * mean
     ends = lambda x: F.rlike(x, F.lit(r"[.!?]\s*$")) & ~F.rlike(x, F.lit(r"\d"))
-    inner = F.filter(F.sequence(F.lit(0), F.size("_blocks")), lambda i: (i >= 1) & (i < F.size("_blocks") - 1) & (F.get("_bw", i) <= 12) & ends(F.get("_blocks", i)) & (F.get("_bw", i - 1) > 25) & (F.get("_bw", i + 1) > 25))
+    inner = F.filter(F.sequence(F.lit(0), F.size("_blocks")), lambda i: (i >= 1) & (i < F.size("_blocks") - 1) & (F.get("_bw", i) <= 12) & (F.get("_bw", i - 1) > 25) & (F.get("_bw", i + 1) > 25) & ends(F.get("_blocks", i)))
     held = lambda array, test: F.size(F.filter(array, test))
     bold = held("_bullets", lambda x: F.rlike(x, F.lit(BOLD_BULLET)))
     values = {
         "sentence_cv": F.when(size >= 8, F.sqrt(F.greatest(var, F.lit(0.0))) / mean),
         "ing_tail_rate": F.when(size >= 5, held(F.regexp_extract_all("_prose", F.lit(r",\s+([a-z]+ing)\b"), F.lit(1)), lambda x: ~x.isin(lex.ING_STOP)) * 100.0 / size),
-        "tricolon_rate": per(F.regexp_count("_prose", F.lit(TRICOLON)), 1000),
-        "tricolon_paragraphs": held("_blocks", lambda x: F.regexp_count(x, F.lit(TRICOLON)) >= 2),
+        "tricolon_rate": per(F.col("_tri"), 1000),
+        "tricolon_paragraphs": F.when(F.col("_tri") > 0, held("_blocks", lambda x: F.regexp_count(x, F.lit(TRICOLON_RUN)) >= 2)).otherwise(0),
         "negation_contrast_rate": per(F.regexp_count("_prose", F.lit(CONTRAST)), 1000),
-        "ai_vocab_rate": per(listed(F.col("_runs"), lex.AI_VOCABULARY), 500),
-        "staccato_runs": F.aggregate("_paras", F.lit(0), lambda a, g: a + staccato(F.transform(g, n_words))),
-        "anaphora_runs": anaphora(F.transform(flat, lambda x: F.lower(F.get(words(x), F.lit(0))))),
+        "ai_vocab_rate": per(listed(F.col("_listed"), lex.AI_VOCABULARY), 500),
+        "staccato_runs": F.aggregate("_lens", F.lit(0), lambda a, g: a + F.when(F.size(F.filter(g, lambda x: x <= 6)) >= 3, staccato(g)).otherwise(0)),
+        "anaphora_runs": anaphora(F.transform(flat, lambda x: F.lower(F.regexp_extract(x, WORD, 0)))),
         "aphorism_ratio": F.when(F.size("_finals") > 0, held("_finals", aphoristic) * 1.0 / F.size("_finals")),
         "heading_density": per(F.col("_heads"), 300),
         "bold_first_bullets": F.when(F.size("_bullets") >= 3, bold * 1.0 / F.size("_bullets")),
         "pivot_paragraphs": F.size(inner),
-        "connector_rate": per(held(flat, lambda x: F.rlike(x, F.lit(CONNECTOR))), 1000),
-        "balanced_openers": per(held(flat, lambda x: F.rlike(x, F.lit(BALANCED))), 1000),
-        "magic_adverb_rate": per(listed(F.col("_runs"), lex.MAGIC_ADVERBS), 1000),
+        "connector_rate": per(held(flat, lambda x: opens(x, CONNECTOR)), 1000),
+        "balanced_openers": per(held(flat, lambda x: opens(x, BALANCED)), 1000),
+        "magic_adverb_rate": per(listed(F.col("_listed"), lex.MAGIC_ADVERBS), 1000),
         "hedge_stacks": F.regexp_count(b, F.lit(HEDGE_STACK)),
-        "service_phrases": reduce(lambda x, y: x + y, (F.rlike(b, F.lit(p)).cast("int") for p in SERVICE)),
+        "service_phrases": reduce(lambda x, y: x + y, ((F.contains("_low", F.lit(part)) & F.rlike(b, F.lit(p))).cast("int") for part, p in zip(SERVICE_PARTS, SERVICE, strict=True))),
     }
     shape = F.size("_blocks") >= 4
     counts = F.transform("_paras", F.size)
     out = out.withColumns({k: v.cast("double") for k, v in values.items()})
     out = out.withColumn("paragraph_mean", F.when(shape, F.aggregate(counts, F.lit(0), lambda a, x: a + x) * 1.0 / F.size("_blocks"))).withColumn("single_share", F.when(shape, F.size(F.filter(counts, lambda x: x == 1)) * 1.0 / F.size("_blocks")))
-    return out.drop(*[c for c in out.columns if re.match("_(blocks|paras|flat|len|n|lines|prose|heads|bullets|bw|finals|runs)$", c)])
+    return out.drop(*[c for c in out.columns if re.match("_(blocks|paras|flat|lens|len|n|lines|prose|heads|bullets|bw|finals|tri|listed|low)$", c)])
