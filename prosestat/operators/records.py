@@ -91,10 +91,14 @@ def merge(parts: list[DataFrame], *order: str) -> DataFrame:
     return templates(unique(every, "_rank", *order).drop("_rank"))
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    """Rows (of ``templates``) that count in statistics: high confidence, one row for each
+def is_usable() -> Column:
+    """Whether a row (of ``templates``) counts in statistics: high confidence, one row for each
     template text."""
-    return rows.where((F.col("confidence") != "low") & (~F.col("template") | (F.col("record_id") == F.col("first"))))
+    return (F.col("confidence") != "low") & (~F.col("template") | (F.col("record_id") == F.col("first")))
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    return rows.where(is_usable())
 
 
 def before(rows: DataFrame, cutoff: str) -> DataFrame:

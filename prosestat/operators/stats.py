@@ -7,6 +7,8 @@ and exact percentiles come from running sums over them, so no task holds a group
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,22 +38,44 @@ def _rolled(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("register", F.explode(F.array(F.col("recipient_class"), F.lit(ALL)))).groupBy("register", *by)
 
 
+def counts_of(values: DataFrame, names: list[str], weights: dict[str, Column], *by: str) -> DataFrame:
+    """(by..., metric, value, weights...): in how many rows each value occurs for which a weight
+    holds; nulls are left out of the weights. The only step that reads the measured rows: what is
+    built on it must use all weights, so that the plan holds it once."""
+    rows = long_form(values.select(*by, *(w.alias(c) for c, w in weights.items()), *names), names, *by, *weights).withColumn("value", F.round("value", 9))
+    return rows.groupBy(*by, "metric", "value").agg(*(F.count_if(F.col(c) & F.col("value").isNotNull()).alias(c) for c in weights))
+
+
+def _spread(counts: DataFrame, groups: Column, *keys: str) -> DataFrame:
+    """counts for each of the groups (an array of structs) that a row belongs to, summed."""
+    weights = [c for c in ("n", "g") if c in counts.columns]
+    return counts.select("metric", "value", *weights, F.inline(groups)).groupBy(*keys, "metric", "value").agg(*(F.sum(c).alias(c) for c in weights))
+
+
 def counted(values: DataFrame, names: list[str], *by: str) -> DataFrame:
-    """(register, by..., metric, value, n, g): how often each value occurs, and how often in
-    gated rows, for each register and the roll-up. Nulls are left out of n and g."""
-    rows = long_form(values, names, "recipient_class", "gated", *by).withColumn("value", F.round("value", 9))
-    per = rows.groupBy("recipient_class", *by, "metric", "value").agg(F.count("value").alias("n"), F.count_if(F.col("gated") & F.col("value").isNotNull()).alias("g"))
-    return per.withColumn("register", F.explode(F.array(F.col("recipient_class"), F.lit(ALL)))).groupBy("register", *by, "metric", "value").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    """(register, by..., whole, metric, value, n, g): how often each value occurs, and how often
+    in gated rows, for each register and the roll-up; ``whole``: and for all rows together, where
+    there are other keys. Nulls are left out of n and g."""
+    per = counts_of(values, names, {"n": F.lit(True), "g": F.col("gated")}, "recipient_class", *by)
+    at = lambda register, whole: F.struct(register.alias("register"), *((F.lit(None).cast(per.schema[c].dataType) if whole else F.col(c)).alias(c) for c in by), F.lit(whole).alias("whole"))
+    groups = [at(F.col("recipient_class"), False), at(F.lit(ALL), False), *([at(F.lit(ALL), True)] if by else [])]
+    return _spread(per, F.array(*groups), "register", *by, "whole")
 
 
 def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, list[float]]) -> DataFrame:
     """(keys..., for each weight column its total ``<column>_n`` and its exact interpolated
-    quantiles as an array ``<column>_q``, null without values), from counted values."""
+    quantiles as an array ``<column>_q``, null without values), from counted values whose weights
+    are 0 for nulls.
+
+    The running sums and the totals are both taken of counts as they are, without a filter, so
+    that they share one exchange."""
     totals = counts.groupBy(*keys).agg(*(F.sum(c).alias(f"{c}_n") for c in wanted), *(F.sum(F.col("value") * F.col(c)).alias(f"{c}_sum") for c in wanted), *(F.sum(F.when(F.col("value") != 0, F.col(c)).otherwise(0)).alias(f"{c}_some") for c in wanted))
     w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.where("value is not null").withColumns({f"{c}_to": F.sum(c).over(w) for c in wanted})
+    ranked = counts.withColumns({f"{c}_to": F.sum(c).over(w) for c in wanted})
     # One row for each register and metric.
-    ranked = ranked.join(F.broadcast(totals), keys)
+    named = totals.select(*(F.col(k).alias(f"_{k}") for k in keys), *(f"{c}_n" for c in wanted))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    ranked = ranked.join(F.broadcast(named), same).drop(*(f"_{k}" for k in keys))
 
     def at(c: str, rank: Column) -> Column:
         """The value at a rank from 0."""
@@ -64,23 +88,22 @@ def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, list[float]]
             ends += [at(c, F.floor(place)).alias(f"{c}_{k}_lo"), at(c, F.ceil(place)).alias(f"{c}_{k}_hi"), F.max(place - F.floor(place)).alias(f"{c}_{k}_part")]
     found = ranked.groupBy(*keys).agg(*ends)
     arrays = [F.when(F.col(f"{c}_n") > 0, F.array(*(F.col(f"{c}_{k}_lo") + (F.col(f"{c}_{k}_hi") - F.col(f"{c}_{k}_lo")) * F.col(f"{c}_{k}_part") for k in range(len(points))))).alias(f"{c}_q") for c, points in wanted.items()]
-    return totals.join(found, keys, "left").select(*keys, *(f"{c}_{x}" for c in wanted for x in ("n", "sum", "some")), *arrays)
+    found = found.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in found.columns if c not in keys))
+    return totals.join(found, same, "left").select(*keys, *(f"{c}_{x}" for c in wanted for x in ("n", "sum", "some")), *arrays)
 
 
 def distribution(values: DataFrame, *by: str, minimum: int = THIN) -> DataFrame:
     """(register, by..., metric): n, mean, nonzero_share, p10..p90 and the lint band of gated
     rows, or the overall gated band where the register has too few."""
-    keys = ["register", *by, "metric"]
-    spread = quantiles(counted(values, tx.METRICS, *by), keys, {"n": POINTS, "g": [0.1, 0.25, 0.75, 0.9]})
-    if by:
-        whole = quantiles(counted(values, tx.METRICS).where(F.col("register") == ALL), ["metric"], {"g": [0.1, 0.25, 0.75, 0.9]})
-    else:
-        whole = spread.where(F.col("register") == ALL)
-    whole = whole.select("metric", F.col("g_q").alias("gb"), F.col("g_n").alias("gn"))
+    spread = quantiles(counted(values, tx.METRICS, *by), ["register", *by, "whole", "metric"], {"n": POINTS, "g": [0.1, 0.25, 0.75, 0.9]})
+    # A window over one row for each register and metric, as a join would measure all texts again.
+    whole = F.col("whole") if by else F.col("register") == ALL
+    w = Window.partitionBy("metric")
+    spread = spread.withColumns({"gb": F.max(F.when(whole, F.col("g_q"))).over(w), "gn": F.max(F.when(whole, F.col("g_n"))).over(w)}).where("not whole")
     thin = F.col("g_n") < minimum
     band = F.when(thin, F.col("gb")).otherwise(F.col("g_q"))
     at = lambda a, i: F.round(F.coalesce(F.get(a, F.lit(i)), F.lit(0.0)) + EPS, 4)
-    return spread.join(F.broadcast(whole), "metric").select(
+    return spread.select(
         "register",
         *by,
         "metric",
@@ -102,14 +125,14 @@ def tell_thresholds(values: DataFrame, minimum: int = THIN) -> DataFrame:
     up = F.col("metric").isin([m for m, d in tx.TELLS.items() if d == "max"])
     floor = F.when(F.col("metric") == "service_phrases", 1.0).otherwise(0.0)
     per = per.withColumn("own", F.when(F.col("n") >= minimum, F.when(up, F.greatest(F.get("q", F.lit(2)), floor)).otherwise(F.get("q", F.lit(0)))))
-    whole = per.where(F.col("register") == ALL).select("metric", F.col("own").alias("all"))
+    per = per.withColumn("all", F.max(F.when(F.col("register") == ALL, F.col("own"))).over(Window.partitionBy("metric")))
     back = F.col("own").isNull() & F.col("all").isNotNull()
-    return per.join(F.broadcast(whole), "metric").select("register", "metric", F.when(up, "max").otherwise("min").alias("direction"), F.round(F.coalesce("own", "all") + EPS, 4).alias("threshold"), F.round(F.coalesce(F.get("q", F.lit(1)), F.lit(0.0)) + EPS, 4).alias("p50"), "n", F.when(back & (F.col("register") != ALL), ALL).otherwise("register").alias("basis"))
+    return per.select("register", "metric", F.when(up, "max").otherwise("min").alias("direction"), F.round(F.coalesce("own", "all") + EPS, 4).alias("threshold"), F.round(F.coalesce(F.get("q", F.lit(1)), F.lit(0.0)) + EPS, 4).alias("p50"), "n", F.when(back & (F.col("register") != ALL), ALL).otherwise("register").alias("basis"))
 
 
 def tertile_cut(rows: DataFrame) -> DataFrame:
     """One row: the upper inclusive tertile of word_count."""
-    counts = rows.groupBy(F.col("word_count").cast("double").alias("value")).agg(F.count("*").alias("n")).withColumn("all", F.lit(ALL))
+    counts = rows.groupBy(F.col("word_count").cast("double").alias("value")).agg(F.count("word_count").alias("n")).withColumn("all", F.lit(ALL))
     return quantiles(counts, ["all"], {"n": [2 / 3]}).select(F.get("n_q", F.lit(0)).alias("cut"))
 
 
@@ -118,14 +141,16 @@ def long_texts(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(tertile_cut(rows)), F.col("word_count") > F.col("cut")).drop("cut")
 
 
-def anchor_article(article: DataFrame, long_bands: DataFrame, minimum: int = THIN) -> DataFrame:
-    """The article register's bands, each thin or borrowed one replaced by the long texts'."""
-    bands = [c for c in article.columns if c.startswith("band_")]
-    own = article.where(F.col("register") == ALL)
-    other = long_bands.where(F.col("register") == ALL).select("metric", *(F.col(c).alias(f"long_{c}") for c in (*bands, "n_gated")))
-    thin = F.col("fallback_global") | (F.col("n_gated") < minimum)
-    take = lambda c: F.when(thin, F.col(f"long_{c}")).otherwise(F.col(c)).alias(c)
-    return own.join(F.broadcast(other), "metric").select(F.lit("article").alias("register"), "metric", *(take(c) for c in (*bands, "n_gated")), F.when(thin, "long_emails").otherwise("register").alias("basis"))
+def anchor_article(rows: DataFrame, article: Column, minimum: int = THIN) -> DataFrame:
+    """The bands of the rows that are articles, those of few rows replaced by the long texts'.
+    Both are counted in one pass over the measured rows."""
+    values = rows.crossJoin(F.broadcast(tertile_cut(rows))).withColumn("_long", F.col("word_count") > F.col("cut")).withColumn("_own", article)  # one row
+    counts = counts_of(values, tx.METRICS, {"o": F.col("_own"), "l": F.col("_long"), "og": F.col("_own") & F.col("gated"), "lg": F.col("_long") & F.col("gated")})
+    points = [0.1, 0.25, 0.75, 0.9]
+    both = quantiles(counts, ["metric"], {"o": [0.5], "l": [0.5], "og": points, "lg": points}).where("o_q is not null and l_q is not null")
+    thin = F.col("og_n") < minimum
+    at = lambda i: F.round(F.coalesce(F.get(F.when(thin, F.col("lg_q")).otherwise(F.col("og_q")), F.lit(i)), F.lit(0.0)) + EPS, 4)
+    return both.select(F.lit("article").alias("register"), "metric", *(at(i).alias(f"band_p{p}") for i, p in enumerate((10, 25, 75, 90))), F.when(thin, F.col("lg_n")).otherwise(F.col("og_n")).alias("n_gated"), F.when(thin, "long_emails").otherwise("register").alias("basis"))
 
 
 # --- frequencies ---------------------------------------------------------------------------
@@ -236,15 +261,25 @@ def ranked_ngrams(rows: DataFrame, size: int, least: int = 5, top: int = 40, kno
 # --- contrasts and projections --------------------------------------------------------------
 
 
-def contrast(merged: DataFrame, by_source: DataFrame, current: str, minimum: int = THIN) -> DataFrame:
-    """(register, metric, source): whether a source's median lies further from the current
-    source's than the merged interquartile range."""
-    cur = by_source.where(F.col("source") == current).select("register", "metric", F.col("p50").alias("p50_current"), F.col("n").alias("n_current"))
-    oth = by_source.where(F.col("source") != current).select("register", "metric", "source", "p50", "n")
-    iqr = merged.select("register", "metric", F.round(F.col("p75") - F.col("p25"), 4).alias("iqr"))
+def contrast(values: DataFrame, usable: Column, current: str, minimum: int = THIN) -> DataFrame:
+    """(register, metric, source): whether a source's median, over all its rows, lies further from
+    the current source's than the interquartile range of the usable rows of all sources. Both are
+    counted in one pass over the measured rows."""
+    per = counts_of(values.withColumn("_usable", usable), tx.METRICS, {"n": F.lit(True), "u": F.col("_usable")}, "recipient_class", "source")
+    at = lambda register, merged: F.struct(register.alias("register"), (F.lit(None).cast("string") if merged else F.col("source")).alias("source"), F.lit(merged).alias("merged"), F.col("u" if merged else "n").alias("n"))
+    groups = F.array(*(at(r, m) for r in (F.col("recipient_class"), F.lit(ALL)) for m in (False, True)))
+    keys = ["register", "source", "merged", "metric"]
+    counts = per.select("metric", "value", F.inline(groups)).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    point = lambda i: F.round(F.coalesce(F.get("n_q", F.lit(i)), F.lit(0.0)) + EPS, 4)
+    spread = quantiles(counts, keys, {"n": [0.25, 0.5, 0.75]}).select("register", "metric", "source", "merged", F.col("n_n").alias("n"), point(1).alias("p50"), F.round(point(2) - point(0), 4).alias("_iqr"))
+    w = Window.partitionBy("register", "metric")
+    of = lambda c, ok: F.max(F.when(ok, F.col(c))).over(w)
+    held, now = F.col("merged") & (F.col("n") > 0), ~F.col("merged") & (F.col("source") == current)
+    spread = spread.withColumns({"iqr": of("_iqr", held), "p50_current": of("p50", now), "n_current": of("n", now)})
     apart = F.abs(F.round(F.col("p50_current") - F.col("p50"), 4)) > F.col("iqr")
     status = F.when(F.least("n", "n_current") < minimum, "insufficient_data").when(apart, "diverging").otherwise("same")
-    return oth.join(cur, ["register", "metric"]).join(iqr, ["register", "metric"]).select("register", "metric", "source", "p50", "p50_current", "iqr", status.alias("status"))
+    others = spread.where(~F.col("merged") & (F.col("source") != current) & F.col("p50_current").isNotNull() & F.col("iqr").isNotNull())
+    return others.select("register", "metric", "source", "p50", "p50_current", "iqr", status.alias("status"))
 
 
 def projected_function_words(rates: DataFrame, top: int = 10) -> DataFrame:

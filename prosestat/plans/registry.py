@@ -264,13 +264,13 @@ def a04_by_thread_position(spark, sf):
 S = f"{R}, pre AS (SELECT * FROM tpl WHERE confidence <> 'low'), {sql.prepared('pre')}, {sql.measured('prep')}"
 
 
-def _by_source(spark, sf):
-    return stats.distribution(templated(spark, sf, stats.per_record).where("confidence <> 'low'"), "source")
+def _high(spark, sf):
+    return templated(spark, sf, stats.per_record).where("confidence <> 'low'")
 
 
 @query(f"{S}, {_dist_sql('met', 'source')} SELECT register, source, metric, n, p50 FROM dist")
 def a05_by_source(spark, sf):
-    return _by_source(spark, sf).select("register", "source", "metric", "n", "p50")
+    return stats.distribution(_high(spark, sf), "source").select("register", "source", "metric", "n", "p50")
 
 
 def _thresholds_sql(source: str, name: str) -> str:
@@ -391,7 +391,7 @@ SELECT o.register, o.metric, o.source, o.p50, c.p50 AS p50_current, iqr, CASE WH
 
 @query(_contrast_sql())
 def a18_contrast(spark, sf):
-    return stats.contrast(stats.distribution(measured(spark, sf)), _by_source(spark, sf), "src2")
+    return stats.contrast(_high(spark, sf), rec.is_usable(), "src2")
 
 
 @query(f"{R}, h AS (SELECT unnest([{{'field': 'year', 'value': year::VARCHAR}}, {{'field': 'recipient_class', 'value': recipient_class}}, {{'field': 'thread_position', 'value': thread_position}}]) AS v FROM usable) SELECT v.field AS field, v.value AS value, count(*) AS n FROM h WHERE v.value IS NOT NULL GROUP BY ALL")
@@ -421,10 +421,7 @@ def _anchored_sql() -> str:
 
 @query(_anchored_sql())
 def a22_anchored_article(spark, sf):
-    rows = measured(spark, sf)
-    long = stats.distribution(stats.long_texts(rows))
-    article = stats.distribution(rows.where("recipient_class = 'personal'"))
-    return stats.anchor_article(article, long)
+    return stats.anchor_article(measured(spark, sf), F.col("recipient_class") == "personal")
 
 
 @query(f"{R} SELECT source, recipient_class, count(*) AS n, count(*) FILTER (thread_position = 'new') AS new, count(*) FILTER (thread_position = 'reply') AS reply, count(*) FILTER (thread_position = 'forward') AS forward, count(*) FILTER (confidence = 'low') AS low FROM rec GROUP BY ALL")
