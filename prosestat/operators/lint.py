@@ -222,7 +222,7 @@ def measured(drafts: DataFrame) -> DataFrame:
 
 
 def short(values: DataFrame) -> DataFrame:
-    return values.where("not gated").select(*_finding("stats.short_draft", "info", F.col("words"), F.lit(80)))
+    return tx.once(values.select("draft_id", "gated", "words"), "gated", "words").where("not gated").select(*_finding("stats.short_draft", "info", F.col("words"), F.lit(80)))
 
 
 def bands(values: DataFrame, profile: DataFrame, minimum: int = THIN, table: dict | None = None, diverging: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
@@ -230,7 +230,8 @@ def bands(values: DataFrame, profile: DataFrame, minimum: int = THIN, table: dic
     which thin registers already have the roll-up's band. Metrics that a limit of ``table``
     stands for are not compared. Where a source's metric diverges (register, metric), the band is
     that of the current source (rows of its distribution)."""
-    rows = long_form(values.where("gated"), tx.METRICS, "draft_id", "medium", "register").withColumn("value", F.round("value", 4))
+    kept = tx.once(values.select("draft_id", "medium", "register", "gated", *tx.METRICS), "gated", *tx.METRICS).where("gated")
+    rows = long_form(kept, tx.METRICS, "draft_id", "medium", "register").withColumn("value", F.round("value", 4))
     for medium, register, limit, _ in limit_rows(table) if table else ():
         if LIMITED[limit]:
             rows = rows.where(~F.coalesce(_applies(table, medium, register) & F.col("metric").isin(list(LIMITED[limit])), F.lit(False)))
@@ -264,7 +265,8 @@ def tells(values: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def fragmentation(values: DataFrame, mean: float = 3.0, single: float = 0.15) -> DataFrame:
     bad = (F.round("paragraph_mean", 4) < mean) | (F.round("single_share", 4) > single)
-    return values.where((F.col("medium") == "article") & bad).select(*_finding("structure.paragraph_fragmentation", "warn", F.round("paragraph_mean", 4), F.lit(mean)))
+    shape = values.where("medium = 'article'").select("draft_id", "paragraph_mean", "single_share")
+    return tx.once(shape, "paragraph_mean", "single_share").where(bad).select(*_finding("structure.paragraph_fragmentation", "warn", F.round("paragraph_mean", 4), F.lit(mean)))
 
 
 def structure(values: DataFrame, profile: DataFrame, expected: float = 0.6) -> DataFrame:

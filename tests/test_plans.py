@@ -45,3 +45,10 @@ def test_rows_without_a_source_have_medians(spark):
     wide = df.select("recipient_class", "source", "gated", *(F.col("v").alias(m) for m in tx.METRICS))
     got = {(r["register"], r["source"]): (r["n"], r["p50"]) for r in stats.distribution(wide, "source").where("metric = 'words'").collect()}
     assert got == {(g, s): (5, m) for g in ("client", stats.ALL) for s, m in ((None, 12), ("src2", 22))}
+
+
+def test_filters_hold_no_text_expressions(spark):
+    df = spark.createDataFrame([(1, "One. Two.\n\nThree.\n\nFour.\n\nFive.", "article", "unknown")], "draft_id long, text string, medium string, register string")
+    filters = lambda found: [x for x in plan(spark, found, "optimizedPlan") if "Filter" in x and "regexp_replace" in x]
+    found = lint.fragmentation(lint.measured(df))
+    assert not filters(found) and [r["draft_id"] for r in found.collect()] == [1]
