@@ -737,7 +737,7 @@ def _rewrites(spark, sf):
 
 @query()
 def a27_operation_counts(spark, sf):
-    return delta.operation_counts(_edits(spark, sf))
+    return delta.operation_counts(delta.operations(delta.version_pairs(_chains(spark, sf))))
 
 
 @query()

@@ -2,12 +2,12 @@
 
 import contextlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from prosestat.functions import lexicons as lex
 from prosestat.functions import text as tx
-from prosestat.operators import lint, stats
+from prosestat.operators import delta, lint, stats
 from prosestat.plans import registry
 
 
@@ -52,3 +52,15 @@ def test_filters_hold_no_text_expressions(spark):
     filters = lambda found: [x for x in plan(spark, found, "optimizedPlan") if "Filter" in x and "regexp_replace" in x]
     found = lint.fragmentation(lint.measured(df))
     assert not filters(found) and [r["draft_id"] for r in found.collect()] == [1]
+
+
+def test_operations_are_those_of_edits_without_comparing_characters(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, 2, "We go. It is far away now.", "We go and it is far away now."), (1, 3, "One thing here.", "One thing. Here it is."), (2, 2, "Same. Old one.", "Same. New one."), (3, 2, "A b. C d.", "A b.")], "chain_id long, version long, before string, after string")
+    cols = ("chain_id", "version", "index", "op")
+    want = sorted(tuple(r) for r in delta.edits(pairs).select(*cols).collect())
+    assert sorted(tuple(r) for r in delta.operations(pairs).collect()) == want
+    assert {op for *_, op in want} == {"join", "split", "replace", "delete"}
+    calls = []
+    monkeypatch.setattr(delta, "similarity", lambda a, b: calls.append(1) or 0.0)
+    frame = pd.DataFrame([(1, 2, ["a b"], ["a c"], ["a b"], ["a c"])], columns=["chain_id", "version", "l", "r", "lk", "rk"])
+    assert [len(x) for x in delta._aligned([frame], compared=False)] == [1] and not calls
