@@ -112,7 +112,7 @@ def lines(c: Column) -> Column:
 
 def plain_lines(c: Column) -> Column:
     """The lines of a text that has no line ends but line feeds."""
-    return F.split(F.regexp_replace(c, r"\n\z", ""), "\n", -1)
+    return F.split(let(c, lambda x: F.when(F.endswith(x, F.lit("\n")), F.substring(x, F.lit(1), F.char_length(x) - 1)).otherwise(x)), "\n", -1)
 
 
 def paragraphs(c: Column) -> Column:
@@ -209,7 +209,13 @@ def greeting(first_line: Column) -> Column:
 
 
 def canonical_line(line: Column) -> Column:
-    return F.lower(F.regexp_replace(strip(line), r"[,.!]+$", ""))
+    return F.lower(F.rtrim(strip(line), F.lit(",.!")))
+
+
+def valediction(line: Column) -> Column:
+    """Whether a line is a valediction; nearly all are ruled out by their first letters."""
+    head = F.lower(F.substring(F.ltrim(line, F.lit(SPACES)), 1, 4))
+    return head.isin(sorted({v[:4] for v in lex.VALEDICTIONS})) & canonical_line(line).isin(lex.VALEDICTIONS)
 
 
 def signoff(all_lines: Column) -> Column:
