@@ -30,7 +30,7 @@ def record_id(*parts: Column) -> Column:
 
 def template_key(text: Column) -> Column:
     """White space collapsed and case folded (as far as lower() folds)."""
-    return F.lower(tx.strip(F.regexp_replace(text, r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
 def records(documents: DataFrame, labels: DataFrame, measure=None) -> DataFrame:

@@ -225,13 +225,15 @@ def ngrams(rows: DataFrame, size: int, known: list[str] | None = None) -> DataFr
     """(recipient_class, phrase, n): windows without unknown capitalised words and not made of
     function words and masks alone."""
     known = sorted(set(known if known is not None else lex.common_words()))
-    rows = rows.select("recipient_class", tx.words(F.coalesce("text", F.lit(""))).alias("_t"))
-    t = F.col("_t")
-    starts = F.when(F.size(t) >= size, F.sequence(F.lit(1), F.size(t) - size + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    spans = rows.select("recipient_class", F.explode(F.transform(starts, lambda i: F.slice(t, i, size))).alias("span"))
-    strange = F.exists("span", lambda w: F.rlike(w, F.lit("^[A-Z]")) & ~F.lower(w).isin(known))
-    plain = F.forall("span", lambda w: F.lower(w).isin(lex.FUNCTION_WORDS) | F.startswith(w, F.lit("[")))
-    kept = spans.where(~strange & ~plain).select("recipient_class", F.lower(F.array_join("span", " ")).alias("phrase"))
+    rows = rows.select("recipient_class", tx.words(F.coalesce("text", F.lit(""))).alias("_t")).withColumn("_w", F.transform("_t", F.lower))
+    # Each word is looked at once, not once for each window: 1 is an unknown capitalised word, 2
+    # a function word or mask.
+    kind = lambda t, w: F.when(F.rlike(t, F.lit("^[A-Z]")) & ~w.isin(known), 1).when(w.isin(lex.FUNCTION_WORDS) | F.startswith(t, F.lit("[")), 2).otherwise(0)
+    rows = rows.withColumn("_k", F.zip_with("_t", "_w", kind))
+    starts = F.when(F.size("_w") >= size, F.sequence(F.lit(0), F.size("_w") - size)).otherwise(F.expr("cast(array() as array<int>)"))
+    at = lambda c, i: [F.get(c, i + k) for k in range(size)]
+    good = F.filter(starts, lambda i: reduce(lambda x, y: x & y, (k != 1 for k in at("_k", i))) & reduce(lambda x, y: x | y, (k != 2 for k in at("_k", i))))
+    kept = rows.select("recipient_class", F.explode(F.transform(good, lambda i: F.concat_ws(" ", *at("_w", i)))).alias("phrase"))
     return kept.groupBy("recipient_class", "phrase").agg(F.count("*").alias("n"))
 
 

@@ -1,11 +1,14 @@
 """What the plans compute: texts are read and measured once, and results that depend on it."""
 
+import collections
 import contextlib
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from prosestat.functions import lexicons as lex
 from prosestat.functions import text as tx
 from prosestat.operators import delta, lint, stats
 from prosestat.plans import registry
@@ -64,3 +67,25 @@ def test_operations_are_those_of_edits_without_comparing_characters(spark, monke
     monkeypatch.setattr(delta, "similarity", lambda a, b: calls.append(1) or 0.0)
     frame = pd.DataFrame([(1, 2, ["a b"], ["a c"], ["a b"], ["a c"])], columns=["chain_id", "version", "l", "r", "lk", "rk"])
     assert [len(x) for x in delta._aligned([frame], compared=False)] == [1] and not calls
+
+
+def test_signatures_read_texts_twice_and_shuffle_none(spark, sf):
+    found = built(spark, sf, "x15_without_signatures")
+    reused = [x for x in found if "ReusedExchange" in x]
+    assert sum("FileScan" in x and "documents.parquet" in x and "text:string" in x for x in found) == 2 and reused
+    assert not any("Exchange hashpartitioning" in x and "text#" in x for x in found)
+
+
+def test_windows_are_those_of_each_word_looked_at(spark):
+    text = "We went to Paris and to the old house by the Sea. [NAME] went on. It is so, Old house it's"
+    df = spark.createDataFrame([("client", text), ("client", "one"), ("client", None)], "recipient_class string, text string")
+    known, function = set(lex.common_words()), set(lex.FUNCTION_WORDS)
+    for size in (2, 3):
+        ws = re.findall(tx.WORD, text)
+        spans = [ws[i : i + size] for i in range(len(ws) - size + 1)]
+        good = [s for s in spans if not any(w[0].isupper() and w.lower() not in known for w in s) and not all(w.lower() in function or w[0] == "[" for w in s)]
+        want = collections.Counter(" ".join(s).lower() for s in good)
+        got = stats.ngrams(df, size)
+        assert {r["phrase"]: r["n"] for r in got.collect()} == want and want
+        # Words are looked at before windows are made of them.
+        assert not any("slice(" in x for x in plan(spark, got, "optimizedPlan"))
