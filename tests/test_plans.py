@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosestat.functions import lexicons as lex
 from prosestat.functions import text as tx
-from prosestat.operators import delta, lint, stats
+from prosestat.operators import delta, lint, select, stats
 from prosestat.plans import registry
 
 
@@ -88,3 +88,10 @@ def test_windows_are_those_of_each_word_looked_at(spark):
         assert {r["phrase"]: r["n"] for r in got.collect()} == want and want
         # Words are looked at before windows are made of them.
         assert not any("slice(" in x for x in plan(spark, got, "optimizedPlan"))
+
+
+def test_names_side_by_side_are_masked_whole(spark):
+    texts = ["Ou Ou Ou", "Ou. Onthe", "a Ou, b", "Oui Ou", "xOu Onthe\nOu"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r["m"] for r in df.select(select.masked(F.col("text"), F.array(F.lit("Ou"), F.lit("Onthe"))).alias("m")).collect()]
+    assert got == [re.sub(r"(?<!\w)(?:Onthe|Ou)(?!\w)", "[CAP]", t) for t in texts]
